@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
 from skylane.llm.simhash import simhash_components
 
@@ -20,9 +21,14 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_document_fingerprints": op3_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
