@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
+from skylane.llm.quality import classify
 from skylane.llm.simhash import simhash_components
 
 
@@ -25,10 +26,16 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_quality_classifier": op4_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
