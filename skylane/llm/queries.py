@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
+from skylane.llm.licenses import license_scan
 from skylane.llm.quality import classify
 from skylane.llm.secrets import secret_report
 from skylane.llm.simhash import simhash_components
@@ -32,6 +33,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
+    "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
 
