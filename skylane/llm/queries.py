@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
+from skylane.llm.html import extract_pages
 from skylane.llm.licenses import license_scan
 from skylane.llm.quality import classify
 from skylane.llm.secrets import secret_report
@@ -33,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
+    "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
