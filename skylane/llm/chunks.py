@@ -105,7 +105,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 20_000) -> DataFrame:
+def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 5_000) -> DataFrame:
     """Fingerprint each text, its edited text and its likeness to both the edited text and the next document.
 
     Documents are taken in ascending (doc_id, text) order; the last is followed by the first. The edited text has its
