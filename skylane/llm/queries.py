@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
 from skylane.llm.html import extract_pages
 from skylane.llm.licenses import license_scan
+from skylane.llm.pieces import encode_texts, load_vocabulary
 from skylane.llm.quality import classify
 from skylane.llm.secrets import secret_report
 from skylane.llm.simhash import simhash_components
 
 
+#: Where the public tokenizer files are.
+TOKENIZERS = os.environ.get("SKYLANE_TOKENIZERS", "/opt/tokenizers")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +41,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")).select("doc_id", "ids", "n_ids", "round_trip")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -51,6 +63,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
