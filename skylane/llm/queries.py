@@ -10,6 +10,7 @@ from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
 from skylane.llm.html import extract_pages
 from skylane.llm.licenses import license_scan
+from skylane.llm.mixing import mix_documents, word_count
 from skylane.llm.pieces import encode_texts, load_vocabulary
 from skylane.llm.quality import classify
 from skylane.llm.secrets import secret_report
@@ -41,6 +42,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+#: Target weights of the mixing query; names without a weight have 1.
+MIXTURE = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    mixed = mix_documents(docs, MIXTURE, total_share=1.0, max_epochs=3, seed=7)
+    return mixed.select("doc_id", "epoch", "lang", "source", word_count(mixed["text"]).alias("n_tokens"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_texts(docs, load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")).select("doc_id", "ids", "n_ids", "round_trip")
@@ -63,6 +74,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_source_mixing": op6_source_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
