@@ -15,6 +15,7 @@ from skylane.llm.pieces import encode_texts, load_vocabulary
 from skylane.llm.quality import classify
 from skylane.llm.secrets import secret_report
 from skylane.llm.simhash import simhash_components
+from skylane.llm.tokens import document_token_counts
 
 
 #: Where the public tokenizer files are.
@@ -42,6 +43,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", separator=50256)
+
+
 #: Target weights of the mixing query; names without a weight have 1.
 MIXTURE = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
