@@ -157,3 +157,109 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, id_col: str = "d
     named = link_fingerprints(nodes).select("fp", F.col("root").alias("component_id"))
     # The document side holds the hot fingerprint; adaptive execution may split it, as the other side has one row each.
     return fps.join(named, "fp", "left").select("doc_id", "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: Pairs of the four 16-bit quarters that stay when the other two are masked.
+_HALVES = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
+#: Greatest distance that the half variants cover: of four quarters with six differences two hold at most two.
+WIDE_RADIUS = 6
+#: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
+_BROADCAST_IDS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast of at most ``_BROADCAST_IDS`` ids (two numbers each), else the table itself."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of fingerprints at most six bits apart, ``a < b``, from the variants within one flip of each half.
+
+    All members of a variant are tied to its smallest node and to the one before, not to each other; a fingerprint has
+    198 variants, so close pairs meet in many of them.
+    """
+    parts = []
+    for k, (a, b) in enumerate(_HALVES):
+        half = f"((shiftrightunsigned(fp, {16 * a}) & 65535L) | shiftleft(shiftrightunsigned(fp, {16 * b}) & 65535L, 16))"
+        keys = f"array_append(transform({_flips(0, 32)}, x -> ({half} ^ x) | {k << 32}L), {half} | {k << 32}L)"
+        parts.append(nodes.select("node", F.explode(F.expr(keys)).alias("key")))
+    members = parts[0]
+    for p in parts[1:]:
+        members = members.union(p)
+    w = Window.partitionBy("key").orderBy("node")
+    tied = members.select("node", F.array_distinct(F.array(F.lag("node").over(w), F.first("node").over(w))).alias("others"))
+    pairs = tied.select(F.explode("others").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    one, two = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+    return pairs.join(one, "a").join(two, "b").where(f"bit_count(fa ^ fb) <= {WIDE_RADIUS}").select("a", "b")
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """Sorted distinct shingle hashes of each text: ``(node, shingles)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(t), size)])).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have that Jaccard similarity or more: ``(a, b)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+
+    Candidates are texts whose SimHash over words lies within six bits (ball hashing over masked halves); a candidate
+    pair is a link if the sets of ``shingle_words``-word shingles have a Jaccard similarity of at least ``similarity``.
+    Groups are the components of links; texts with equal words are one group from the start (so are all texts without
+    words). Rows without an id are kept. Of repeated rows (equal id and text) one is kept. All columns stay; an empty
+    table gives an empty result.
+    """
+    key = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(text_col))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(2).to_pylist():
+                words = words_of(t)
+                both = xxhash.xxh128_intdigest(b" ".join(words))
+                rows.append((fingerprint(words, 1), (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)))
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "h", "fp", "d1", "d2"])
+
+    rows = key.where("__id is not null").select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).cast("binary").alias("text"))
+    light = staged(rows.mapInArrow(describe, "id long, h long, fp long, d1 long, d2 long"), "described")
+    nodes = staged(light.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.min(F.struct("id", "h")).alias("of")), "distinct-texts")
+    # Ids may repeat with other texts; the node number then names the first of them, so nodes are numbered by id and text.
+    pairs = staged(candidate_pairs(nodes.select("node", "fp").groupBy("node").agg(F.min("fp").alias("fp"))), "candidates")
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t")), "asked")
+    texts = key.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", F.col(text_col).alias("text"))
+    sets = staged(_shingle_sets(texts, shingle_words).dropDuplicates(["node"]), "shingle-sets")
+    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    roots = connected_components(_similar(sized, similarity))
+    named = nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root"), "node")
+    marked = light.join(named, ["d1", "d2"])
+    stays = (F.col("node") == F.col("root")) & (F.struct("id", "h") == F.col("of"))
+    gone = staged(marked.where(~stays).select(F.col("id").alias("__i"), F.col("h").alias("__t")).distinct(), "removed")
+    again = staged(marked.where(stays).groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
+    same = (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))
+    kept = key.join(_small(gone), same, "left_anti")
+    if again.count():
+        kept = kept.join(_small(again), same, "left_anti").union(kept.join(_small(again), same, "left_semi").dropDuplicates(["__id", "__h"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
