@@ -1,6 +1,6 @@
 """All queries of the mobility operators and their SQL equivalents."""
 
-from __future__ import annotations
+from skylane.plans.oracle import ORACLE_SQL
+from skylane.plans.queries import QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
