@@ -22,15 +22,20 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
+_IRREGULAR = re.compile(f"  |{MARK}|^ | $|^\\n| \\n")
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Rows encoded at a time.
+_ROWS = 500
 #: Characters of a long stretch searched at a time.
 _FEED = 4096
 #: Stretches up to this length are kept for reuse; pairs of ids known to stay apart or not are kept up to this number.
-_KEPT_LENGTH, _KEPT_PAIRS = 48, 2_000_000
+_KEPT_LENGTH, _KEPT_PAIRS, _KEPT_TAILS = 32, 500_000, 10_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -55,7 +60,7 @@ def load_vocabulary(model_file: str) -> dict:
 class PieceCodec:
     """Encodes and decodes with one vocabulary. ``bpe`` chooses the rule for backpointers."""
 
-    def __init__(self, vocabulary: dict, kept: int = 200_000):
+    def __init__(self, vocabulary: dict, kept: int = 150_000):
         pieces, kinds = vocabulary["pieces"], vocabulary["kinds"]
         self.bpe = vocabulary["bpe"]
         self.ids = {p: i for i, p in enumerate(pieces) if kinds[i] == _NORMAL}
@@ -75,7 +80,10 @@ class PieceCodec:
             self.edges.add_word(p, (i, len(p)))
         self.edges.make_automaton()
         self.pieces, self.start = pieces, len(pieces)
-        self.kept, self.known, self.older, self.apart = kept, {}, {}, {}
+        self.kept, self.known, self.older, self.apart, self.tails = kept, {}, {}, {}, {}
+        # Neighbours inside pieces: any other two characters are a place where all paths converge.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.lines_end = not any("\n" in p for p in self.ids)
 
     # -- encoding ---------------------------------------------------------------------------------------------------
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -184,23 +192,46 @@ class PieceCodec:
         return array("i", ids).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
-        """Ids of a stretch, packed. Kept stretches live in two generations; the older one goes when the younger is full."""
-        if len(stretch) > _KEPT_LENGTH:
-            return self._packed(self.segments(stretch[k : k + _FEED] for k in range(0, len(stretch), _FEED)))
-        packed = self.older.get(stretch) or (self._short(stretch) if self.bpe else self._packed(self.segments([stretch])))
-        if len(self.known) >= self.kept:
-            self.known, self.older = {}, self.known
-            if len(self.apart) > _KEPT_PAIRS:
-                self.apart.clear()
-        self.known[stretch] = packed
+        """Ids of characters between two places where all paths converge, packed."""
+        if len(stretch) <= _FEED:
+            return self._short(stretch) if self.bpe else self._packed(self.segments([stretch]))
+        return self._packed(self.segments(stretch[k : k + _FEED] for k in range(0, len(stretch), _FEED)))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space (its mark included), or after a line end that the word begins with, packed.
+
+        Closing punctuation is taken apart where no piece joins it to the word. Words are kept in two generations; the
+        older one goes when the younger is full.
+        """
+        packed = self.older.get(word)
+        if packed is None:
+            k = len(word)
+            while k and not word[k - 1].isalnum():
+                k -= 1
+            if 0 < k < len(word) and word[k - 1 : k + 1] not in self.joined:
+                tail = word[k:]
+                if tail not in self.tails and len(self.tails) < _KEPT_TAILS and len(tail) <= _KEPT_LENGTH:
+                    self.tails[tail] = self._stretch(tail)
+                return (self.known.get(word[:k]) or self._word(word[:k])) + (self.tails.get(tail) or self._stretch(tail))
+            packed = self._stretch(word if word[:1] == "\n" else MARK + word)
+        if len(word) <= _KEPT_LENGTH:
+            if len(self.known) >= self.kept:
+                self.known, self.older = {}, self.known
+                if len(self.apart) > _KEPT_PAIRS:
+                    self.apart.clear()
+            self.known[word] = packed
         return packed
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; spaces become marks and one mark goes before a text that is not empty."""
         if not text:
             return np.empty(0, dtype="<i4")
-        make = self._stretch
-        return np.frombuffer(b"".join([self.known.get(s) or make(s) for s in _STRETCH.findall(MARK + text.replace(" ", MARK))]), dtype="<i4")
+        if not self.lines_end or _IRREGULAR.search(text):  # runs of spaces, marks: cut before every run of marks
+            parts = [self._stretch(s) for s in _STRETCH.findall(MARK + text.replace(" ", MARK))]
+        else:
+            make = self._word
+            parts = [self.known.get(w) or make(w) for w in text.replace("\n", " \n").split(" ")]
+        return np.frombuffer(b"".join(parts), dtype="<i4")
 
     # -- decoding ---------------------------------------------------------------------------------------------------
     def decode(self, ids: np.ndarray) -> str:
@@ -229,19 +260,24 @@ def encode_texts(docs: DataFrame, vocabulary: dict, text_col: str = "text") -> D
     table gives an empty result. The vocabulary (a fixed file of tens of thousands of pieces) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kind = "struct<ids: array<int>, same: boolean>"
+    kept = [c for c in docs.columns if c not in ("ids", "n_ids", "round_trip")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(text_col)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in (("ids", T.ArrayType(T.IntegerType())), ("n_ids", T.LongType()), ("round_trip", T.BooleanType())))])
 
-    @F.pandas_udf(kind)
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for texts in parts:
-            ids = [codec.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": ids, "same": [codec.decode(i) == (t or "") for i, t in zip(ids, texts)]})
-
-    out = docs.withColumn("__coded", encode(F.col(text_col)))
-    return (
-        out.withColumn("ids", F.col("__coded.ids")).withColumn("n_ids", F.size("ids").cast("long")).withColumn("round_trip", F.col("__coded.same")).drop("__coded")
-    )
+        for b in batches:
+            for k in range(0, b.num_rows, _ROWS):  # a few rows at a time: ids of long texts stay few
+                part = b.slice(k, _ROWS)
+                texts = part.column(at).to_pylist()
+                ids = [codec.encode(t) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)]).astype("i4")
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                same = pa.array([codec.decode(i) == (t or "") for i, t in zip(ids, texts)])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(ends).astype("i8")), same], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode_ids(rows: DataFrame, vocabulary: dict, ids_col: str = "ids") -> DataFrame:
