@@ -161,8 +161,9 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, id_col: str = "d
 
 #: Pairs of the four 16-bit quarters that stay when the other two are masked.
 _HALVES = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
-#: Greatest distance that the half variants cover: of four quarters with six differences two hold at most two.
-WIDE_RADIUS = 6
+#: Distance that the half variants cover in full (of four quarters with six differences two hold at most two), and
+#: the greatest distance of pairs that meet in them and go on to the exact check.
+WIDE_RADIUS, CHECKED_RADIUS = 6, 10
 #: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
 _BROADCAST_IDS = 1_000_000
 
@@ -173,7 +174,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of fingerprints at most six bits apart, ``a < b``, from the variants within one flip of each half.
+    """Pairs ``(a, b)``, ``a < b``, of fingerprints that share a variant within one flip of a half: all up to six bits apart, and some up to ten.
 
     All members of a variant are tied to its smallest node and to the one before, not to each other; a fingerprint has
     198 variants, so close pairs meet in many of them.
@@ -190,7 +191,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     tied = members.select("node", F.array_distinct(F.array(F.lag("node").over(w), F.first("node").over(w))).alias("others"))
     pairs = tied.select(F.explode("others").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
     one, two = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return pairs.join(one, "a").join(two, "b").where(f"bit_count(fa ^ fb) <= {WIDE_RADIUS}").select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(f"bit_count(fa ^ fb) <= {CHECKED_RADIUS}").select("a", "b")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -225,7 +226,8 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
-    Candidates are texts whose SimHash over words lies within six bits (ball hashing over masked halves); a candidate
+    Candidates are texts whose SimHash over their distinct words lies within six bits (ball hashing over masked halves;
+    distinct words, as frequent ones would make all long texts of a language alike); a candidate
     pair is a link if the sets of ``shingle_words``-word shingles have a Jaccard similarity of at least ``similarity``.
     Groups are the components of links; texts with equal words are one group from the start (so are all texts without
     words). Rows without an id are kept. Of repeated rows (equal id and text) one is kept. All columns stay; an empty
@@ -239,7 +241,7 @@ def drop_near_duplicates(
             for t in b.column(2).to_pylist():
                 words = words_of(t)
                 both = xxhash.xxh128_intdigest(b" ".join(words))
-                rows.append((fingerprint(words, 1), (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)))
+                rows.append((fingerprint(sorted(set(words)), 1), (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)))
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "h", "fp", "d1", "d2"])
 
@@ -250,16 +252,17 @@ def drop_near_duplicates(
     pairs = staged(candidate_pairs(nodes.select("node", "fp").groupBy("node").agg(F.min("fp").alias("fp"))), "candidates")
     asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t")), "asked")
     texts = key.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", F.col(text_col).alias("text"))
-    sets = staged(_shingle_sets(texts, shingle_words).dropDuplicates(["node"]), "shingle-sets")
+    again = staged(light.groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
+    repeated = again.count() > 0
+    sets = staged(_shingle_sets(texts.dropDuplicates(["node"]) if repeated else texts, shingle_words), "shingle-sets")
     sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     roots = connected_components(_similar(sized, similarity))
     named = nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root"), "node")
     marked = light.join(named, ["d1", "d2"])
     stays = (F.col("node") == F.col("root")) & (F.struct("id", "h") == F.col("of"))
     gone = staged(marked.where(~stays).select(F.col("id").alias("__i"), F.col("h").alias("__t")).distinct(), "removed")
-    again = staged(marked.where(stays).groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
     same = (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))
     kept = key.join(_small(gone), same, "left_anti")
-    if again.count():
+    if repeated:
         kept = kept.join(_small(again), same, "left_anti").union(kept.join(_small(again), same, "left_semi").dropDuplicates(["__id", "__h"]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
