@@ -76,10 +76,10 @@ def leaf_budgets(supply: DataFrame, weights: dict[str, dict], total: Column | in
     """
     leaf = supply.withColumn("capacity", F.col("tokens") * max_epochs)
     domain = leaf.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
-    root = domain.agg(F.sum("capacity").alias("most"), F.sum("tokens").alias("all"))
-    wanted = F.lit(total).cast("long") if total is not None else F.floor(F.col("all") * F.lit(float(total_share)))
-    root = root.select(F.least(wanted, F.col("most")).alias("root_budget"))
-    domains = domain.crossJoin(F.broadcast(root)).withColumn("weight", _weight(weights, "domain")).withColumn("tree", F.lit(0))  # root: one row
+    root = Window.partitionBy("tree")
+    wanted = F.lit(total).cast("long") if total is not None else F.floor(F.sum("tokens").over(root) * F.lit(float(total_share)))
+    domains = domain.withColumn("weight", _weight(weights, "domain")).withColumn("tree", F.lit(0))
+    domains = domains.withColumn("root_budget", F.least(wanted, F.sum("capacity").over(root)))
     domains = _share(domains, ["tree"], "domain", "root_budget").select("domain", F.col("budget").alias("domain_budget"))
     langs = leaf.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(domains, "domain").withColumn("weight", _weight(weights, "lang"))
     langs = _share(langs, ["domain"], "lang", "domain_budget").select("domain", "lang", F.col("budget").alias("lang_budget"))
