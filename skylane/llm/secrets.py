@@ -25,7 +25,7 @@ STRONG = {"assign": (_ASSIGN, 2, 12), "access": ("AKIA[A-Z0-9]{14,}", 0, 18), "h
 WEAK = {"id": (_ID, 2, 6), "key": ("[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24), "endpoint": ("https?://[^\\x00-\\x20\"'<>]+", 0, 10)}
 #: What a part can complete: identifiers and secrets.
 _ROLE = {"access": "id", "id": "id", "assign": "secret", "hex": "secret", "key": "secret"}
-#: Greatest gap in code points between parts of one credential.
+#: Parts of one credential stand less than this many code points apart.
 SCOPE = 256
 
 _SPAN = "start int, ord int, end int, kind string"
@@ -89,7 +89,7 @@ def _linked(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
     other = parts.select(*keys, F.explode(F.concat("__base", "__weak")).alias("p")).select(*keys, "p", F.col("p.start").alias("from"), F.col("p.end").alias("to"))
     other = other.where(F.col("p.kind").isin(list(_ROLE))).withColumn("bucket", F.explode(F.sequence(bucket("from", 0), bucket("to", -1))))
     same = [weak[k].eqNullSafe(other[k]) for k in keys]
-    near = (F.col("from") - F.col("end") <= scope) & (F.col("start") - F.col("to") <= scope) & (F.col("p") != F.col("w"))
+    near = (F.col("from") - F.col("end") < scope) & (F.col("start") - F.col("to") < scope) & (F.col("p") != F.col("w"))
     met = weak.join(other, [*same, weak["bucket"] == other["bucket"], near]).select(*[weak[k] for k in keys], "w", role[F.col("p.kind")].alias("role"))
     roles = met.groupBy(*keys, "w").agg(F.max(F.col("role") == "id").alias("has_id"), F.max(F.col("role") == "secret").alias("has_secret"))
     complete = (
