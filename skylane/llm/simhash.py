@@ -251,7 +251,8 @@ def drop_near_duplicates(
     # Ids may repeat with other texts; the node number then names the first of them, so nodes are numbered by id and text.
     pairs = staged(candidate_pairs(nodes.select("node", "fp").groupBy("node").agg(F.min("fp").alias("fp"))), "candidates")
     asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t")), "asked")
-    texts = key.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", F.col(text_col).alias("text"))
+    whole = key.select("__id", "__h", F.col(text_col).alias("text"))
+    texts = whole.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", "text")
     again = staged(light.groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
     repeated = again.count() > 0
     sets = staged(_shingle_sets(texts.dropDuplicates(["node"]) if repeated else texts, shingle_words), "shingle-sets")
