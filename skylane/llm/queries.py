@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from skylane.llm import oracle
 from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
 from skylane.llm.html import extract_pages
@@ -89,4 +90,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are no SQL (hashes, chunking, learning, tokenizers, parsing, matches with their places): tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": oracle.EMBEDDINGS,
+    "op6_source_mixing": oracle.mixing_sql(MIXTURE, 1.0, 3, 7),
+    "op9_license_scan": oracle.LICENSES,
+}
