@@ -173,23 +173,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of fingerprints that share a variant within one flip of a half: all up to six bits apart, and some up to ten.
-
-    All members of a variant are tied to its smallest node and to the one before, not to each other; a fingerprint has
-    198 variants, so close pairs meet in many of them.
-    """
-    parts = []
+def _half_variants(nodes: DataFrame) -> DataFrame:
+    """``nodes`` without ``fp``, a row for each ``key``: every half as it stands and with one bit flipped."""
+    keep, parts = [c for c in nodes.columns if c != "fp"], []
     for k, (a, b) in enumerate(_HALVES):
         half = f"((shiftrightunsigned(fp, {16 * a}) & 65535L) | shiftleft(shiftrightunsigned(fp, {16 * b}) & 65535L, 16))"
         keys = f"array_append(transform({_flips(0, 32)}, x -> ({half} ^ x) | {k << 32}L), {half} | {k << 32}L)"
-        parts.append(nodes.select("node", F.explode(F.expr(keys)).alias("key")))
+        parts.append(nodes.select(*keep, F.explode(F.expr(keys)).alias("key")))
     members = parts[0]
     for p in parts[1:]:
         members = members.union(p)
+    return members
+
+
+def candidate_pairs(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of fingerprints that share a variant within one flip of a half: all up to six bits apart, and some up to ten.
+
+    All members of a variant are tied to its smallest node. With ``roots`` (the components of an earlier round) they are
+    tied to the node before instead, and only where that one stands in another component; so a large group of near
+    copies, which the first round brings together, makes no pairs in the second.
+    """
     w = Window.partitionBy("key").orderBy("node")
-    tied = members.select("node", F.array_distinct(F.array(F.lag("node").over(w), F.first("node").over(w))).alias("others"))
-    pairs = tied.select(F.explode("others").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    if roots is None:
+        tied = _half_variants(nodes).select(F.first("node").over(w).alias("a"), F.col("node").alias("b"))
+    else:
+        named = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+        before = _half_variants(named).select("node", "root", F.lag("node").over(w).alias("a"), F.lag("root").over(w).alias("other"))
+        tied = before.where("other <> root").select("a", F.col("node").alias("b"))
+    pairs = tied.where("a < b").distinct()
     one, two = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
     return pairs.join(one, "a").join(two, "b").where(f"bit_count(fa ^ fb) <= {CHECKED_RADIUS}").select("a", "b")
 
@@ -249,15 +260,20 @@ def drop_near_duplicates(
     light = staged(rows.mapInArrow(describe, "id long, h long, fp long, d1 long, d2 long"), "described")
     nodes = staged(light.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.min(F.struct("id", "h")).alias("of")), "distinct-texts")
     # Ids may repeat with other texts; the node number then names the first of them, so nodes are numbered by id and text.
-    pairs = staged(candidate_pairs(nodes.select("node", "fp").groupBy("node").agg(F.min("fp").alias("fp"))), "candidates")
-    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t")), "asked")
-    whole = key.select("__id", "__h", F.col(text_col).alias("text"))
-    texts = whole.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", "text")
+    numbered = staged(nodes.groupBy("node").agg(F.min("fp").alias("fp")), "numbered")
     again = staged(light.groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
     repeated = again.count() > 0
-    sets = staged(_shingle_sets(texts.dropDuplicates(["node"]) if repeated else texts, shingle_words), "shingle-sets")
-    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = connected_components(_similar(sized, similarity))
+    whole = key.select("__id", "__h", F.col(text_col).alias("text"))
+    links = roots = None
+    for _ in range(2):
+        pairs = staged(candidate_pairs(numbered, roots), "candidates")
+        asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t")), "asked")
+        texts = whole.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", "text")
+        sets = staged(_shingle_sets(texts.dropDuplicates(["node"]) if repeated else texts, shingle_words), "shingle-sets")
+        sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        found = staged(_similar(sized, similarity), "links")
+        links = found if links is None else links.union(found)
+        roots = connected_components(links)
     named = nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root"), "node")
     marked = light.join(named, ["d1", "d2"])
     stays = (F.col("node") == F.col("root")) & (F.struct("id", "h") == F.col("of"))
