@@ -13,6 +13,7 @@ exact again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,12 +206,17 @@ def candidate_pairs(nodes: DataFrame, roots: DataFrame | None = None) -> DataFra
     return pairs.join(one, "a").join(two, "b").where(f"bit_count(fa ^ fb) <= {CHECKED_RADIUS}").select("a", "b")
 
 
+def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text, as signed numbers."""
+    return np.sort(np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(text), size)])).view(np.int64))
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """Sorted distinct shingle hashes of each text: ``(node, shingles)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(t), size)])).view(np.int64) for t in b.column(1).to_pylist()]
+            sets = [_shingle_set(t, size) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return docs.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
@@ -232,14 +238,108 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Rounds that tie texts to one pivot for each shingle, before all pairs that are still apart are looked at.
+_STAR_ROUNDS = 2
+#: One text in so many is read for the frequencies; shingles with this count there or more, up to a number, are frequent.
+_SAMPLED, _FREQUENT, _FREQUENT_ROWS = 8, 3, 1 << 16
+
+
+def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (sorted) that are frequent in a sample of the texts, and their counts. They only set the order of shingles, so no result depends on the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(t, size))], names=["key"])
+
+    sample = texts.where(f"pmod(xxhash64(node), {_SAMPLED}) = 0").select(F.col("text").cast("binary").alias("text"))
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where(f"count >= {_FREQUENT}")
+    rows = sorted((r["key"], r["count"]) for r in counts.orderBy(F.desc("count"), "key").limit(_FREQUENT_ROWS).collect())
+    return np.array([k for k, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
+
+
+def _least(n: str, similarity: float) -> str:
+    """SQL of the least overlap that a set of ``n`` shingles can have with a similar one."""
+    return f"ceil({similarity}D * {n} - 1e-9D)"
+
+
+def _meeting(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Prefix shingles that two texts or more have in common: ``(key, node, n)``, ``n`` the size of the text's shingle set.
+
+    Shingles have one order for all texts: frequent ones last, else by hash. Two sets with the similarity share a shingle
+    among the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is.
+    """
+    keys, counts = _frequent(texts, size)
+    shared = texts.sparkSession.sparkContext.broadcast((keys, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = _shingle_set(t, size)
+                n = len(x)
+                if not n:
+                    continue
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                    x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
+                x = x[: n - math.ceil(similarity * n - 1e-9) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), n))], names=["key", "node", "n"])
+
+    prefixes = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, n long")
+    counted = prefixes.withColumn("members", F.count("*").over(Window.partitionBy("key")))
+    return staged(counted.where("members > 1").drop("members"), "meeting")
+
+
+def _rooted(meeting: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``meeting`` with ``root``, without the keys whose texts all stand in one component."""
+    if roots is None:
+        return meeting.withColumn("root", F.col("node"))
+    named = meeting.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    by_key = Window.partitionBy("key")
+    return named.withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).where("lo <> hi").drop("lo", "hi")
+
+
+def _enough(tied: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of rows ``(a, na, b, nb)``, a row for each prefix shingle in common, that can have the similarity.
+
+    Shingles up to the smaller of the two last prefix shingles are in common only if they are so in the prefixes; of
+    the others there are as many as that text has after its prefix.
+    """
+    need = f"ceil({similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D)"
+    after = f"greatest({_least('na', similarity)}, {_least('nb', similarity)}) - 1"
+    pairs = tied.where(f"least(na, nb) >= {_least('greatest(na, nb)', similarity)}").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    return pairs.where(f"shared >= {need} - ({after})").select("a", "b")
+
+
+def _tied_to_pivots(meeting: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+    """Pairs of each text with one pivot text for each shingle, if that stands in another component.
+
+    This brings large groups of near copies together at one row a shingle, before ``_all_across`` looks at pairs.
+    """
+    pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n")).over(Window.partitionBy("key"))
+    tied = _rooted(meeting, roots).withColumn("p", pivot).where("p.root <> root")
+    first = F.col("node") < F.col("p.node")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return _enough(tied.select(pick("node", "p.node").alias("a"), pick("n", "p.n").alias("na"), pick("p.node", "node").alias("b"), pick("p.n", "n").alias("nb")), similarity)
+
+
+def _all_across(meeting: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of texts in different components that share enough prefix shingles; none that is similar is missing."""
+    left = staged(_rooted(meeting, roots), "across")
+    one = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    two = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    fits = f"least(na, nb) >= {_least('greatest(na, nb)', similarity)}"
+    return _enough(one.join(two, "key").where(f"a < b and ra <> rb and {fits}"), similarity)
+
+
 def drop_near_duplicates(
     docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
-    Candidates are texts whose SimHash over their distinct words lies within six bits (ball hashing over masked halves;
-    distinct words, as frequent ones would make all long texts of a language alike); a candidate
-    pair is a link if the sets of ``shingle_words``-word shingles have a Jaccard similarity of at least ``similarity``.
+    A pair is a link if the sets of ``shingle_words``-word shingles have a Jaccard similarity of at least ``similarity``.
+    Candidates come from an equi join on prefix shingles, which misses no such pair, and are then checked.
     Groups are the components of links; texts with equal words are one group from the start (so are all texts without
     words). Rows without an id are kept. Of repeated rows (equal id and text) one is kept. All columns stay; an empty
     table gives an empty result.
@@ -252,28 +352,29 @@ def drop_near_duplicates(
             for t in b.column(2).to_pylist():
                 words = words_of(t)
                 both = xxhash.xxh128_intdigest(b" ".join(words))
-                rows.append((fingerprint(sorted(set(words)), 1), (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)))
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "h", "fp", "d1", "d2"])
+                rows.append(((both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)))
+            columns = list(zip(*rows)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "h", "d1", "d2"])
 
     rows = key.where("__id is not null").select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).cast("binary").alias("text"))
-    light = staged(rows.mapInArrow(describe, "id long, h long, fp long, d1 long, d2 long"), "described")
-    nodes = staged(light.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.min(F.struct("id", "h")).alias("of")), "distinct-texts")
-    # Ids may repeat with other texts; the node number then names the first of them, so nodes are numbered by id and text.
-    numbered = staged(nodes.groupBy("node").agg(F.min("fp").alias("fp")), "numbered")
+    light = staged(rows.mapInArrow(describe, "id long, h long, d1 long, d2 long"), "described")
+    nodes = staged(light.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.min(F.struct("id", "h")).alias("of")), "distinct-texts")
     again = staged(light.groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
     repeated = again.count() > 0
     whole = key.select("__id", "__h", F.col(text_col).alias("text"))
+    texts = whole.join(_small(nodes.select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t"))), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", "text")
+    texts = texts.dropDuplicates(["node"]) if repeated else texts
+    meeting = _meeting(texts, shingle_words, similarity)
     links = roots = None
-    for _ in range(2):
-        pairs = staged(candidate_pairs(numbered, roots), "candidates")
-        asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t")), "asked")
-        texts = whole.join(_small(asked), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", "text")
-        sets = staged(_shingle_sets(texts.dropDuplicates(["node"]) if repeated else texts, shingle_words), "shingle-sets")
+    for turn in range(_STAR_ROUNDS + 1):
+        tied = _tied_to_pivots(meeting, roots, turn, similarity) if turn < _STAR_ROUNDS else _all_across(meeting, roots, similarity)
+        pairs = staged(tied, "candidates")
+        asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+        sets = staged(_shingle_sets(texts.join(_small(asked), "node"), shingle_words), "shingle-sets")
         sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         found = staged(_similar(sized, similarity), "links")
         links = found if links is None else links.union(found)
-        roots = connected_components(links)
+        roots = staged(connected_components(links), "roots")
     named = nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root"), "node")
     marked = light.join(named, ["d1", "d2"])
     stays = (F.col("node") == F.col("root")) & (F.struct("id", "h") == F.col("of"))

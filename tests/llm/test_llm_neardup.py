@@ -78,6 +78,29 @@ def test_drop_near_duplicates_leaves_no_similar_pair_and_drops_no_other(spark):
     assert len(kept - want) <= 0.02 * (len(sets) - len(want))  # similar pairs that ball hashing over words does not bring together
 
 
+def _words(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def _kept_and_wanted(spark, texts):
+    """Ids kept of texts numbered from 0, and those that brute force keeps."""
+    sets = [frozenset(shingles(t, 5)) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = components(range(len(sets)), near)
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS)).select("doc_id").collect()}
+    return kept, {d for d in roots if roots[d] == d}
+
+
+def test_drop_near_duplicates_finds_texts_with_a_passage_added(spark):
+    rng, texts = random.Random(8), []
+    for k in range(200):
+        base = _words(rng, rng.randrange(60, 300))
+        share = (0.24, 0.2, 0.15, 0.26)[k % 4]  # of the base; Jaccard 0.81, 0.83, 0.87 and below 0.8
+        texts += [" ".join(base), " ".join(base + ["footer"] * 2 + _words(rng, int(share * len(base)) - 2))]
+    kept, want = _kept_and_wanted(spark, texts)
+    assert kept == want and 200 < len(want) < 300
+
+
 def test_drop_near_duplicates_odd_rows(spark):
     rows = [(1, "one two three four five six", "x"), (2, "One  two three four five SIX", "x"), (2, "One  two three four five SIX", "x"), (3, None, "x"), (4, "", "x"),
             (None, "one two three four five six", "x"), (5, "other words stand here now", "x"), (5, "yet another text of the same id", "x")]
