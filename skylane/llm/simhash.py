@@ -160,11 +160,6 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, id_col: str = "d
     return fps.join(named, "fp", "left").select("doc_id", "fp", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Pairs of the four 16-bit quarters that stay when the other two are masked.
-_HALVES = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
-#: Distance that the half variants cover in full (of four quarters with six differences two hold at most two), and
-#: the greatest distance of pairs that meet in them and go on to the exact check.
-WIDE_RADIUS, CHECKED_RADIUS = 6, 10
 #: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
 _BROADCAST_IDS = 1_000_000
 
@@ -174,38 +169,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
 
 
-def _half_variants(nodes: DataFrame) -> DataFrame:
-    """``nodes`` without ``fp``, a row for each ``key``: every half as it stands and with one bit flipped."""
-    keep, parts = [c for c in nodes.columns if c != "fp"], []
-    for k, (a, b) in enumerate(_HALVES):
-        half = f"((shiftrightunsigned(fp, {16 * a}) & 65535L) | shiftleft(shiftrightunsigned(fp, {16 * b}) & 65535L, 16))"
-        keys = f"array_append(transform({_flips(0, 32)}, x -> ({half} ^ x) | {k << 32}L), {half} | {k << 32}L)"
-        parts.append(nodes.select(*keep, F.explode(F.expr(keys)).alias("key")))
-    members = parts[0]
-    for p in parts[1:]:
-        members = members.union(p)
-    return members
-
-
-def candidate_pairs(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of fingerprints that share a variant within one flip of a half: all up to six bits apart, and some up to ten.
-
-    All members of a variant are tied to its smallest node. With ``roots`` (the components of an earlier round) they are
-    tied to the node before instead, and only where that one stands in another component; so a large group of near
-    copies, which the first round brings together, makes no pairs in the second.
-    """
-    w = Window.partitionBy("key").orderBy("node")
-    if roots is None:
-        tied = _half_variants(nodes).select(F.first("node").over(w).alias("a"), F.col("node").alias("b"))
-    else:
-        named = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-        before = _half_variants(named).select("node", "root", F.lag("node").over(w).alias("a"), F.lag("root").over(w).alias("other"))
-        tied = before.where("other <> root").select("a", F.col("node").alias("b"))
-    pairs = tied.where("a < b").distinct()
-    one, two = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return pairs.join(one, "a").join(two, "b").where(f"bit_count(fa ^ fb) <= {CHECKED_RADIUS}").select("a", "b")
-
-
 def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text, as signed numbers."""
     return np.sort(np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(text), size)])).view(np.int64))

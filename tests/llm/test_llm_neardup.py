@@ -101,6 +101,18 @@ def test_drop_near_duplicates_finds_texts_with_a_passage_added(spark):
     assert kept == want and 200 < len(want) < 300
 
 
+def test_drop_near_duplicates_finds_pairs_of_interleaved_templates(spark):
+    rng, texts = random.Random(9), []
+    page = _words(rng, 240)
+    for _ in range(60):  # two pages of each family stand far apart in the order of ids, among all other families
+        own = _words(rng, 36)
+        texts.append(" ".join(page[:100] + own + page[100:]))
+    texts += [t + " " + " ".join(_words(rng, 8)) for t in rng.sample(texts, 60)]
+    texts = [" ".join(page[:150])] + texts
+    kept, want = _kept_and_wanted(spark, texts)
+    assert kept == want and len(want) == 61
+
+
 def test_drop_near_duplicates_odd_rows(spark):
     rows = [(1, "one two three four five six", "x"), (2, "One  two three four five SIX", "x"), (2, "One  two three four five SIX", "x"), (3, None, "x"), (4, "", "x"),
             (None, "one two three four five six", "x"), (5, "other words stand here now", "x"), (5, "yet another text of the same id", "x")]
