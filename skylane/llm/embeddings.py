@@ -133,8 +133,8 @@ def embedding_components(
     ids = keyed.select("vec_id", "h1", "h2")
     nodes = staged(
         keyed.where("ok").groupBy("h1", "h2").agg(
-            F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
-        ).withColumn("size", F.size("embedding")),
+            F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
+        ).withColumn("size", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()),
         "vectors",
     )
     links = None
@@ -146,9 +146,12 @@ def embedding_components(
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(links.where("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b")))
     named = (
-        nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
-        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
+        nodes.select("h1", "h2", "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
+        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "node").alias("number"), "least")
     )
+    # An id may repeat with another vector, so vectors have numbers of their own; a component's name is its smallest id.
+    named = staged(named, "components")
+    named = named.join(named.groupBy("number").agg(F.min("least").alias("root")), "number").select("h1", "h2", "links", "root")
     return ids.join(named, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(False)).alias("kept"),

@@ -321,7 +321,7 @@ def drop_near_duplicates(
 
     rows = key.where("__id is not null").select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).cast("binary").alias("text"))
     light = staged(rows.mapInArrow(describe, "id long, h long, d1 long, d2 long"), "described")
-    nodes = staged(light.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.min(F.struct("id", "h")).alias("of")), "distinct-texts")
+    nodes = staged(light.groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("of")).withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
     again = staged(light.groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
     repeated = again.count() > 0
     whole = key.select("__id", "__h", F.col(text_col).alias("text"))
@@ -338,10 +338,11 @@ def drop_near_duplicates(
         found = staged(_similar(sized, similarity), "links")
         links = found if links is None else links.union(found)
         roots = staged(connected_components(links), "roots")
-    named = nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root"), "node")
-    marked = light.join(named, ["d1", "d2"])
-    stays = (F.col("node") == F.col("root")) & (F.struct("id", "h") == F.col("of"))
-    gone = staged(marked.where(~stays).select(F.col("id").alias("__i"), F.col("h").alias("__t")).distinct(), "removed")
+    # Ids may repeat with other texts, so distinct texts have numbers of their own; the smallest id and text of a group stays.
+    named = staged(nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min("of").alias("first"))
+    marked = light.join(named.join(first, "root").select("d1", "d2", "first"), ["d1", "d2"])
+    gone = staged(marked.where(F.struct("id", "h") != F.col("first")).select(F.col("id").alias("__i"), F.col("h").alias("__t")).distinct(), "removed")
     same = (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))
     kept = key.join(_small(gone), same, "left_anti")
     if repeated:

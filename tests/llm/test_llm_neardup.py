@@ -123,6 +123,14 @@ def test_drop_near_duplicates_odd_rows(spark):
     assert drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_drop_near_duplicates_keeps_a_clean_text_whose_id_has_a_near_copy(spark):
+    rng = random.Random(10)
+    base, clean = " ".join(_words(rng, 80)), " ".join(_words(rng, 80))
+    rows = [(1, base), (2, clean), (2, base + " tail"), (3, clean + " tail")]
+    out = sorted(tuple(r) for r in drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert out == [(1, base), (2, clean)]
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, node string")
 
@@ -156,6 +164,12 @@ def test_embeddings_equal_brute_force(spark, tile_rows):
     assert embedding_components(_vectors(spark, [])).count() == 0
 
 
+def test_embeddings_of_one_id_are_not_merged(spark):
+    rows = [(1, 0, [1.0, 0.0, 0.0]), (2, 0, [0.0, 1.0, 0.0]), (2, 0, [0.999, 0.001, 0.0]), (3, 0, [0.001, 0.999, 0.0])]
+    got = embedding_components(_vectors(spark, [(*r, "n") for r in rows])).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False)]
+
+
 def test_embeddings_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
