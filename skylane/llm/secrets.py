@@ -19,7 +19,7 @@ _ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-_ID = "([Cc]lient|[Aa]ccess|[Aa]ccount|[Kk]ey)_?[Ii][Dd][\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_-]+)"
+_ID = "([Cc][Ll][Ii][Ee][Nn][Tt]|[Aa][Cc][Cc][Ee][Ss][Ss]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Kk][Ee][Yy])_?[Ii][Dd][\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_-]+)"
 #: kind: pattern, group that is measured, its least length. Hex and access runs are greedy, so a bound in the pattern drops what a later check would.
 STRONG = {"assign": (_ASSIGN, 2, 12), "access": ("AKIA[A-Z0-9]{14,}", 0, 18), "hex": ("[0-9a-f]{16,}", 0, 16)}
 WEAK = {"id": (_ID, 2, 6), "key": ("[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24), "endpoint": ("https?://[^\\x00-\\x20\"'<>]+", 0, 10)}

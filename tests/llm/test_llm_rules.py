@@ -158,3 +158,10 @@ def test_pipeline_on_empty_and_odd_documents(spark, tmp_path):
             assert stage(spark, docs, SF).columns == docs.columns
             stage(spark, docs, SF).count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_upper_case_identifiers_complete_a_credential(spark):
+    key = "Ab3" * 9
+    rows = [(k, f"{name} {key} https://host.example/path") for k, name in enumerate(("CLIENT_ID=abcdef", "ACCOUNT_ID: abcdef", "KEY_ID=abcdef", "client_id=abcdef"))]
+    got = secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [[x["kind"] for x in r.spans] for r in sorted(got, key=lambda r: r.doc_id)] == [["id", "key", "endpoint"]] * 4
