@@ -2,6 +2,7 @@
 
 Features of a text are counts of hashed n-grams over its words: the lowered words (one and two), their shapes (letters
 as 'a', digits as '0', other characters kept, runs cut to two), one and two, and whether a word repeats the one before.
+A word of over 64 characters is followed by its overlapping parts of three, which count as words.
 Each family is scaled to length one; a score is the logistic of a sparse dot product.
 
 Training is FTRL-Proximal on shards of a bounded sample; the shards' weights are averaged. Shards and the order within
@@ -26,6 +27,12 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Families of features: words, word pairs, shapes, shape pairs, repeats.
 _FAMILIES = 5
 _REPEAT = 12345
+#: Words over this length (texts without white space, encoded data) also count by all their parts of some characters.
+_UNBROKEN, _PART = 64, 3
+
+
+def _parts(word: str) -> list[str]:
+    return [word[k : k + _PART] for k in range(len(word) - _PART + 1)]
 
 
 class Features:
@@ -35,12 +42,13 @@ class Features:
         self.bits, self.kept, self.known = np.uint64(64 - bits), kept, {}
 
     def _hashes(self, word: str) -> tuple[int, int]:
-        lowered = _RUN.sub(r"\1\1", word[:64].lower())
+        lowered = _RUN.sub(r"\1\1", word.lower())
         shape = _RUN.sub(r"\1\1", _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)))
-        pair = xxhash.xxh64_intdigest(lowered, 1), xxhash.xxh64_intdigest(shape[:16], 2)
+        pair = xxhash.xxh64_intdigest(lowered, 1), xxhash.xxh64_intdigest(shape, 2)
         if len(self.known) >= self.kept:
             self.known.clear()
-        self.known[word] = pair
+        if len(word) <= _UNBROKEN:
+            self.known[word] = pair
         return pair
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +56,8 @@ class Features:
         words = (text or "").split()
         if not words:
             return np.empty(0, np.int64), np.empty(0)
+        if any(len(w) > _UNBROKEN for w in words):
+            words = [part for w in words for part in ([w, *_parts(w)] if len(w) > _UNBROKEN else [w])]
         known, make = self.known, self._hashes
         h = np.array([known.get(w) or make(w) for w in words], dtype=np.uint64)
         word, shape = h[:, 0], h[:, 1]

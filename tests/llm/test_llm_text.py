@@ -201,3 +201,12 @@ def test_pages_odd_rows(spark):
     whole = QUERIES["op8_html_extraction"](spark, SF)
     assert whole.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert whole.where(F.length("text") != F.col("n_chars")).count() == 0 and whole.where("n_chars > 0").count() > 0.9 * whole.count()
+
+
+def test_every_character_of_a_long_word_is_a_feature():
+    features = quality.Features(18)
+    long = "".join(chr(0x4E00 + k * 7 % 5000) for k in range(300))
+    parts = [set(features(t)[0].tolist()) for t in (long, long[:200] + "x1y" + long[203:], long[:200])]
+    assert parts[0] != parts[1] and len(parts[0] - parts[2]) > 50
+    assert set(features("https://a.example/" + "b/" * 10 + "1")[0].tolist()) != set(features("https://a.example/" + "b/" * 10 + "%")[0].tolist())
+    assert max(map(len, features.known)) <= 64
