@@ -44,6 +44,9 @@ _OUT_NAMES = frozenset(
     " navigation newsletter notice notices notification pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip"
     " social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand before and after them in one class; any other word makes it a class of its own (has-sidebar, comments-open).
+_BEFORE = frozenset("article bottom entry global header left main mobile page post primary right secondary site top".split())
+_AFTER = frozenset("area bar block body box button buttons container form icons inner item items left links list outer panel posts right section slot text unit wrap wrapper".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status".split())
 #: End tags that some elements do without: a new one ends an open one of the same set.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,29 +56,44 @@ _LONG, _SHORT = 12, 5
 _LINKED, _DENSE = 0.5, 0.15
 
 
-def _is_out(name: str, attributes: str, in_main: bool) -> bool:
+#: An element is out by a class or id that only names it so (an article or main element in it may still be the text), or for good.
+NAMED, OUT = 1, 2
+
+
+def _names_out(token: str) -> bool:
+    """Whether a class or id is made of words that mark an element as out, and of known words around them only."""
+    words = [w for w in _SPLIT_NAME.split(token) if w]
+    while words and words[0] in _BEFORE:
+        del words[0]
+    while words and words[-1] in _AFTER:
+        del words[-1]
+    return bool(words) and _OUT_NAMES.issuperset(words)
+
+
+def _is_out(name: str, attributes: str, in_main: bool) -> int:
     if name in _OUT or (name == "header" and not in_main):
-        return True
+        return OUT
     if not attributes.strip():
-        return False
+        return 0
+    named = 0
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return OUT
         if key == "role" and value in _OUT_ROLES:
-            return True
+            return OUT
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id") and not _OUT_NAMES.isdisjoint(_SPLIT_NAME.split(value)):
-            return name not in ("body", "html", "main")
-    return False
+            return OUT
+        if key in ("class", "id") and any(map(_names_out, value.split())) and name not in ("body", "html", "main"):
+            named = OUT if in_main and name not in _MAIN else NAMED
+    return named
 
 
-def blocks_of(html: str) -> list[tuple[str, int, bool, bool]]:
+def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
     """Blocks in page order: text (one space for any white space), linked characters, stands out of the text, stands in an article."""
     blocks, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, out, in main, in link
-    out = main = link = False
+    stack: list[tuple[str, int, bool, bool]] = []  # name, out, in main, in link
+    out, main, link = 0, False, False
     raw_until = None
     at = 0
 
@@ -130,15 +148,15 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, bool]]:
             if ends:
                 while stack and (stack[-1][0] in ends or stack[-1][0] not in _BLOCK and any(s[0] in ends for s in stack[-4:])):
                     stack.pop()
-            stack.append((name, out_now := (out or _is_out(name, tag[3], main)), main or (name in _MAIN and not out_now), link or name == "a"))
-        out, main, link = stack[-1][1:] if stack else (False, False, False)
+            stack.append((name, out_now := max(out, _is_out(name, tag[3], main)), main or (name in _MAIN and out_now < OUT), link or name == "a"))
+        out, main, link = stack[-1][1:] if stack else (0, False, False)
     if not raw_until:
         text(html[at:])
     close()
     return blocks
 
 
-def first_pass(block: tuple[str, int, bool, bool]) -> int:
+def first_pass(block: tuple[str, int, int, bool]) -> int:
     """Label by place, share of linked text, length and density of stop words."""
     text, linked, out, main = block
     if out:
@@ -172,6 +190,8 @@ def main_text(html: str | None) -> str:
     """Main text of a page, a line for each block; empty if there is none."""
     blocks = blocks_of(html or "")
     article = [b for b in blocks if b[3] and not b[2]]
+    if not article:  # articles only where a class names them out (comments, teasers beside an article stay out)
+        article = [(text, linked, 0, main) for text, linked, out, main in blocks if main and out < OUT]
     if article:
         kept = second_pass([first_pass(b) for b in article], GOOD)
         return "\n".join(b[0] for b, k in zip(article, kept) if k == GOOD)

@@ -210,3 +210,15 @@ def test_every_character_of_a_long_word_is_a_feature():
     assert parts[0] != parts[1] and len(parts[0] - parts[2]) > 50
     assert set(features("https://a.example/" + "b/" * 10 + "1")[0].tolist()) != set(features("https://a.example/" + "b/" * 10 + "%")[0].tolist())
     assert max(map(len, features.known)) <= 64
+
+
+def test_a_class_that_only_contains_an_out_word_keeps_the_text():
+    text = "This is the main text of the page and it is long enough to be kept as it stands here with you."
+    for page in (
+        f'<div class="content has-sidebar"><p>{text}</p></div>', f'<article class="post comments-open"><p>{text}</p></article>',
+        f'<div id="content-sidebar-wrap"><p>{text}</p></div>', f'<div class="sidebar"><article><p>{text}</p></article></div>',
+    ):
+        assert main_text(page) == text
+    for name in ("ad", "site-footer", "ad-slot", "box related-posts", "cookie_banner"):
+        assert main_text(f'<article><p>{text}</p></article><div class="{name}"><article><p>Other {text}</p></article></div>') == text
+        assert main_text(f'<article><p>{text}</p><div class="{name}"><p>Other {text}</p></div></article>') == text
