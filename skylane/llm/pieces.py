@@ -39,6 +39,13 @@ _KEPT_LENGTH, _KEPT_PAIRS, _KEPT_TAILS = 32, 500_000, 10_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
+def check_inner_marks(pieces: Iterable[str]) -> None:
+    """Texts are cut before space marks, which is right only if a piece holds marks at its start alone (or nothing else)."""
+    bad = next((p for p in pieces if MARK in p.lstrip(MARK)), None)
+    if bad is not None:
+        raise ValueError(f"piece {bad!r} holds an inner space mark; texts can't be cut at spaces")
+
+
 def load_vocabulary(model_file: str) -> dict:
     """Pieces of a model file as plain values (to be broadcast): piece, score and kind by id."""
     import sentencepiece
@@ -46,6 +53,7 @@ def load_vocabulary(model_file: str) -> dict:
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     kinds = [_BYTE if m.is_byte(i) else _UNKNOWN if m.is_unknown(i) else _CONTROL if m.is_control(i) or m.is_unused(i) else _NORMAL for i in range(m.vocab_size())]
     probe = "͸͹"  # unassigned characters: only a byte vocabulary can spell them
+    check_inner_marks(m.id_to_piece(i) for i, k in enumerate(kinds) if k == _NORMAL)
     with open(model_file, "rb") as f:
         key = hashlib.sha256(f.read()).hexdigest()
     return {

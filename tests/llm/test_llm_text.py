@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skylane.llm import chunks, quality
 from skylane.llm.html import extract_pages, main_text, second_pass
-from skylane.llm.pieces import PieceCodec, decode_ids, encode_texts, load_vocabulary
+from skylane.llm.pieces import PieceCodec, check_inner_marks, decode_ids, encode_texts, load_vocabulary
 from skylane.llm.queries import QUERIES
 from skylane.llm.tokens import count_documents, document_token_counts, read_token_files
 
@@ -222,3 +222,9 @@ def test_a_class_that_only_contains_an_out_word_keeps_the_text():
     for name in ("ad", "site-footer", "ad-slot", "box related-posts", "cookie_banner"):
         assert main_text(f'<article><p>{text}</p></article><div class="{name}"><article><p>Other {text}</p></article></div>') == text
         assert main_text(f'<article><p>{text}</p><div class="{name}"><p>Other {text}</p></div></article>') == text
+
+
+def test_pieces_with_an_inner_space_mark_are_refused():
+    check_inner_marks(["\u2581", "\u2581\u2581", "\u2581the", "a"])
+    with pytest.raises(ValueError):
+        check_inner_marks(["\u2581of\u2581the"])
