@@ -405,8 +405,16 @@ def agg_live_weather(t):
 
 @_query
 def win_ffill(t):
-    w = Window.partitionBy("station").orderBy("datetime_ts", "obs_no")
-    return t("weather_raw").select("obs_no", "station", F.last(F.when(F.col("precip_daily_mm") > 0, F.col("precip_daily_mm")), ignorenulls=True).over(w).alias("precip_filled"))
+    # Filled within each day; what stands before a day's first value comes from the last values of the days, a row a day.
+    rows = t("weather_raw").select("obs_no", "station", F.to_date("datetime_ts").alias("day"), "datetime_ts", F.when(F.col("precip_daily_mm") > 0, F.col("precip_daily_mm")).alias("precip"))
+    order = F.when(F.col("precip").isNotNull(), F.struct("datetime_ts", "obs_no"))
+    days = rows.groupBy("station", "day").agg(F.max_by("precip", order).alias("latest"))
+    earlier = Window.partitionBy("station").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("station").alias("s"), F.col("day").alias("d"), F.last("latest", ignorenulls=True).over(earlier).alias("before"))
+    within = Window.partitionBy("station", "day").orderBy("datetime_ts", "obs_no")
+    filled = rows.withColumn("within", F.last("precip", ignorenulls=True).over(within))
+    joined = filled.join(days, F.col("station").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")), "left")
+    return joined.select("obs_no", "station", F.coalesce("within", "before").alias("precip_filled"))
 
 
 @_query

@@ -40,3 +40,9 @@ def test_query_equals_sql(spark, duck, name):
     got = sorted((tuple(_plain(r[c]) for c in order) for r in df.collect()), key=key)
     want = sorted((tuple(_plain(r[names.index(c)]) for c in order) for r in cur.fetchall()), key=key)
     assert got == want
+
+
+def test_forward_fill_windows_hold_a_day_of_a_station(spark):
+    plan = QUERIES["win_ffill"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    rows = [line for line in plan.splitlines() if "Window [last(precip#" in line]
+    assert rows and all("[station#" in line and ", day#" in line for line in rows)
