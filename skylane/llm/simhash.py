@@ -14,7 +14,8 @@ exact again.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylane.llm.staging import connected_components, staged
+from skylane.llm.staging import connected_components, discard, staged
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 _CHUNK = 1 << 16
@@ -53,22 +54,33 @@ def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
         yield np.array([digest(flat[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
 
 
-def fingerprint(words: list[bytes], size: int) -> int:
-    """64-bit SimHash as a signed integer: a bit is set if over half of the shingle hashes set it."""
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of blocks of shingle hashes as a signed integer: a bit is set if over half of the hashes set it."""
     ones, total = np.zeros(64, dtype=np.int64), 0
-    for h in shingle_hashes(words, size):
+    for h in hashes:
         ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(h)
     bits = np.packbits((2 * ones > total).astype(np.uint8), bitorder="little")
     return int(bits.view("<i8")[0])
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+_ROWS = 500
+
+
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def simhash_fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id long, fp long)`` for every row of ``docs``; a null or empty text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [fingerprint(words_of(t), shingle_words) for t in b.column(1).to_pylist()]
+        for b in _slices(batches):
+            fps = [fingerprint(shingle_hashes(words_of(t), shingle_words)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -165,7 +177,7 @@ _BROADCAST_IDS = 1_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A broadcast of at most ``_BROADCAST_IDS`` ids (two numbers each), else the table itself."""
+    """A broadcast of at most ``_BROADCAST_IDS`` ids (a few numbers each), else the table itself."""
     return F.broadcast(df) if df.count() <= _BROADCAST_IDS else df
 
 
@@ -174,25 +186,73 @@ def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.sort(np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(text), size)])).view(np.int64))
 
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Sorted distinct shingle hashes of each text: ``(node, shingles)``."""
+#: Bits of a shingle hash that name its counter. The table of counters has this fixed size whatever the size of the corpus.
+_COUNTER_BITS = 18
+
+
+def _counter_of(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - _COUNTER_BITS)).astype(np.int64)
+
+
+_DESCRIBED = "id long, h long, d1 long, d2 long, fp long, n long, slot long, uses long"
+
+
+def _described(rows: DataFrame, size: int) -> DataFrame:
+    """Of each text ``(id, h, text)``: a 128-bit digest of its words, its SimHash and the size of its shingle set.
+
+    Each task also adds rows ``(slot, uses)``: how many texts use the shingles of each counter.
+    """
+    names = [c.split()[0] for c in _DESCRIBED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(1 << _COUNTER_BITS, dtype=np.int64)
+        for b in _slices(batches):
+            out: list[list] = [[], [], [], []]
+            for t in b.column(2).to_pylist():
+                words = words_of(t)
+                hashes = list(shingle_hashes(words, size))
+                keys = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+                uses += np.bincount(_counter_of(keys), minlength=len(uses))
+                both = xxhash.xxh128_intdigest(b" ".join(words))
+                row = ((both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63), fingerprint(hashes), len(keys))
+                for column, value in zip(out, row):
+                    column.append(value)
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in out), none, none], names=names)
+        slots = np.flatnonzero(uses)
+        none = pa.nulls(len(slots), pa.int64())
+        yield pa.RecordBatch.from_arrays([*[none] * 6, pa.array(slots), pa.array(uses[slots])], names=names)
+
+    return rows.mapInArrow(run, _DESCRIBED)
+
+
+def _counters(described: DataFrame) -> np.ndarray:
+    """Uses of all counters over all texts: ``2 ** _COUNTER_BITS`` numbers at most come to the driver."""
+    sums = described.where("slot is not null").groupBy("slot").agg(F.sum("uses").alias("uses")).toArrow()
+    out = np.zeros(1 << _COUNTER_BITS, dtype=np.int64)
+    out[sums["slot"].to_numpy()] = sums["uses"].to_numpy()
+    return out
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """Sorted distinct shingle hashes of each text, eight bytes each: ``(node, shingles)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingle_set(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        for b in _slices(batches):
+            sets = [_shingle_set(t, size).astype("<i8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles binary")
 
 
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have that Jaccard similarity or more: ``(a, b)``."""
+    """Pairs whose shingle sets ``x`` and ``y`` have that Jaccard similarity or more: ``(a, b)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                x, y = np.frombuffer(x.as_buffer(), dtype="<i8"), np.frombuffer(y.as_buffer(), dtype="<i8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -201,24 +261,19 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-#: Rounds that tie texts to one pivot for each shingle, before all pairs that are still apart are looked at.
-_STAR_ROUNDS = 2
-#: One text in so many is read for the frequencies; shingles with this count there or more, up to a number, are frequent.
-_SAMPLED, _FREQUENT, _FREQUENT_ROWS = 8, 3, 1 << 16
-
-
-def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes (sorted) that are frequent in a sample of the texts, and their counts. They only set the order of shingles, so no result depends on the sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(t, size))], names=["key"])
-
-    sample = texts.where(f"pmod(xxhash64(node), {_SAMPLED}) = 0").select(F.col("text").cast("binary").alias("text"))
-    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where(f"count >= {_FREQUENT}")
-    rows = sorted((r["key"], r["count"]) for r in counts.orderBy(F.desc("count"), "key").limit(_FREQUENT_ROWS).collect())
-    return np.array([k for k, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame | None:
+    """Those of the pairs ``(a, b)`` that are similar, by their whole shingle sets; ``None`` without any pair or link."""
+    pairs = staged(pairs, "candidates")
+    if pairs.isEmpty():
+        return None
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    sets = staged(_shingle_sets(texts.join(_small(asked), "node"), size), "shingle-sets")
+    # Many texts may be paired with one: that one's set comes last, so it is copied to its pairs where they are compared.
+    sized = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    found = staged(_similar(sized, similarity), "links")
+    for table in (pairs, asked, sets):
+        discard(table)
+    return None if found.isEmpty() else found
 
 
 def _least(n: str, similarity: float) -> str:
@@ -226,41 +281,51 @@ def _least(n: str, similarity: float) -> str:
     return f"ceil({similarity}D * {n} - 1e-9D)"
 
 
-def _meeting(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Prefix shingles that two texts or more have in common: ``(key, node, n)``, ``n`` the size of the text's shingle set.
+def _fits(similarity: float) -> str:
+    return f"least(na, nb) >= {_least('greatest(na, nb)', similarity)}"
+
+
+def _prefixes(texts: DataFrame, counters: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """Prefix shingles of each text: ``(key, node, root, n)``, ``n`` the size of its shingle set.
 
-    Shingles have one order for all texts: frequent ones last, else by hash. Two sets with the similarity share a shingle
-    among the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is.
+    Shingles have one order for all texts: by their counter, least used first, then by hash. Two sets with the similarity
+    share a shingle among the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is.
     """
-    keys, counts = _frequent(texts, size)
-    shared = texts.sparkSession.sparkContext.broadcast((keys, counts))
+    shared = texts.sparkSession.sparkContext.broadcast(counters)
+    names = ["key", "node", "root", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
-        for b in batches:
-            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        counters = shared.value
+        for b in _slices(batches):
+            sets = []
+            for t in b.column(2).to_pylist():
                 x = _shingle_set(t, size)
-                n = len(x)
-                if not n:
-                    continue
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                    x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
-                x = x[: n - math.ceil(similarity * n - 1e-9) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node)), pa.array(np.full(len(x), n))], names=["key", "node", "n"])
-
-    prefixes = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, n long")
-    counted = prefixes.withColumn("members", F.count("*").over(Window.partitionBy("key")))
-    return staged(counted.where("members > 1").drop("members"), "meeting")
-
-
-def _rooted(meeting: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``meeting`` with ``root``, without the keys whose texts all stand in one component."""
-    if roots is None:
-        return meeting.withColumn("root", F.col("node"))
-    named = meeting.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    by_key = Window.partitionBy("key")
-    return named.withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).where("lo <> hi").drop("lo", "hi")
+                first = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
+                sets.append((x[np.lexsort((x, counters[_counter_of(x)]))[:first]], len(x)))
+            many = [len(x) for x, _ in sets]
+            rest = [np.repeat(b.column(k).to_numpy(), many) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([x for x, _ in sets]), *rest, np.repeat([n for _, n in sets], many))], names=names)
+
+    return texts.select("node", "root", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, root long, n long")
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """The rows of those keys whose texts stand in different components; a hot key costs one row a task to tell.
+
+    ``rows`` is a staged table, which is deleted.
+    """
+    keys = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "keys")
+    out = staged(rows.join(_small(keys), "key", "left_semi"), "meeting")
+    discard(rows)
+    return out
+
+
+def _rooted(meeting: DataFrame, roots: DataFrame) -> DataFrame:
+    """``meeting`` with the components known by now, and only the keys at which different ones still meet."""
+    of = roots.select("node", F.col("root").alias("now"))
+    now = staged(meeting.join(of, "node", "left").select("key", "node", F.coalesce("now", "node").alias("root"), "n"), "rooted")
+    discard(meeting)
+    return _meeting(now)
 
 
 def _enough(tied: DataFrame, similarity: float) -> DataFrame:
@@ -271,29 +336,69 @@ def _enough(tied: DataFrame, similarity: float) -> DataFrame:
     """
     need = f"ceil({similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D)"
     after = f"greatest({_least('na', similarity)}, {_least('nb', similarity)}) - 1"
-    pairs = tied.where(f"least(na, nb) >= {_least('greatest(na, nb)', similarity)}").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    pairs = tied.where(_fits(similarity)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     return pairs.where(f"shared >= {need} - ({after})").select("a", "b")
 
 
-def _tied_to_pivots(meeting: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+def _tied_to_pivots(meeting: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Pairs of each text with one pivot text for each shingle, if that stands in another component.
 
     This brings large groups of near copies together at one row a shingle, before ``_all_across`` looks at pairs.
     """
-    pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n")).over(Window.partitionBy("key"))
-    tied = _rooted(meeting, roots).withColumn("p", pivot).where("p.root <> root")
+    pivots = meeting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n")).alias("p"))
+    tied = meeting.join(pivots, "key").where("p.root <> root")
     first = F.col("node") < F.col("p.node")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return _enough(tied.select(pick("node", "p.node").alias("a"), pick("n", "p.n").alias("na"), pick("p.node", "node").alias("b"), pick("p.n", "n").alias("nb")), similarity)
 
 
-def _all_across(meeting: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _all_across(meeting: DataFrame, similarity: float) -> DataFrame:
     """All pairs of texts in different components that share enough prefix shingles; none that is similar is missing."""
-    left = staged(_rooted(meeting, roots), "across")
-    one = left.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = f"least(na, nb) >= {_least('greatest(na, nb)', similarity)}"
-    return _enough(one.join(two, "key").where(f"a < b and ra <> rb and {fits}"), similarity)
+    one = meeting.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    two = meeting.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    return _enough(one.join(two, "key").where(f"a < b and ra <> rb and {_fits(similarity)}"), similarity)
+
+
+def _tied_by_fingerprint(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)``: each text with the first one of its group of SimHash fingerprints (at most three differing bits)."""
+    named = staged(link_fingerprints(staged(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "fingerprints")).select("fp", "root"), "groups")
+    tied = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), "fp").join(named, "fp").where("b <> root")
+    heads = nodes.select(F.col("node").alias("root"), F.col("n").alias("na"))
+    return tied.join(heads, "root").where(_fits(similarity)).select(F.col("root").alias("a"), "b")
+
+
+#: Rounds that tie texts to one pivot for each shingle, before all pairs that are still apart are looked at.
+_PIVOT_ROUNDS = 2
+
+
+def near_duplicate_roots(texts: DataFrame, nodes: DataFrame, counters: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """Components of distinct texts whose shingle sets have that Jaccard similarity: ``(node, root)`` for nodes with a link.
+
+    ``texts`` holds ``(node, text)``, ``nodes`` ``(node, fp, n)``, ``counters`` the uses of shingles. Groups of SimHash
+    fingerprints come first: ball hashing finds the closest copies, each is checked against the first one of its group.
+    Copies further apart (a passage added moves up to ten bits) are found by an exact equi join on prefix shingles over
+    all texts, of which only keys count that still join different components. No pair that is similar is missing.
+    """
+    links: list[DataFrame] = []
+    roots = None
+    rows, meeting = texts.withColumn("root", F.col("node")), None
+    for turn in range(-1, _PIVOT_ROUNDS + 1):
+        if turn < 0:
+            tied = _tied_by_fingerprint(nodes.where("n > 0"), similarity)
+        elif turn < _PIVOT_ROUNDS:
+            tied = _tied_to_pivots(meeting, turn, similarity)
+        else:
+            tied = _all_across(meeting, similarity)
+        found = _verified(tied, texts, size, similarity)
+        if found is not None:
+            links.append(found)
+            roots = staged(connected_components(reduce(DataFrame.union, links)), "roots")
+        if turn < 0:
+            rows = rows if roots is None else texts.join(_small(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
+            meeting = _meeting(staged(_prefixes(rows, counters, size, similarity), "prefixes"))
+        elif turn < _PIVOT_ROUNDS and found is not None:
+            meeting = _rooted(meeting, roots)
+    return texts.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
 def drop_near_duplicates(
@@ -301,50 +406,27 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
-    A pair is a link if the sets of ``shingle_words``-word shingles have a Jaccard similarity of at least ``similarity``.
-    Candidates come from an equi join on prefix shingles, which misses no such pair, and are then checked.
-    Groups are the components of links; texts with equal words are one group from the start (so are all texts without
-    words). Rows without an id are kept. Of repeated rows (equal id and text) one is kept. All columns stay; an empty
-    table gives an empty result.
+    A pair is a link if the sets of ``shingle_words``-word shingles have a Jaccard similarity of at least ``similarity``;
+    see :func:`near_duplicate_roots` for how all links are found. Groups are the components of links; texts with equal
+    words are one group from the start (so are all texts without words). Rows without an id are kept. Of repeated rows
+    (equal id and text) one is kept. All columns stay; an empty table gives an empty result.
     """
-    key = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", F.xxhash64(text_col))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column(2).to_pylist():
-                words = words_of(t)
-                both = xxhash.xxh128_intdigest(b" ".join(words))
-                rows.append(((both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)))
-            columns = list(zip(*rows)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "h", "d1", "d2"])
-
-    rows = key.where("__id is not null").select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).cast("binary").alias("text"))
-    light = staged(rows.mapInArrow(describe, "id long, h long, d1 long, d2 long"), "described")
-    nodes = staged(light.groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("of")).withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    again = staged(light.groupBy(F.col("id").alias("__i"), F.col("h").alias("__t")).count().where("count > 1").drop("count"), "repeated")
+    key = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), F.struct("*").alias("doc"))
+    described = staged(_described(key.where("id is not null").select("id", "h", F.col("text").cast("binary").alias("text")), shingle_words), "described")
+    light = described.where("slot is null").select("id", "h", "d1", "d2", "fp", "n")
+    distinct = light.groupBy("d1", "d2").agg(F.min(F.struct("id", "h")).alias("of"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    nodes = staged(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    again = staged(light.groupBy("id", "h").count().where("count > 1").select("id", "h"), "repeated")
     repeated = again.count() > 0
-    whole = key.select("__id", "__h", F.col(text_col).alias("text"))
-    texts = whole.join(_small(nodes.select("node", F.col("of.id").alias("__i"), F.col("of.h").alias("__t"))), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))).select("node", "text")
+    texts = key.join(_small(nodes.select("node", F.col("of.id").alias("id"), F.col("of.h").alias("h"))), ["id", "h"]).select("node", "text")
     texts = texts.dropDuplicates(["node"]) if repeated else texts
-    meeting = _meeting(texts, shingle_words, similarity)
-    links = roots = None
-    for turn in range(_STAR_ROUNDS + 1):
-        tied = _tied_to_pivots(meeting, roots, turn, similarity) if turn < _STAR_ROUNDS else _all_across(meeting, roots, similarity)
-        pairs = staged(tied, "candidates")
-        asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-        sets = staged(_shingle_sets(texts.join(_small(asked), "node"), shingle_words), "shingle-sets")
-        sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        found = staged(_similar(sized, similarity), "links")
-        links = found if links is None else links.union(found)
-        roots = staged(connected_components(links), "roots")
+    roots = near_duplicate_roots(texts, nodes.select("node", "fp", "n"), _counters(described), shingle_words, similarity)
     # Ids may repeat with other texts, so distinct texts have numbers of their own; the smallest id and text of a group stays.
     named = staged(nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root")), "named")
     first = named.groupBy("root").agg(F.min("of").alias("first"))
     marked = light.join(named.join(first, "root").select("d1", "d2", "first"), ["d1", "d2"])
-    gone = staged(marked.where(F.struct("id", "h") != F.col("first")).select(F.col("id").alias("__i"), F.col("h").alias("__t")).distinct(), "removed")
-    same = (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__t"))
-    kept = key.join(_small(gone), same, "left_anti")
+    gone = staged(marked.where(F.struct("id", "h") != F.col("first")).select("id", "h").distinct(), "removed")
+    kept = key.join(_small(gone), ["id", "h"], "left_anti")
     if repeated:
-        kept = kept.join(_small(again), same, "left_anti").union(kept.join(_small(again), same, "left_semi").dropDuplicates(["__id", "__h"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.join(_small(again), ["id", "h"], "left_anti").union(kept.join(_small(again), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(*kept.columns))
+    return kept.select("doc.*")

@@ -1,7 +1,8 @@
 """Written intermediate tables and connected components.
 
 Lineage is cut by writing Parquet below the folder named in ``spark.checkpoint.dir``. All executors share that
-folder, so a lost executor costs a re-read and never a recomputation of the whole job.
+folder, so a lost executor costs a re-read and never a recomputation of the whole job. All tables of an application
+stand in one folder, which :func:`clear_staged` removes when its results have been written.
 """
 
 from __future__ import annotations
@@ -16,22 +17,47 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only an unset setting (a local session) gets a temporary folder."""
+    """The folder all executors share. Only an unset setting of a local session gets a temporary folder."""
     where = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if not where:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {_CHECKPOINT} to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skylane-")
         spark.conf.set(_CHECKPOINT, where)
     return where.rstrip("/")
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/skylane-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skylane-{name}-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`staged` returned, once nothing reads it any more. Other frames are left alone."""
+    spark = table.sparkSession
+    inside = f"/skylane-{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if inside in folder:
+            _delete(spark, folder)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; frames that still read them can't be used any more."""
+    _delete(spark, _root(spark))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node that has an edge: rows ``(node, root)``.
 
@@ -66,7 +92,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .where("hi <> lo")
             .distinct()
         )
-        pairs = staged(small, "edges")
+        last, pairs = pairs, staged(small, "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

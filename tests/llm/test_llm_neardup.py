@@ -63,7 +63,7 @@ def test_simhash_odd_rows(spark):
     assert simhash_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_drop_near_duplicates_leaves_no_similar_pair_and_drops_no_other(spark):
+def test_drop_near_duplicates_keeps_what_brute_force_keeps(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     sets = {r.doc_id: frozenset(shingles(r.text, 5)) for r in docs.collect()}
     near = []
@@ -72,10 +72,8 @@ def test_drop_near_duplicates_leaves_no_similar_pair_and_drops_no_other(spark):
         if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
             near.append((a, b))
     roots = components(sorted(sets), near)
-    kept = {r.doc_id for r in drop_near_duplicates(docs).select("doc_id").collect()}
-    want = {d for d in roots if roots[d] == d}
-    assert want <= kept
-    assert len(kept - want) <= 0.02 * (len(sets) - len(want))  # similar pairs that ball hashing over words does not bring together
+    assert sum(sets[a] != sets[b] for a, b in near) > 10
+    assert {r.doc_id for r in drop_near_duplicates(docs).select("doc_id").collect()} == {d for d in roots if roots[d] == d}
 
 
 def _words(rng, n):
@@ -116,7 +114,7 @@ def test_drop_near_duplicates_finds_pairs_of_interleaved_templates(spark):
 def test_drop_near_duplicates_odd_rows(spark):
     rows = [(1, "one two three four five six", "x"), (2, "One  two three four five SIX", "x"), (2, "One  two three four five SIX", "x"), (3, None, "x"), (4, "", "x"),
             (None, "one two three four five six", "x"), (5, "other words stand here now", "x"), (5, "yet another text of the same id", "x")]
-    docs = spark.createDataFrame(rows, DOCS + ", node string")
+    docs = spark.createDataFrame(rows, DOCS + ", id string")
     out = drop_near_duplicates(docs)
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "5", "5", "None"]
