@@ -1,10 +1,12 @@
 """License scans as an exact set-similarity join, in DataFrame operations only.
 
-A text block is a line. It meets a template when it holds at least ``threshold`` of the template's distinct words
-(containment). Words are ordered by their number of uses in all texts, rarest first. A block that meets the threshold
-must hold one of the template's first n - ceil(threshold * n) + 1 words (prefix filter), must have ceil(threshold * n)
-words (length filter), and a match at place i of the order leaves n - i words at most (positional filter). What passes
-is verified by an exact intersection.
+A text block is a run of as many consecutive words as a template has, over any number of lines. It meets a template when
+it holds at least ``threshold`` of the template's distinct words (containment), all words that distinguish it (names
+and version numbers) and none that belongs to another license. Words are ordered by their number of uses in all texts,
+rarest first. A block that meets the threshold must hold one of the first n - ceil(threshold * n) + 1 words (prefix
+filter; where words are required, the rarest of those alone), a match at place i of the order leaves n - i words at most
+(positional filter), and no block is longer than its template (length filter). Only blocks around such a word are looked
+at, and verified by an exact intersection.
 """
 
 from __future__ import annotations
@@ -20,18 +22,24 @@ from skylane.llm.staging import staged
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 #: Phrases whose exact places count (the base), with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Templates of the method: label and wording, as plain words.
+#: Templates of the method: label, wording as plain words, words that a block must hold, words that it must not hold.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2", "this program is licensed under the gnu general public license version 2"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution share alike 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights"),
+    ("mit", "released under the mit license", "mit license", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "permission granted software", ""),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2", ""),
+    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache 2", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", ""),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "commons noncommercial", "sharealike noderivatives"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3", "lesser affero"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general 2", "lesser affero"),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general 3", "lesser affero"),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general 2", "lesser affero"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3", "gnu lesser 3", ""),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution binary", ""),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
+    ("cc-by-sa", "licensed under a creative commons attribution share alike 4 0 international license", "commons share alike", "noncommercial"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "commons sharealike", "noncommercial"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived copyright", ""),
 )
 THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,8 +54,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{BETWEEN}+"), "")
 
 
-def _template_rows(templates: tuple, threshold: float) -> list[tuple]:
-    return [(k, label, sorted(set(wording.split())), math.ceil(threshold * len(set(wording.split())) - 1e-9)) for k, (label, wording) in enumerate(templates)]
+def _ordered(words: set[str], frequency: dict[str, int]) -> list[str]:
+    return sorted(words, key=lambda w: (frequency.get(w, 0), w))
+
+
+def prefix_rows(templates: tuple, threshold: float, frequency: dict[str, int]) -> list[tuple]:
+    """``(word, template, label, wording, length, need, required, excluded)``: a row for each word around which a block can meet a template."""
+    out = []
+    for k, (label, wording, required, excluded) in enumerate(templates):
+        words, must = _ordered(set(wording.split()), frequency), _ordered(set(required.split()), frequency)
+        need = math.ceil(threshold * len(words) - 1e-9)
+        prefix = must[:1] or [w for place, w in enumerate(words[: len(words) - need + 1]) if len(words) - place >= need]
+        out += [(w, k, label, words, len(wording.split()), need, must, sorted(set(excluded.split()))) for w in prefix]
+    return out
 
 
 def word_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -56,34 +75,21 @@ def word_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r.w: r.n for r in used.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def matching_blocks(blocks: DataFrame, keys: list[str], templates: tuple, threshold: float, frequency: dict[str, int]) -> DataFrame:
-    """Blocks that meet a template: ``keys, label, similarity``. ``blocks`` holds ``keys, block`` with distinct words.
+def matching_blocks(around: DataFrame, keys: list[str], prefix: list[tuple]) -> DataFrame:
+    """Templates that some block meets: ``keys, label, similarity``.
 
-    A block that meets several templates (wordings that differ in a version, say) speaks for those it is most similar to.
+    ``around`` holds ``keys, word, at, words``: a prefix word, its place in ``words``, which are those around it as far as
+    the longest template reaches.
     """
-    spark = blocks.sparkSession
-    prefix = []
-    for k, label, words, need in _template_rows(templates, threshold):
-        ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
-        prefix += [(w, k, label, ordered, place, need) for place, w in enumerate(ordered[: len(ordered) - need + 1])]
-    table = spark.createDataFrame(prefix, "word string, template int, label string, wording array<string>, place int, need int")
-    # The prefix table has a few rows for each template of a fixed list, so it is broadcast.
-    candidates = (
-        blocks.withColumn("word", F.explode("block"))
-        .join(F.broadcast(table), "word")
-        .where("size(block) >= need and size(wording) - place >= need")
-    )
-    # Of several prefix words in common, the first in the order speaks for the pair; so each pair is verified once.
-    first = F.array_min(F.transform(F.array_intersect("wording", "block"), lambda w: F.array_position("wording", w)))
+    schema = "word string, template int, label string, wording array<string>, length int, need int, required array<string>, excluded array<string>"
+    table = around.sparkSession.createDataFrame(prefix, schema)  # a few rows for each template of a fixed list, so it is broadcast
+    met = around.join(F.broadcast(table), "word")
+    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
+    last = F.least("at", F.greatest(F.size("words") - F.col("length"), F.lit(0)))
     shared = F.size(F.array_intersect("wording", "block"))
-    met = (
-        candidates.where(first == F.col("place") + 1)
-        .where(shared >= F.col("need"))
-        .select(*keys, "block", "label", (shared / F.size("wording")).alias("similarity"))
-    )
-    by_block = met.groupBy(*keys, "block").agg(F.max("similarity").alias("similarity"), F.collect_list(F.struct("similarity", "label")).alias("met"))
-    best = F.filter("met", lambda m: m["similarity"] == F.col("similarity"))
-    return by_block.select(*keys, "similarity", F.explode(best).alias("m")).select(*keys, "m.label", "similarity")
+    holds = (F.size(F.array_intersect("required", "block")) == F.size("required")) & ~F.arrays_overlap("excluded", "block")
+    blocks = met.where(first <= last).withColumn("block", F.explode(F.transform(F.sequence(first, last), lambda s: F.slice("words", s + 1, F.col("length")))))
+    return blocks.where(holds & (shared >= F.col("need"))).groupBy(*keys, "label").agg(F.max(shared / F.size("wording")).alias("similarity"))
 
 
 def license_scan(
@@ -98,22 +104,25 @@ def license_scan(
 
     ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``: places where a phrase's words stand
     consecutively (words counted from 0; null without a place), labels of the phrases, labels of phrases and matching
-    blocks (distinct, sorted, comma-joined; empty if none), and the best containment (1 for a phrase, 0 for none).
-    A null text counts as empty. Rows with equal id and text have equal results; a null id is kept. An empty table
+    blocks (distinct, sorted, comma-joined; empty if none), and the best containment (1 for a phrase, 0 for none). Labels
+    of templates that tie are all named. A null text counts as empty. Rows with equal id and text have equal results; a null id is kept. An empty table
     gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     keyed = rows.select("doc_id", F.xxhash64("raw").alias("h"), F.length("raw").alias("n"), lower_ascii(F.col("raw")).alias("text"))
     keys = ["doc_id", "h", "n"]
-    vocabulary = sorted({w for _, wording in templates for w in wording.split()})
+    vocabulary = sorted({w for _, wording, required, _ in templates for w in f"{wording} {required}".split()})
     frequency = word_frequencies(keyed.select(words_of(F.col("text")).alias("words")), vocabulary)
+    prefix = prefix_rows(templates, threshold, frequency)
+    reach = max((length for *_, length, _, _, _ in prefix), default=1)
+
+    def around(words: Column) -> Column:
+        """Each prefix word with the words around it."""
+        at = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i")))
+        here = F.filter(at, lambda x: x["word"].isin(sorted({row[0] for row in prefix})))
+        low = lambda i: F.greatest(i - reach + 1, F.lit(0))
+        return F.transform(here, lambda x: F.struct(x["word"].alias("word"), (x["i"] - low(x["i"])).alias("at"), F.slice(words, low(x["i"]) + 1, x["i"] - low(x["i"]) + reach).alias("words")))
 
-    # Blocks: lines with a word of some prefix. The pattern only saves cutting up other lines; the join decides.
-    rare = set()
-    for _, _, words, need in _template_rows(templates, threshold):
-        rare |= set(sorted(words, key=lambda w: (frequency.get(w, 0), w))[: len(words) - need + 1])
-    some = f"(?:^|{BETWEEN})(?:{'|'.join(sorted(rare))})(?:{BETWEEN}|$)"
-    lines = F.filter(F.split("text", "\n", -1), lambda b: b.rlike(some))
     flat = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     parts = [phrase.split() for phrase in phrases]
 
@@ -127,11 +136,11 @@ def license_scan(
     found = (
         keyed.withColumn("words", words_of(F.col("text")))
         .withColumn("flat", flat)
-        .select(*keys, F.size("words").cast("long").alias("n_words"), F.array(*[places(p) for p in parts]).alias("places"), lines.alias("lines"))
+        .select(*keys, F.size("words").cast("long").alias("n_words"), F.array(*[places(p) for p in parts]).alias("places"), around(F.col("words")).alias("around"))
     )
     found = staged(found, "license-places")
-    blocks = found.select(*keys, F.explode("lines").alias("line")).distinct().select(*keys, F.array_distinct(words_of(F.col("line"))).alias("block"))
-    more = matching_blocks(blocks, keys, templates, threshold, frequency).groupBy(*keys).agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"))
+    met = matching_blocks(found.select(*keys, F.explode("around").alias("x")).select(*keys, "x.*"), keys, prefix)
+    more = met.groupBy(*keys).agg(F.collect_set("label").alias("more"), F.max("similarity").alias("best"))
     joined = found.alias("d").join(more.alias("m"), [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys], "left")
     every = F.flatten("places")
     base = F.filter(F.array(*[F.when(F.size(F.col("places")[k]) > 0, F.lit(label)) for k, label in enumerate(phrases.values())]), lambda x: x.isNotNull())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from skylane.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, _template_rows
-
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 EMBEDDINGS = """
@@ -27,22 +25,51 @@ from embeddings e left join roots on roots.node = e.vec_id left join counts on c
 _WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
 
-def _list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+#: Label; wording; required words; excluded words. Written out here, so that the query is held against another source than its own.
+_TEMPLATES = """
+mit; released under the mit license; mit license;
+mit; permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction; permission granted software;
+apache-2; licensed under the apache license version 2 0; apache 2;
+apache-2; licensed under the apache license version 2 0 you may not use this file except in compliance with the license; apache 2;
+cc-by-nc; licensed under cc by nc 4 0; cc by nc;
+cc-by-nc; licensed under a creative commons attribution noncommercial 4 0 international license; commons noncommercial; sharealike noderivatives
+gpl-3; this work is licensed under the gnu general public license version 3; gnu general 3; lesser affero
+gpl-2; this work is licensed under the gnu general public license version 2; gnu general 2; lesser affero
+gpl-3; under the terms of the gnu general public license as published by the free software foundation either version 3 of the license; gnu general 3; lesser affero
+gpl-2; under the terms of the gnu general public license as published by the free software foundation either version 2 of the license; gnu general 2; lesser affero
+lgpl-3; this work is licensed under the gnu lesser general public license version 3; gnu lesser 3;
+bsd-3; redistribution and use in source and binary forms with or without modification are permitted; redistribution binary;
+mpl-2; this source code form is subject to the terms of the mozilla public license v 2 0; mozilla 2;
+cc-by-sa; licensed under a creative commons attribution share alike 4 0 international license; commons share alike; noncommercial
+cc-by-sa; licensed under a creative commons attribution sharealike 4 0 international license; commons sharealike; noncommercial
+cc0; to the extent possible under law the author has waived all copyright and related rights; waived copyright;
+"""
+
+
+def _list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]::varchar[]"
+
+
+def _template_values() -> str:
+    rows = [[part.strip() for part in line.split(";")] for line in _TEMPLATES.strip().splitlines()]
+    return ", ".join(f"('{label}', {_list(wording)}, {_list(required)}, {_list(excluded)})" for label, wording, required, excluded in rows)
 
 
 LICENSES = f"""
 with d as (select row_number() over () as rid, doc_id, translate(coalesce(text, ''), {_ABC}) as t from documents),
 w as (select rid, doc_id, regexp_extract_all(t, {_WORD}) as ws from d),
-phrases(label, p) as (values {", ".join(f"('{label}', {_list(p.split())})" for p, label in PHRASES.items())}),
+phrases(label, p) as (values ('mit', {_list("under the mit license")}), ('apache-2', {_list("apache license version 2")}), ('cc-by-nc', {_list("cc by nc")})),
 places as (select rid, label, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + len(p)] = p)) as place from w, phrases where list_has_all(ws, p)),
 base as (select rid, count(*) as n, min(place) as low, max(place) as high, list(distinct label) as labels from places group by rid),
-template(label, words, need) as (values {", ".join(f"('{label}', {_list(words)}, {need})" for _, label, words, need in _template_rows(TEMPLATES, THRESHOLD))}),
-blocks as (select rid, list_distinct(regexp_extract_all(line, {_WORD})) as b from (select rid, unnest(string_split(t, chr(10))) as line from d)),
-met as (
-  select rid, label, shared / len(words)::double as sim, max(shared / len(words)::double) over (partition by rid, b) as best
-  from (select rid, b, label, words, need, len(list_intersect(b, words)) as shared from blocks, template) where shared >= need
-), more as (select rid, list(distinct label) as labels, max(sim) as best from met where sim = best group by rid)
+template(label, wording, required, excluded) as (values {_template_values()}),
+blocks as (
+  select rid, label, list_distinct(wording) as words, required, excluded,
+    unnest(list_transform(range(greatest(len(ws) - len(wording), 0) + 1), lambda i: ws[i + 1 : i + len(wording)])) as b
+  from w, template where list_has_all(ws, required)
+), met as (
+  select rid, label, len(list_intersect(words, b)) / len(words)::double as sim from blocks
+  where list_has_all(b, required) and not list_has_any(b, excluded) and len(list_intersect(words, b)) >= ceil(0.8 * len(words) - 1e-9)
+), more as (select rid, list(distinct label) as labels, max(sim) as best from met group by rid)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, low as first_word, high as last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') as labels,

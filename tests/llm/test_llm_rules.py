@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import corpus_pipeline
 import duckdb
@@ -50,6 +52,34 @@ def test_license_phrases_and_blocks(spark):
     assert license_scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_licenses_that_are_not_there_are_not_named(spark):
+    notice = "Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance with the License."
+    rows = {
+        "This software is released under the BSD license": "",
+        "the plan was released last year and under review; the driver has a license to drive": "",
+        "licensed under the apache license version 1 0": "",
+        "licensed under cc by 4 0 sa": "",
+        "this work is licensed under the gnu general\npublic license version 3": "gpl-3",
+        "this work is licensed under the GNU Lesser General Public License version 3": "lgpl-3",
+        "released under\nMIT license terms": "mit",
+        notice: "apache-2",
+        "w " * 5000 + "to the extent possible under law, the author waived all copyright and related rights" + " w" * 5000: "cc0",
+        "mit " * 20_000: "",
+        "a license of the mit is released, and far away from it stands nothing": "",
+        "to the extent possible the author has waived all": "",
+    }
+    texts = list(rows)
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], DOCS + ", word string, words int")
+    got = {texts[r.doc_id]: r.labels for r in license_scan(docs).collect()}
+    assert got == rows
+    con = duckdb.connect()
+    table = docs.select("doc_id", "text").toPandas()
+    con.register("documents", table)
+    cur = con.execute(ORACLE_SQL["op9_license_scan"])
+    names = [d[0] for d in cur.description]
+    assert {texts[r[names.index("doc_id")]]: r[names.index("labels")] for r in cur.fetchall()} == rows
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------------
 KINDS = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -165,3 +195,36 @@ def test_upper_case_identifiers_complete_a_credential(spark):
     rows = [(k, f"{name} {key} https://host.example/path") for k, name in enumerate(("CLIENT_ID=abcdef", "ACCOUNT_ID: abcdef", "KEY_ID=abcdef", "client_id=abcdef"))]
     got = secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [[x["kind"] for x in r.spans] for r in sorted(got, key=lambda r: r.doc_id)] == [["id", "key", "endpoint"]] * 4
+
+
+def test_texts_with_many_matches(spark):
+    rng = random.Random(4)
+    def run():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(17))
+    texts = [" ".join(run() for _ in range(6000)), " é ".join(f"client_id=user_{k} {KEY} {run()} https://h.example/{k}" for k in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    began = time.time()
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in secret_spans(docs).collect()}
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    print("seconds", time.time() - began)
+    for k, t in enumerate(texts):
+        base, spans = _spans(t, 256)
+        assert got[k] == (base, spans) and clean[k] == _redacted(t, spans)
+
+
+def _redacted(text, spans):
+    out, at = [], 0
+    for start, _, end, kind in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_equals_brute_force_and_keeps_clashing_columns(spark):
+    gaps = [f"client_id: abcdef{' ' * n}{KEY} {'🙂' * n}https://host.example/path token={KEY}" for n in (0, 1, 200, 300, 1023, 1024, 1025, 3000)]
+    rows = [(k, t, f"h{k}", k, "may") for k, t in enumerate([*gaps, "password=deadbeefdeadbeefdead end", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, base int, may string")
+    out = {r.doc_id: tuple(r) for r in redact_secrets(docs).collect()}
+    assert out == {k: (k, t and _redacted(t, _spans(t, 256)[1]), h, n, m) for k, t, h, n, m in rows}
+    assert secret_spans(docs).count() == len(rows)
