@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, forms, notices
 and the like are out), their share of linked text, their length and their density of stop words; short or middling
-blocks stay open. The second pass gives each open block the label of its nearest decided neighbours.
+blocks stay open. The second pass gives each open block the label of its nearest decided neighbours. Where a page marks
+its article, the place decides: all in it is text but menus and what is marked as out.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,11 +26,14 @@ STOP_WORDS = {
 }
 _STOP = frozenset(w for line in STOP_WORDS.values() for w in line.split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# In a tag a quote opens a value only right after an equals sign; elsewhere it is a character like others.
+_VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
+_TAG = re.compile(rf"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|{_VALUE})*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPLIT_NAME = re.compile(r"[^a-z]+")
 
-#: Elements whose content is no text of the page; it runs to their own end tag.
+#: Elements whose content is no text of the page; it runs to their own end tag. Of these, some run to the page's end without one.
+_TO_THE_END = frozenset("script style textarea title xmp".split())
 _RAW = frozenset("script style noscript template textarea iframe svg math title select object noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -52,8 +57,8 @@ _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 GOOD, OPEN, BAD = 1, 0, -1
-_LONG, _SHORT = 12, 5
-_LINKED, _DENSE = 0.5, 0.15
+#: Words of a long block, share of linked characters, density of stop words; share of links in a menu's items, and their number.
+_LONG, _LINKED, _DENSE, _ALL_LINKED, _MENU = 12, 0.5, 0.15, 0.9, 3
 
 
 #: An element is out by a class or id that only names it so (an article or main element in it may still be the text), or for good.
@@ -89,45 +94,82 @@ def _is_out(name: str, attributes: str, in_main: bool) -> int:
     return named
 
 
-def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
-    """Blocks in page order: text (one space for any white space), linked characters, stands out of the text, stands in an article."""
-    blocks, parts, linked = [], [], 0
-    stack: list[tuple[str, int, bool, bool]] = []  # name, out, in main, in link
-    out, main, link = 0, False, False
-    raw_until = None
-    at = 0
+class Block(NamedTuple):
+    """Text between two block-level tags (one space for any white space)."""
 
-    def text(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            piece = unescape(piece)
-            parts.append(piece)
-            if link:
-                linked += len("".join(piece.split()))
+    text: str
+    linked: int  # characters in links
+    out: int  # stands out of the text (NAMED, OUT)
+    main: bool  # stands in an article
+    element: str  # block-level element that it stands in
+
+
+class _Open(NamedTuple):
+    name: str
+    out: int
+    main: bool
+    link: bool
+    element: str
+
+
+class _Stack:
+    """Open elements; the places of each name are kept, so an end tag costs no search."""
+
+    def __init__(self) -> None:
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else _Open("", 0, False, False, "")
+
+    def push(self, element: _Open) -> None:
+        self.places.setdefault(element.name, []).append(len(self.open))
+        self.open.append(element)
+
+    def pop(self) -> None:
+        self.places[self.open.pop().name].pop()
+
+    def end(self, name: str) -> None:
+        """Close the last element of a name and all that was opened in it; an end tag without a start is nothing."""
+        if self.places.get(name):
+            for _ in range(len(self.open) - self.places[name][-1]):
+                self.pop()
+
+    def end_implied(self, names: set[str]) -> None:
+        """Close an element that does without its end tag, and inline elements left open in it."""
+        while self.open and (self.open[-1].name in names or self.open[-1].name not in _BLOCK and any(x.name in names for x in self.open[-4:])):
+            self.pop()
+
+
+def blocks_of(html: str) -> list[Block]:
+    """Blocks in page order."""
+    blocks: list[Block] = []
+    parts: list[str] = []
+    stack, linked, at = _Stack(), 0, 0
+    here = stack.top()
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
 
     def close() -> None:
         nonlocal linked
-        if parts:
-            joined = " ".join("".join(parts).split())
-            if joined:
-                blocks.append((joined, linked, out, main))
-            parts.clear()
-            linked = 0
-
-    for tag in _TAG.finditer(html):
-        name = tag[2]
-        if raw_until:
-            if not (name and tag[1] and name.lower() == raw_until):
-                continue
-            raw_until, at = None, tag.end()
-            continue
-        if tag.start() < at:
-            continue
-        text(html[at : tag.start()])
+        joined = " ".join("".join(parts).split())
+        if joined:
+            blocks.append(Block(joined, linked, here.out, here.main, here.element))
+        parts.clear()
+        linked = 0
+
+    while True:
+        tag = _TAG.search(html, at)
+        piece = unescape(html[at : tag.start() if tag else len(html)])
+        parts.append(piece)
+        if here.link:
+            linked += len("".join(piece.split()))
+        if not tag:
+            close()
+            return blocks
         at = tag.end()
-        if not name:
+        if not tag[2]:
             continue
-        name = name.lower()
+        name = tag[2].lower()
         if name in _BLOCK:
             close()
         elif name == "br":
@@ -135,41 +177,52 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
         if name in _VOID:
             continue
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            stack.end(name)
+        elif name in _RAW:
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if end:
+                at = end.end()
+            elif name in _TO_THE_END:
+                at = len(html)
+            else:
+                endless.add(name)
+            continue
         else:
-            if name in _RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                continue
-            ends = _ENDS.get(name)
-            if ends:
-                while stack and (stack[-1][0] in ends or stack[-1][0] not in _BLOCK and any(s[0] in ends for s in stack[-4:])):
-                    stack.pop()
-            stack.append((name, out_now := max(out, _is_out(name, tag[3], main)), main or (name in _MAIN and out_now < OUT), link or name == "a"))
-        out, main, link = stack[-1][1:] if stack else (0, False, False)
-    if not raw_until:
-        text(html[at:])
-    close()
-    return blocks
-
-
-def first_pass(block: tuple[str, int, int, bool]) -> int:
+            if name in _ENDS:
+                stack.end_implied(_ENDS[name])
+            up = stack.top()
+            out = max(up.out, _is_out(name, tag[3], up.main))
+            stack.push(_Open(name, out, up.main or (name in _MAIN and out < OUT), up.link or name == "a", name if name in _BLOCK else up.element))
+        here = stack.top()
+
+
+def _mostly_linked(block: Block) -> bool:
+    return block.linked > _LINKED * len(block.text.replace(" ", ""))
+
+
+def first_pass(block: Block) -> int:
     """Label by place, share of linked text, length and density of stop words."""
-    text, linked, out, main = block
-    if out:
+    if block.out:
         return BAD
-    words = text.split()
-    if linked > _LINKED * len("".join(words)) and not (main and len(words) > _LONG):
-        return BAD if len(words) <= _LONG or not main else OPEN
-    if len(words) < _SHORT:
-        return OPEN
+    words = block.text.split()
+    if _mostly_linked(block):
+        # A short paragraph may be a sentence with a link; other short blocks of links are menus.
+        return OPEN if block.element == "p" or len(words) > _LONG else BAD
     dense = sum(w.strip(".,;:!?\"'()[]&%$#*|").lower() in _STOP for w in words) / len(words)
-    if dense >= _DENSE and (len(words) >= _LONG or main):
-        return GOOD
-    return GOOD if main and len(words) >= _LONG else OPEN
+    return GOOD if dense >= _DENSE and len(words) >= _LONG else OPEN
+
+
+def article_pass(article: list[Block]) -> list[int]:
+    """Labels in an article: all is text but runs of list items that are links, which are menus."""
+    labels, run = [GOOD] * len(article), 0
+    for k, block in enumerate([*article, None]):
+        if block is not None and block.element == "li" and block.linked >= _ALL_LINKED * len(block.text.replace(" ", "")):
+            run += 1
+            continue
+        if run >= _MENU:
+            labels[k - run : k] = [BAD] * run
+        run = 0
+    return labels
 
 
 def second_pass(labels: list[int], otherwise: int) -> list[int]:
@@ -189,16 +242,15 @@ def second_pass(labels: list[int], otherwise: int) -> list[int]:
 def main_text(html: str | None) -> str:
     """Main text of a page, a line for each block; empty if there is none."""
     blocks = blocks_of(html or "")
-    article = [b for b in blocks if b[3] and not b[2]]
+    article = [b for b in blocks if b.main and not b.out]
     if not article:  # articles only where a class names them out (comments, teasers beside an article stay out)
-        article = [(text, linked, 0, main) for text, linked, out, main in blocks if main and out < OUT]
+        article = [b for b in blocks if b.main and b.out < OUT]
     if article:
-        kept = second_pass([first_pass(b) for b in article], GOOD)
-        return "\n".join(b[0] for b, k in zip(article, kept) if k == GOOD)
+        return "\n".join(b.text for b, k in zip(article, article_pass(article)) if k == GOOD)
     labels = [first_pass(b) for b in blocks]
     if GOOD not in labels:  # a page of short lines is kept whole, but for what stands out of the text
         labels = [GOOD if x == OPEN else x for x in labels]
-    return "\n".join(b[0] for b, k in zip(blocks, second_pass(labels, BAD)) if k == GOOD)
+    return "\n".join(b.text for b, k in zip(blocks, second_pass(labels, BAD)) if k == GOOD)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
