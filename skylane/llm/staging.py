@@ -31,10 +31,15 @@ def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/skylane-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Address of a folder for one use below the shared one; it is made by whoever writes to it first."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylane.llm.staging import staged
+from skylane.llm.staging import new_folder, staged
 
 #: Tokens in a block, and blocks in a group of the prefix scan.
 BLOCK_TOKENS = 1 << 18
 GROUP_BLOCKS = 1024
+#: Rows encoded at a time.
+_ROWS = 500
 _TYPES = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
@@ -121,13 +123,14 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_token
     return spans.mapInArrow(read, "file string, block long, data binary")
 
 
-def write_token_blocks(
-    docs: DataFrame, vocabulary_file: str, separator: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """Encode every text and write flat token files as blocks, one file for each input split.
+def write_token_files(
+    docs: DataFrame, vocabulary_file: str, separator: int, path: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Encode every text and write flat token files below ``path``, one for each input split: nothing but ids and separators.
 
-    Returns ``(blocks, order)``: blocks ``(file, block, data)`` that know nothing of documents, and the writer's record
-    ``(file, ordinal, doc_id)`` of which document it wrote where. Null and empty texts are written as empty documents.
+    Returns the writer's record ``(file, ordinal, doc_id)`` of which document it wrote where. Null and empty texts are
+    written as empty documents. ``path`` is a folder that all executors share. A task that is run again writes a file of
+    its own name; the record names the files that count.
     """
     import base64
 
@@ -137,39 +140,24 @@ def write_token_blocks(
     kind = _TYPES[width]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shared.value)
-        file, block, ordinal = TaskContext.get().partitionId(), 0, 0
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def cut(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal parts, held, block
-            flat = np.concatenate(parts) if parts else np.empty(0, kind)
-            at = 0
-            while len(flat) - at >= block_tokens or (final and at < len(flat)):
-                data = flat[at : at + block_tokens].tobytes()
-                yield _rows(block_rows=[(file, block, data)])
-                at, block = at + block_tokens, block + 1
-            parts, held = [flat[at:]], len(flat) - at
+        from pyarrow import fs
 
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield _rows(order_rows=[(file, ordinal + k, i) for k, i in enumerate(ids)])
-            ordinal += len(ids)
-            for t in texts:
-                encoded = np.array([*coder.encode_ordinary(t or ""), separator], dtype=kind)
-                parts.append(encoded)
-                held += len(encoded)
-                if held >= block_tokens:
-                    yield from cut(False)
-        yield from cut(True)
+        coder, task, ordinal = _encoder(shared.value), TaskContext.get(), 0
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.bin"
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{name}") as out:
+            for b in batches:
+                for at in range(0, b.num_rows, _ROWS):
+                    part = b.slice(at, _ROWS)
+                    for t in part.column(1).to_pylist():
+                        out.write(np.array([*coder.encode_ordinary(t or ""), separator], dtype=kind).tobytes())
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), part.column(0)], names=["file", "ordinal", "doc_id"])
+                    ordinal += n
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = staged(rows.mapInArrow(encode, "file int, place long, doc_id long, data binary"), "token-blocks", "zstd")
-    return (
-        made.where("data is not null").select("file", F.col("place").alias("block"), "data"),
-        made.where("data is null").select("file", F.col("place").alias("ordinal"), "doc_id"),
-    )
+    return staged(rows.mapInArrow(encode, "file string, ordinal long, doc_id long"), "token-order")
 
 
 _encoders: dict[int, object] = {}
@@ -185,18 +173,15 @@ def _encoder(ranks: dict[bytes, int]):
     return _encoders[len(ranks)]
 
 
-def _rows(block_rows: list[tuple] = (), order_rows: list[tuple] = ()) -> pa.RecordBatch:
-    rows = [(f, b, None, d) for f, b, d in block_rows] + [(f, o, i, None) for f, o, i in order_rows]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    columns = zip(*rows) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["file", "place", "doc_id", "data"])
-
-
-def document_token_counts(docs: DataFrame, vocabulary_file: str, separator: int, **settings) -> DataFrame:
+def document_token_counts(docs: DataFrame, vocabulary_file: str, separator: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, **columns) -> DataFrame:
     """Write the texts as flat token files, count tokens by separator scan, and name the documents: ``doc_id, n_tokens``.
 
     One row for each row of ``docs``, null ids and repeated rows included; null and empty texts have 0 tokens.
     """
-    blocks, order = write_token_blocks(docs, vocabulary_file, separator, **settings)
-    counts = count_documents(blocks, separator, settings.get("width", 2))
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    folder = new_folder(docs.sparkSession, "token-files")
+    order = write_token_files(docs, vocabulary_file, separator, folder, width, **columns)
+    if order.isEmpty():
+        return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+    files = read_token_files(docs.sparkSession, folder, width, block_tokens)
+    files = files.withColumn("file", F.substring_index("file", "/", -1)).join(F.broadcast(order.select("file").distinct()), "file", "left_semi")  # a name for each task
+    return order.join(count_documents(files, separator, width), ["file", "ordinal"]).select("doc_id", "n_tokens")
