@@ -133,7 +133,7 @@ def train(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(sample), "doc_id")
         .select("doc_id", "text", "label", F.expr(f"int(pmod(xxhash64(doc_id, 3), {shards}))").alias("shard"))
-        .repartition(shards, "shard")
+        .repartitionByRange(shards, "shard")
         .sortWithinPartitions("shard", F.xxhash64("doc_id"), "text")
         .select("shard", "text", "label")
     )
