@@ -9,7 +9,7 @@ when encoded on their own.
 Only a window of as many boundaries as the longest piece has characters can still be continued. Whenever the
 backpointer paths of all of them go through one boundary, the ids before it are committed and forgotten. Pieces never
 cross from a character to a following space mark, so all paths converge there; the ids of short stretches between such
-marks are kept and reused, up to a bound.
+marks are kept and reused, up to a bound. Stretches of any length go through the same search, a block at a time.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _IRREGULAR = re.compile(f"  |{MARK}|^ | $|^\\n| \\n")
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Rows encoded at a time.
 _ROWS = 500
-#: Characters of a long stretch searched at a time.
+#: Characters that the search takes in at a time.
 _FEED = 4096
 #: Stretches up to this length are kept for reuse; pairs of ids known to stay apart or not are kept up to this number.
 _KEPT_LENGTH, _KEPT_PAIRS, _KEPT_TAILS = 32, 500_000, 10_000
@@ -114,10 +114,12 @@ class PieceCodec:
 
     def segments(self, blocks: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of text blocks; holds a block and about ``longest`` characters that are not yet decided."""
-        start, longest, apart, check = self.start, self.longest, self.apart, self._stays_apart
+        start, longest, apart, check, bpe = self.start, self.longest, self.apart, self._stays_apart, self.bpe
         text, back, width, total = "", [start], [0], [0.0]  # from the last commit on: for each boundary its backpointer
         edges, fed, done = None, 0, 0  # done: characters committed
-        for block in blocks:
+        blocks = iter(blocks)
+        block = next(blocks, "")
+        while block:
             edges = self.edges.iter(block) if edges is None else edges
             if fed:
                 edges.set(block)
@@ -130,7 +132,7 @@ class PieceCodec:
                     width.append(1)
                     total.append(total[-1] + self.worst)
                 left = back[at - n]
-                if self.bpe:
+                if bpe:
                     ok = apart.get(left << 32 | piece)
                     if (check(left, piece) if ok is None else ok):
                         # One candidate at most is stable.
@@ -149,6 +151,9 @@ class PieceCodec:
                 back.append(start)
                 width.append(1)
                 total.append(total[-1] + self.worst)
+            block = next(blocks, "")
+            if not block:
+                break
             # Paths from every boundary that can still be continued: where they meet, all before is settled.
             alive = set(range(max(0, len(text) - longest + 1), len(text) + 1))
             while len(alive) > 1:
@@ -173,36 +178,12 @@ class PieceCodec:
             end -= width[end]
         return out[::-1]
 
-    def _short(self, stretch: str) -> bytes:
-        """Ids of a short stretch, packed: the same search in one block, for a BPE vocabulary and known characters."""
-        start, apart, check = self.start, self.apart, self._stays_apart
-        back, width = [start], [0]
-        for end, (piece, n) in self.edges.iter(stretch):
-            if end >= len(back):
-                return self._packed(self.segments([stretch]))
-            left = back[end + 1 - n]
-            ok = apart.get(left << 32 | piece)
-            if check(left, piece) if ok is None else ok:
-                back.append(piece)
-                width.append(n)
-        end = len(stretch)
-        if end >= len(back):
-            return self._packed(self.segments([stretch]))
-        out = []
-        while end:
-            out.append(back[end])
-            end -= width[end]
-        out.reverse()
-        return self._packed(out)
-
     @staticmethod
     def _packed(ids: Iterable[int]) -> bytes:
         return array("i", ids).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
         """Ids of characters between two places where all paths converge, packed."""
-        if len(stretch) <= _FEED:
-            return self._short(stretch) if self.bpe else self._packed(self.segments([stretch]))
         return self._packed(self.segments(stretch[k : k + _FEED] for k in range(0, len(stretch), _FEED)))
 
     def _word(self, word: str) -> bytes:
