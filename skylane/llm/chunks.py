@@ -25,6 +25,8 @@ LEAST, NORMAL, MOST = 8, 32, 128
 _RARE, _COMMON = np.uint32((1 << 7) - 1), np.uint32((1 << 3) - 1)
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 17) & 0xFFFFFFFF for b in range(256)], dtype=np.uint32)
 _ENTRY = 12
+#: Rows compared at a time.
+_ROWS = 500
 #: Bytes hashed at a time; a block also sees the 15 bytes before it.
 _BLOCK = 1 << 20
 
@@ -105,66 +107,91 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: Sampled places for each cut between ranges, and the most ranges: the driver holds some numbers for each of them.
+_SAMPLED, _MOST_RANGES = 8, 100_000
+
+
+class _Cuts:
+    """Places ``(doc_id, h)`` that cut the order into ranges; ``h`` is a hash of the text, so rows of one id can be cut too."""
+
+    def __init__(self, places: list[tuple[int, int]]):
+        self.places, self.ids = places, np.array([i for i, _ in places], dtype=np.int64)
+
+    def ranges(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Range of each row: the number of cuts that are smaller than its place."""
+        low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+        for k in np.flatnonzero(high > low):  # rows of an id that is cut
+            low[k] = bisect_left(self.places, (int(ids[k]), int(hashes[k])), int(low[k]), int(high[k]))
+        return low
+
+
+def _range_cuts(keys: DataFrame, range_rows: int) -> _Cuts:
+    """Cuts for ranges of about ``range_rows`` rows, from a sample of places: equal rows count once, as they can't be cut."""
+    rows = keys.count()
+    parts = min(-(-rows // range_rows), _MOST_RANGES)
+    if parts < 2:
+        return _Cuts([])
+    step = max(1, rows // (_SAMPLED * parts))
+    sample = sorted((r.doc_id, r.h) for r in keys.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(step)) == 0).distinct().collect())
+    return _Cuts(sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else [])
+
+
 def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 5_000) -> DataFrame:
     """Fingerprint each text, its edited text and its likeness to both the edited text and the next document.
 
-    Documents are taken in ascending (doc_id, text) order; the last is followed by the first. The edited text has its
-    last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document. Likeness is
-    :func:`containment` of the text's own fingerprint. A null text counts as empty. Rows without an id have no place in
-    the order: their edited columns and likenesses are null. Repeated rows follow each other. An empty table gives an
-    empty result; other columns are ignored.
+    Documents are taken in ascending doc_id, rows of one id in order of a hash of their text; the last is followed by the
+    first. The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
+    document. Likeness is :func:`containment` of the text's own fingerprint. A null text counts as empty. Rows without an
+    id have no place in the order: their edited columns and likenesses are null. Repeated rows follow each other. An
+    empty table gives an empty result; other columns are ignored.
 
-    The order is dealt out by ranges of doc_id of about ``range_rows`` rows; the first row of each range also goes to
-    the end of the range before it, so each range is one sorted stream that is read once and texts are shuffled once.
-    The driver sees two numbers for each range.
+    The order is dealt out by ranges of about ``range_rows`` rows; the first row of each range also goes to the end of
+    the range before it, so each range is one sorted stream that is read once and texts are shuffled once. The driver
+    sees a few numbers for each range, of which there are ``_MOST_RANGES`` at most (ranges of large tables are longer).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    ids = rows.select("doc_id").where("doc_id is not null")
-    parts = -(-ids.count() // range_rows)
-    if not parts:
-        return _alone(rows)
-    cuts = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    cuts = spark.sparkContext.broadcast(np.unique(np.array(cuts, dtype=np.int64)))
+    placed = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    keys = placed.select("doc_id", "h")
+    cuts = spark.sparkContext.broadcast(_range_cuts(keys, range_rows))
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts.value, ids.to_numpy(), side="left").astype("int32"))
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(cuts.value.ranges(ids.to_numpy(), hashes.to_numpy()).astype("int32"))
 
-    first = sorted((r.part, r.head) for r in ids.select("doc_id", part_of("doc_id").alias("part")).groupBy("part").agg(F.min("doc_id").alias("head")).collect())
+    heads = keys.select("doc_id", "h", part_of("doc_id", "h").alias("part")).groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    first = sorted((r.part, (r.head.doc_id, r.head.h)) for r in heads.collect())
     # Where the first row of a range also goes: the range before, and for the first of all the last one.
     before = spark.sparkContext.broadcast({head: first[k - 1][0] for k, (_, head) in enumerate(first)})
 
     @F.pandas_udf("array<struct<part: int, tail: int>>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts.value, ids.to_numpy(), side="left").tolist()
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = cuts.value.ranges(ids.to_numpy(), hashes.to_numpy()).tolist()
         heads = before.value
-        return pd.Series([[(p, 0), (heads[i], 1)] if i in heads else [(p, 0)] for i, p in zip(ids.tolist(), own)])
+        return pd.Series([[(p, 0), (heads[at], 1)] if at in heads else [(p, 0)] for at, p in zip(zip(ids.tolist(), hashes.tolist()), own)])
 
     dealt = (
-        rows.where("doc_id is not null")
-        .select("doc_id", "text", F.explode(places("doc_id")).alias("at"))
-        .select("doc_id", "text", "at.part", "at.tail")
+        placed.select("doc_id", "h", "text", F.explode(places("doc_id", "h")).alias("at"))
+        .select("doc_id", "h", "text", "at.part", "at.tail")
         .repartition("part")
-        .sortWithinPartitions("part", "tail", "doc_id", "text")
+        .sortWithinPartitions("part", "tail", "doc_id", "h")
+        .select("doc_id", "text", "part", "tail")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (doc_id, text, chunk set, part) of the row that waits for the next one
-        out: list[tuple] = []
-        for b in batches:
-            for i, t, p, tail in zip(*(c.to_pylist() for c in b.columns)):
-                if held is None or held[3] != p:
-                    held = None if tail else (i, t, chunk_set(t), p)  # the second and later rows of a tail name nobody
-                    continue
-                mine = chunk_set(t)
-                out.append(_compared(held, t, mine))
-                held = None if tail else (i, t, mine, p)
-                if len(out) >= 2000:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                out: list[tuple] = []
+                for i, t, p, tail in zip(*(c.to_pylist() for c in whole.slice(at, _ROWS).columns)):
+                    if held is None or held[3] != p:
+                        held = None if tail else (i, t, chunk_set(t), p)  # the second and later rows of a tail name nobody
+                        continue
+                    mine = chunk_set(t)
+                    out.append(_compared(held, t, mine))
+                    held = None if tail else (i, t, mine, p)
+                if out:
                     yield _batch(out)
-                    out = []
-        if out:
-            yield _batch(out)
 
     return dealt.mapInArrow(run, _OUT).union(_alone(rows.where("doc_id is null")))
 

@@ -77,6 +77,26 @@ def test_fingerprints_do_not_depend_on_ranges_and_odd_rows(spark):
     assert chunks.fingerprints_with_next(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    rows = [(5, f"text {k} " * (k % 9)) for k in range(3000)] + [(4, "before"), (6, "after"), (6, "after")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cuts = chunks._range_cuts(docs.selectExpr("doc_id", "xxhash64(cast(text as binary)) AS h"), 300)
+    assert len(cuts.places) >= 5
+    order = sorted(rows, key=lambda r: (r[0], _hash64(r[1])))
+    want = {}
+    for k, (i, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][1], len(t) // 4
+        row = (i, hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())
+        want[row] = want.get(row, 0) + 1
+    got = chunks.fingerprints_with_next(docs, range_rows=300).groupBy("doc_id", "edited_sha256").count().collect()
+    assert {(r.doc_id, r.edited_sha256): r["count"] for r in got} == want
+
+
+def _hash64(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 # -- quality classifier ------------------------------------------------------------------------------------------------
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
@@ -228,3 +248,68 @@ def test_pieces_with_an_inner_space_mark_are_refused():
     check_inner_marks(["\u2581", "\u2581\u2581", "\u2581the", "a"])
     with pytest.raises(ValueError):
         check_inner_marks(["\u2581of\u2581the"])
+
+
+# -- quality classifier against a plain version -----------------------------------------------------------------------
+def _plain_features(text: str | None, bits: int) -> dict[int, float]:
+    """Slots and values, one n-gram at a time."""
+    import re
+
+    mask, out = (1 << 64) - 1, {}
+    words = []
+    for w in (text or "").split():
+        words += [w, *(w[k : k + 3] for k in range(len(w) - 2))] if len(w) > 64 else [w]
+    cut = lambda s: re.sub(r"(.)\1\1+", r"\1\1", s, flags=re.S)
+    shape = lambda w: cut(re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", w)))
+    a = [xxhash.xxh64_intdigest(cut(w.lower()), 1) for w in words]
+    b = [xxhash.xxh64_intdigest(shape(w), 2) for w in words]
+    pair = lambda x, y: (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) & mask
+    families = [a, list(map(pair, a, a[1:])), b, list(map(pair, b, b[1:])), [12345 if x == y else 12346 for x, y in zip(a, a[1:])]]
+    for k, values in enumerate(families):
+        counts: dict[int, int] = {}
+        for v in values:
+            slot = (((v ^ k) * 0x9E3779B97F4A7C15) & mask) >> (64 - bits)
+            counts[slot] = counts.get(slot, 0) + 1
+        size = sum(counts.values()) if k == 4 else sum(n * n for n in counts.values()) ** 0.5
+        for slot, n in counts.items():
+            out[slot] = out.get(slot, 0.0) + n / size
+    return out
+
+
+def _plain_ftrl(rows, bits, alpha, beta, l1, l2, low, epochs):
+    """Weights after ``epochs`` readings, one coordinate at a time; the bias is at slot -1."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(s):
+        if abs(z.get(s, 0.0)) <= l1:
+            return 0.0
+        return -(z[s] - math.copysign(l1, z[s])) / ((beta + math.sqrt(n[s])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, label in rows:
+            x = {**x, -1: 1.0}
+            w = {s: weight(s) for s in x}
+            p = 1 / (1 + math.exp(-sum(w[s] * v for s, v in x.items())))
+            for s, v in x.items():
+                g = (p - label) * (1.0 if label else low) * v
+                old = n.get(s, 0.0)
+                z[s] = z.get(s, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[s]
+                n[s] = old + g * g
+    return {s: weight(s) for s in z}
+
+
+def test_scores_equal_a_plain_version(spark):
+    import math
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "of", "Good", "bad", "1234", "aaaa", "#!?", "STOP", "x" * 70 + str(k)]) for _ in range(rng.randrange(0, 30))) for k in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 3 > 0) for k in range(30)], "doc_id long, quality boolean").selectExpr("doc_id", "int(quality) AS quality")
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    weights = _plain_ftrl([(_plain_features(texts[k], 12), int(k % 3 > 0)) for k in order], 12, 1.0, 1.0, 0.005, 0.01, 2.5, 5)
+    got = quality.quality_scores(docs, quality.train(docs, labels, bits=12, updates=150), bits=12)
+    for r in got.collect():
+        total = weights[-1] + sum(weights.get(s, 0.0) * v for s, v in _plain_features(r.text, 12).items())
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 and r.predicted == int(r.score >= 0.3)
