@@ -173,7 +173,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, id_col: str = "d
 
 
 #: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
-_BROADCAST_IDS = 1_000_000
+_BROADCAST_IDS = 300_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -261,13 +261,13 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame | None:
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame | None:
     """Those of the pairs ``(a, b)`` that are similar, by their whole shingle sets; ``None`` without any pair or link."""
     pairs = staged(pairs, "candidates")
     if pairs.isEmpty():
         return None
-    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    sets = staged(_shingle_sets(texts.join(_small(asked), "node"), size), "shingle-sets")
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "of.*"), "asked")
+    sets = staged(_shingle_sets(texts.join(_small(asked), ["id", "h"]), size), "shingle-sets")
     # Many texts may be paired with one: that one's set comes last, so it is copied to its pairs where they are compared.
     sized = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     found = staged(_similar(sized, similarity), "links")
@@ -276,128 +276,119 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
     return None if found.isEmpty() else found
 
 
-def _least(n: str, similarity: float) -> str:
-    """SQL of the least overlap that a set of ``n`` shingles can have with a similar one."""
-    return f"ceil({similarity}D * {n} - 1e-9D)"
+def _fits(similarity: float) -> str:
+    """SQL that two sets of ``na`` and ``nb`` shingles are alike enough in size."""
+    return f"least(na, nb) >= ceil({similarity}D * greatest(na, nb) - 1e-9D)"
 
 
-def _fits(similarity: float) -> str:
-    return f"least(na, nb) >= {_least('greatest(na, nb)', similarity)}"
+def _can_reach(similarity: float) -> str:
+    """SQL that two sets whose first shingle in common stands at ``ia`` and ``ib`` of the order can have the similarity."""
+    return f"{_fits(similarity)} and least(na - ia, nb - ib) >= ceil({similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D)"
 
 
 def _prefixes(texts: DataFrame, counters: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """Prefix shingles of each text: ``(key, node, root, n)``, ``n`` the size of its shingle set.
+    """Prefix shingles of each text ``(node, text)``: ``(key, node, i)``, ``i`` the place in the order.
 
     Shingles have one order for all texts: by their counter, least used first, then by hash. Two sets with the similarity
     share a shingle among the first ``n - ceil(similarity * n) + 1`` of each, whatever the order is.
     """
     shared = texts.sparkSession.sparkContext.broadcast(counters)
-    names = ["key", "node", "root", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
         for b in _slices(batches):
             sets = []
-            for t in b.column(2).to_pylist():
+            for t in b.column(1).to_pylist():
                 x = _shingle_set(t, size)
                 first = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1 if len(x) else 0
-                sets.append((x[np.lexsort((x, counters[_counter_of(x)]))[:first]], len(x)))
-            many = [len(x) for x, _ in sets]
-            rest = [np.repeat(b.column(k).to_numpy(), many) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([x for x, _ in sets]), *rest, np.repeat([n for _, n in sets], many))], names=names)
-
-    return texts.select("node", "root", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, root long, n long")
+                sets.append(x[np.lexsort((x, counters[_counter_of(x)]))[:first]])
+            many = [len(x) for x in sets]
+            columns = np.concatenate(sets), np.repeat(b.column(0).to_numpy(), many), np.concatenate([np.arange(n, dtype=np.int32) for n in many])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "i"])
 
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, i int")
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """The rows of those keys whose texts stand in different components; a hot key costs one row a task to tell.
 
-    ``rows`` is a staged table, which is deleted.
-    """
-    keys = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "keys")
-    out = staged(rows.join(_small(keys), "key", "left_semi"), "meeting")
-    discard(rows)
+def _shared_keys(prefixes: DataFrame) -> DataFrame:
+    """The rows of keys that several texts have."""
+    keys = staged(prefixes.groupBy("key").count().where("count > 1").select("key"), "keys")
+    out = staged(prefixes.join(_small(keys), "key", "left_semi"), "shared-keys")
+    discard(prefixes)
     return out
 
 
-def _rooted(meeting: DataFrame, roots: DataFrame) -> DataFrame:
-    """``meeting`` with the components known by now, and only the keys at which different ones still meet."""
-    of = roots.select("node", F.col("root").alias("now"))
-    now = staged(meeting.join(of, "node", "left").select("key", "node", F.coalesce("now", "node").alias("root"), "n"), "rooted")
-    discard(meeting)
-    return _meeting(now)
-
+def _meeting(shared: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(key, node, i, n, root)`` of those keys whose texts stand in different components; a hot key costs one row a task to tell."""
+    known = nodes.select("node", "n")
+    known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    rows = shared.join(known, "node").select("key", "node", "i", "n", "root")
+    apart = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "keys-apart")
+    return staged(rows.join(_small(apart), "key", "left_semi"), "meeting")
 
-def _enough(tied: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of rows ``(a, na, b, nb)``, a row for each prefix shingle in common, that can have the similarity.
-
-    Shingles up to the smaller of the two last prefix shingles are in common only if they are so in the prefixes; of
-    the others there are as many as that text has after its prefix.
-    """
-    need = f"ceil({similarity}D / (1 + {similarity}D) * (na + nb) - 1e-9D)"
-    after = f"greatest({_least('na', similarity)}, {_least('nb', similarity)}) - 1"
-    pairs = tied.where(_fits(similarity)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return pairs.where(f"shared >= {need} - ({after})").select("a", "b")
 
-
-def _tied_to_pivots(meeting: DataFrame, turn: int, similarity: float) -> DataFrame:
+def _tied_to_pivots(meeting: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each text with one pivot text for each shingle, if that stands in another component.
 
-    This brings large groups of near copies together at one row a shingle, before ``_all_across`` looks at pairs.
+    The pivot has the shingle earliest in its order, so it has the fewest shingles of its own: of a group of edited copies
+    it is what they were made from. This ties large groups at one row a shingle, before ``_all_across`` looks at pairs.
     """
-    pivots = meeting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n")).alias("p"))
+    pivots = meeting.groupBy("key").agg(F.min(F.struct("i", F.xxhash64("node").alias("o"), "node", "root", "n")).alias("p"))
     tied = meeting.join(pivots, "key").where("p.root <> root")
     first = F.col("node") < F.col("p.node")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return _enough(tied.select(pick("node", "p.node").alias("a"), pick("n", "p.n").alias("na"), pick("p.node", "node").alias("b"), pick("p.n", "n").alias("nb")), similarity)
+    sides = lambda c: (F.when(first, F.col(c)).otherwise(F.col(f"p.{c}")), F.when(first, F.col(f"p.{c}")).otherwise(F.col(c)))
+    names = {"node": ("a", "b"), "n": ("na", "nb"), "i": ("ia", "ib")}
+    return tied.select(*[side.alias(n) for c, two in names.items() for side, n in zip(sides(c), two)]).where(_can_reach(similarity)).select("a", "b").distinct()
 
 
 def _all_across(meeting: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of texts in different components that share enough prefix shingles; none that is similar is missing."""
-    one = meeting.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = meeting.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return _enough(one.join(two, "key").where(f"a < b and ra <> rb and {_fits(similarity)}"), similarity)
+    """All pairs of texts in different components that can be similar by a prefix shingle; none that is similar is missing.
+
+    The smaller set of a pair needs a shorter prefix, as the other one has no fewer shingles.
+    """
+    one = meeting.where(f"n - i >= ceil(2 * {similarity}D / (1 + {similarity}D) * n - 1e-9D)").toDF("key", "a", "ia", "na", "ra")
+    two = meeting.toDF("key", "b", "ib", "nb", "rb")
+    met = one.join(two, "key").where(f"(na < nb or na = nb and a < b) and ra <> rb and {_can_reach(similarity)}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _tied_by_fingerprint(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)``: each text with the first one of its group of SimHash fingerprints (at most three differing bits)."""
-    named = staged(link_fingerprints(staged(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "fingerprints")).select("fp", "root"), "groups")
+    """Pairs ``(a, b)``: each text with the first one of its group of SimHash fingerprints.
+
+    Groups are chains of at most two differing bits: balls of half that radius meet in a shuffle.
+    """
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"), "fingerprints")
+    roots = connected_components(_within_two(prints))
+    named = staged(prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "groups")
     tied = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), "fp").join(named, "fp").where("b <> root")
     heads = nodes.select(F.col("node").alias("root"), F.col("n").alias("na"))
     return tied.join(heads, "root").where(_fits(similarity)).select(F.col("root").alias("a"), "b")
 
 
-#: Rounds that tie texts to one pivot for each shingle, before all pairs that are still apart are looked at.
-_PIVOT_ROUNDS = 2
-
-
 def near_duplicate_roots(texts: DataFrame, nodes: DataFrame, counters: np.ndarray, size: int, similarity: float) -> DataFrame:
     """Components of distinct texts whose shingle sets have that Jaccard similarity: ``(node, root)`` for nodes with a link.
 
-    ``texts`` holds ``(node, text)``, ``nodes`` ``(node, fp, n)``, ``counters`` the uses of shingles. Groups of SimHash
-    fingerprints come first: ball hashing finds the closest copies, each is checked against the first one of its group.
-    Copies further apart (a passage added moves up to ten bits) are found by an exact equi join on prefix shingles over
-    all texts, of which only keys count that still join different components. No pair that is similar is missing.
+    ``texts`` holds ``(id, h, text)``, ``nodes`` ``(node, of, fp, n)`` with ``of`` the ``(id, h)`` of one row with that text,
+    ``counters`` the uses of shingles. Groups of SimHash fingerprints come first: ball hashing finds the closest copies,
+    each is checked against the first one of its group. Copies further apart (a passage added moves up to ten bits) are
+    found by an exact equi join on prefix shingles over all texts, of which only keys count that still join different
+    components. No pair that is similar is missing.
     """
     links: list[DataFrame] = []
-    roots = None
-    rows, meeting = texts.withColumn("root", F.col("node")), None
-    for turn in range(-1, _PIVOT_ROUNDS + 1):
-        if turn < 0:
-            tied = _tied_by_fingerprint(nodes.where("n > 0"), similarity)
-        elif turn < _PIVOT_ROUNDS:
-            tied = _tied_to_pivots(meeting, turn, similarity)
+    roots, shared = None, None
+    nodes = nodes.where("n > 0")
+    for turn in ("fingerprints", "pivots", "pairs"):
+        if turn == "fingerprints":
+            tied = _tied_by_fingerprint(nodes, similarity)
         else:
-            tied = _all_across(meeting, similarity)
-        found = _verified(tied, texts, size, similarity)
+            if shared is None:
+                of = nodes.select("node", "of.id", "of.h")
+                shared = _shared_keys(staged(_prefixes(texts.join(_small(of), ["id", "h"]), counters, size, similarity), "prefixes"))
+            meeting = _meeting(shared, nodes, roots)
+            tied = _tied_to_pivots(meeting, similarity) if turn == "pivots" else _all_across(meeting, similarity)
+        found = _verified(tied, texts, nodes, size, similarity)
         if found is not None:
             links.append(found)
             roots = staged(connected_components(reduce(DataFrame.union, links)), "roots")
-        if turn < 0:
-            rows = rows if roots is None else texts.join(_small(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "text")
-            meeting = _meeting(staged(_prefixes(rows, counters, size, similarity), "prefixes"))
-        elif turn < _PIVOT_ROUNDS and found is not None:
-            meeting = _rooted(meeting, roots)
     return texts.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
@@ -418,9 +409,9 @@ def drop_near_duplicates(
     nodes = staged(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
     again = staged(light.groupBy("id", "h").count().where("count > 1").select("id", "h"), "repeated")
     repeated = again.count() > 0
-    texts = key.join(_small(nodes.select("node", F.col("of.id").alias("id"), F.col("of.h").alias("h"))), ["id", "h"]).select("node", "text")
-    texts = texts.dropDuplicates(["node"]) if repeated else texts
-    roots = near_duplicate_roots(texts, nodes.select("node", "fp", "n"), _counters(described), shingle_words, similarity)
+    texts = key.where("id is not null").select("id", "h", "text")
+    texts = texts.dropDuplicates(["id", "h"]) if repeated else texts
+    roots = near_duplicate_roots(texts, nodes.select("node", "of", "fp", "n"), _counters(described), shingle_words, similarity)
     # Ids may repeat with other texts, so distinct texts have numbers of their own; the smallest id and text of a group stays.
     named = staged(nodes.join(roots, "node", "left").select("d1", "d2", "of", F.coalesce("root", "node").alias("root")), "named")
     first = named.groupBy("root").agg(F.min("of").alias("first"))
