@@ -2,12 +2,13 @@
 
 Spark has no range join, so both sides get time buckets one tolerance wide: the left row goes to each bucket that its
 interval touches, the right row to its own, and an equi join on the bucket leaves a short residual check. A bucket is
-an hour or less of one table, so no key gathers a large share of the rows; a left row meets a right row once.
+an hour or less of one table, so no key gathers a large share of the rows; a left row meets a right row once. The
+nearest right row needs no pairs: both sides are sorted together in slices of time, and each row sees its neighbours.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,19 +35,81 @@ def within_interval(left: DataFrame, right: DataFrame, left_ts: str, right_ts: s
     near = (F.col("__b") == F.col("__rb")) & (F.col(right_ts) >= F.col(left_ts) - reach) & (F.col(right_ts) <= F.col(left_ts) + reach)
     if how == "inner":
         return probe.join(build, near).drop("__b", "__rb")
-    met = probe.join(build, near).drop("__b", "__rb")
-    # Left rows without any match: those whose buckets all came back empty.
-    numbered = left.withColumn("__at", at)
-    none = numbered.join(met.select(micros(left_ts).alias("__m")).distinct(), F.col("__at") == F.col("__m"), "left_anti").drop("__at")
-    return met.unionByName(none, allowMissingColumns=True)
+    # Each left row stands in three buckets; of those without a match one row stays if none of them has any.
+    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    marked = left.select(F.monotonically_increasing_id().alias("__row"), row.alias("__l"), at.alias("__at"))
+    marked = marked.withColumn("__b", F.explode_outer(F.sequence(_bucket(F.col("__at") - width, width), _bucket(F.col("__at") + width, width))))
+    met = marked.join(build.withColumn("__rt", micros(right_ts)), (F.col("__b") == F.col("__rb")) & (F.abs(F.col("__rt") - F.col("__at")) <= width), "left")
+    of_row = Window.partitionBy("__row")
+    met = met.withColumn("__n", F.count("__rb").over(of_row)).where("__rb is not null or __n = 0")
+    met = met.withColumn("__k", F.when(F.col("__rb").isNull(), F.row_number().over(of_row.orderBy("__b"))).otherwise(1)).where("__k = 1")
+    return met.select(*[F.col(f"__l.`{c}`").alias(c) for c in left.columns], *right.columns)
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, keys: list[str], right_id: str, seconds: int = 3600, how: str = "inner") -> DataFrame:
-    """For each left row (named by ``keys``) the right row nearest in time within ``seconds``.
+def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, keys: list[str], right_id: str | None = None, seconds: int = 3600, how: str = "inner") -> DataFrame:
+    """For each left row the right row nearest in time within ``seconds``.
 
-    Ties go to the earlier right row, then to the smaller ``right_id``. ``how='left'`` keeps left rows without a match.
-    Returns the left columns, the right columns and ``time_diff`` in seconds. Works on streams with ``how='inner'``.
+    Ties go to the earlier right row, then to the smaller ``right_id`` (without one: the row that is smaller column by
+    column). ``how='left'`` keeps left rows without a match. Returns the left columns, the right columns and ``time_diff`` in seconds. Rows with a null time match nothing.
+
+    Batch frames are joined as of both neighbours in time, with a row for each left row, repeated rows included. A stream
+    (``how='inner'`` only) compares all pairs within reach, as state allows no look ahead, and folds rows that have equal
+    ``keys``.
     """
+    if left.isStreaming or right.isStreaming:
+        return _nearest_on_streams(left, right, left_ts, right_ts, keys, right_id, seconds)
+    both = neighbours_in_time(left, right, left_ts, right_ts, right_id, seconds)
+    at, before, after = F.col("__t"), F.col("__before"), F.col("__after")
+    gaps = both.select("__l", at - before["t"], after["t"] - at, before["r"], after["r"]).toDF("__l", "gb", "ga", "rb", "ra")
+    first = F.col("gb").isNotNull() & (F.col("ga").isNull() | (F.col("gb") <= F.col("ga")))
+    best = gaps.select("__l", F.when(first, F.col("rb")).otherwise(F.col("ra")).alias("r"), F.when(first, F.col("gb")).otherwise(F.col("ga")).alias("gap"))
+    best = best if how == "left" else best.where("gap is not null")
+    return best.select(*[F.col(f"__l.`{c}`").alias(c) for c in left.columns], *[F.col(f"r.`{c}`").alias(c) for c in right.columns], (F.col("gap") / 1_000_000).alias("time_diff"))
+
+
+def _least_row(right: DataFrame, right_id: str | None):
+    return F.min(F.struct("*")) if right_id is None else F.min_by(F.struct("*"), right_id)
+
+
+#: Slices of the tolerance in which rows are sorted: a slice is a window partition, so a crowded hour is dealt out.
+SLICES = 60
+
+
+def neighbours_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, right_id: str | None, seconds: int) -> DataFrame:
+    """Each left row ``__l`` with its time ``__t`` in microseconds and the right rows just ``__before`` (or at) and ``__after`` it.
+
+    Both are ``(t, r)`` with the right row ``r`` (of equal times the one with the smallest ``right_id``), or null if none is
+    within ``seconds``. Both sides are sorted once in slices of time; what stands before a slice's first and after its last
+    right row comes from the slices around it, of which each gives one row. So the work grows with the rows of both sides.
+    """
+    width = seconds * 1_000_000
+    slice_ = max(1, width // SLICES)
+    reach = -(-width // slice_)  # slices on either side that the tolerance can touch
+    near = right.where(F.col(right_ts).isNotNull()).groupBy(micros(right_ts).alias("t")).agg(_least_row(right, right_id).alias("r"))
+    near = near.select("t", F.struct("t", "r").alias("r"))
+    kinds = left.select(F.struct("*").alias("l")).schema["l"].dataType
+    rows = left.select(micros(left_ts).alias("t"), F.struct("*").alias("l"), F.lit(None).cast(near.schema["r"].dataType).alias("r"), F.lit(1).alias("side"))
+    rows = rows.unionByName(near.select("t", F.lit(None).cast(kinds).alias("l"), "r", F.lit(0).alias("side")))
+    # Rows without a time match nothing and are dealt out by hash.
+    rows = rows.withColumn("s", F.coalesce(F.floor(F.col("t") / slice_), -1_000_000_000_000_000 - F.pmod(F.xxhash64("l"), F.lit(4096))))
+    # A slice's own first and last right row, then those of the slices around it, within groups of neighbouring slices.
+    ends = rows.where("t is not null").groupBy("s").agg(F.min_by("r", F.when(F.col("side") == 0, F.col("t"))).alias("first"), F.max_by("r", F.when(F.col("side") == 0, F.col("t"))).alias("last"))
+    group = F.floor(F.col("s") / reach)
+    spread = ends.withColumn("own", group).withColumn("g", F.explode(F.array(group - 1, group, group + 1)))
+    by_group = Window.partitionBy("g").orderBy("s")
+    around = spread.select(
+        "own", "g", F.col("s").alias("of"), F.last("last", ignorenulls=True).over(by_group.rangeBetween(-reach, -1)).alias("earlier"),
+        F.first("first", ignorenulls=True).over(by_group.rangeBetween(1, reach)).alias("later"),
+    ).where("own = g")
+    up, down = Window.partitionBy("s").orderBy("t", "side"), Window.partitionBy("s").orderBy(F.desc("t"), "side")
+    placed = rows.withColumn("b", F.last("r", ignorenulls=True).over(up)).withColumn("a", F.last("r", ignorenulls=True).over(down)).where("side = 1")
+    met = placed.join(around, F.col("s") == F.col("of"), "left").select("l", "t", F.coalesce("b", "earlier").alias("b"), F.coalesce("a", "later").alias("a"))
+    return met.select(
+        F.col("l").alias("__l"), F.col("t").alias("__t"), F.when(F.col("t") - F.col("b.t") <= width, F.col("b")).alias("__before"), F.when(F.col("a.t") - F.col("t") <= width, F.col("a")).alias("__after")
+    )
+
+
+def _nearest_on_streams(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, keys: list[str], right_id: str | None, seconds: int) -> DataFrame:
     width = seconds * 1_000_000
     at = micros(left_ts)
     probe = left.withColumn("__b", F.explode(F.sequence(_bucket(at - width, width), _bucket(at + width, width))))
@@ -55,13 +118,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: s
     gap = F.abs(F.col("__rt") - at)
     met = probe.join(build, (F.col("__b") == F.col("__rb")) & (gap <= width)).withColumn("__gap", gap)
     rest = [c for c in left.columns if c not in keys]
-    best = F.min_by(F.struct("__r", "__gap"), F.struct("__gap", "__rt", F.col(f"__r.{right_id}"))).alias("__best")
+    best = F.min_by(F.struct("__r", "__gap"), F.struct("__gap", "__rt", F.col("__r") if right_id is None else F.col(f"__r.{right_id}"))).alias("__best")
     nearest = met.groupBy(*keys).agg(best, *[F.first(c).alias(c) for c in rest])
-    out = nearest.select(*left.columns, *[F.col(f"__best.__r.{c}").alias(c) for c in payload], (F.col("__best.__gap") / 1_000_000).alias("time_diff"))
-    if how == "inner":
-        return out
-    none = left.join(out.select(*keys), keys, "left_anti")
-    return out.unionByName(none, allowMissingColumns=True)
+    return nearest.select(*left.columns, *[F.col(f"__best.__r.{c}").alias(c) for c in payload], (F.col("__best.__gap") / 1_000_000).alias("time_diff"))
 
 
 def with_daily_precipitation(trips: DataFrame, weather: DataFrame, trip_ts: str, weather_ts: str, amount: str = "precip_daily_mm") -> DataFrame:

@@ -115,7 +115,21 @@ def sql(spark: SparkSession, statement: str) -> DataFrame:
 
 
 def answer(spark: SparkSession, statement: str, most_rows: int = 10_000) -> dict:
-    """A statement's rows for a client: status, columns, data and row_count. At most ``most_rows`` rows leave the cluster."""
+    """A statement's rows for a client: status, columns, data, row_count and whether there are more.
+
+    At most ``most_rows`` rows leave the cluster; ``truncated`` says that the statement has more than those.
+    """
     df = sql(spark, statement)
-    rows = [list(r) for r in df.limit(most_rows).collect()]
-    return {"status": "success", "columns": df.columns, "data": rows, "row_count": len(rows)}
+    rows = [list(r) for r in df.limit(most_rows + 1).collect()]
+    return {"status": "success", "columns": df.columns, "data": rows[:most_rows], "row_count": len(rows[:most_rows]), "truncated": len(rows) > most_rows}
+
+
+_DEFINES = re.compile(r"\s*(create\s+(?:or\s+replace\s+)?(?:external\s+)?|drop\s+)(database|schema|table|view)\b", re.I)
+
+
+def define(spark: SparkSession, statement: str) -> None:
+    """Run one statement that creates or drops a database, a table (external ones included) or a view."""
+    statement = statement.strip().rstrip(";").rstrip()
+    if not _DEFINES.match(statement):
+        raise ValueError("only CREATE and DROP of databases, tables and views are accepted")
+    spark.sql(statement)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylane.functions.weather import add_precipitation_flags, enrich_weather, fahrenheit_to_celsius
+from skylane.operators.windows import forward_fill
 
 #: Formats of timestamps in the feeds (fixed values).
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSSS")
@@ -175,11 +176,16 @@ def record_weather(rows: DataFrame) -> DataFrame:
 
 def daily_precipitation(rows: DataFrame) -> DataFrame:
     """Fill each station's daily precipitation forward: the amount of the last '24,…' code up to the row's time."""
-    from pyspark.sql import Window
-
     code = F.col("AA1")
     amount = F.when(code.startswith("24,"), F.get(F.split(code, ","), F.lit(1)).try_cast("int"))
-    return rows.withColumn("PRECIP_DAILY_MM", F.last(amount, ignorenulls=True).over(Window.partitionBy("STATION").orderBy("DATE")))
+    return forward_fill(rows.withColumn("__amount", amount), ["STATION"], "DATE", "__amount", "PRECIP_DAILY_MM").drop("__amount")
+
+
+def without_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NaN as null in the given (or all) float and double columns, so that no average is spoilt by one."""
+    kinds = dict(df.dtypes)
+    names = [c for c in (columns or df.columns) if kinds[c] in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in names})
 
 
 def envelopes(df: DataFrame, ts: str, source: str) -> DataFrame:

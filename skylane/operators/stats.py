@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skylane.functions.weather import precipitation_level, temperature_range
 
-#: Accuracy of percentiles: exact for groups up to about this number of distinct values.
-ACCURACY = 1_000_000
+#: Accuracy of percentiles: a rank is off by one in this many at most, and a sketch holds about as many values.
+ACCURACY = 10_000
 _SHORT = {"speed": "average_speed_kmh", "temp": "temp_c", "distance": "distance_meters", "duration": "tripduration", "precip": "precip_daily_mm"}
 _MEASURES = {
     "mean": F.avg, "stddev": F.stddev, "variance": F.variance, "min": F.min, "max": F.max, "skewness": F.skewness, "kurtosis": F.kurtosis,

@@ -6,7 +6,7 @@ The ``window`` struct stays a column, because joins and second aggregations of s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylane.functions.ladders import below, flag, share
@@ -125,3 +125,23 @@ def usage_by_bin(combined: DataFrame, by: str) -> DataFrame:
     kind = {"temp": "by_temperature_bin", "wind": "by_wind_bin", "score": "by_weather_score_bin"}[by]
     binned = combined.withColumn(name, below(F.col(column), rungs, top, "unknown")).where(F.col(name) != "unknown")
     return binned.groupBy(name).agg(*measures).withColumn("aggregation_type", F.lit(kind))
+
+
+def forward_fill(df: DataFrame, keys: list[str], ts: str, value: str, out: str, tie: str | None = None) -> DataFrame:
+    """``df`` with ``out``: the last ``value`` that isn't null at or before each row of its keys, in order of ``ts`` (and ``tie``).
+
+    Filled within each day; what stands before a day's first value comes from the last values of earlier days, one row a
+    day, so no window holds more than a day of one key. Null keys are a key of their own.
+    """
+    day = F.substring(ts, 1, 10) if dict(df.dtypes)[ts] == "string" else F.to_date(ts)  # ISO text begins with the day
+    rows = df.withColumn("__day", day)
+    order = F.struct(ts, *([tie] if tie else []))
+    latest = rows.where(F.col(value).isNotNull()).groupBy(*keys, "__day").agg(F.max_by(value, order).alias("latest"))
+    days = rows.select(*keys, "__day").distinct().alias("a").join(latest.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "__day")], "left")
+    days = days.select(*[F.col(f"a.{c}").alias(f"__{k}") for k, c in enumerate(keys)], F.col("a.__day").alias("__d"), "latest")
+    earlier = Window.partitionBy(*[f"__{k}" for k in range(len(keys))]).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__before", F.last("latest", ignorenulls=True).over(earlier)).drop("latest")
+    within = Window.partitionBy(*keys, "__day").orderBy(ts, *([tie] if tie else []))
+    filled = rows.withColumn("__within", F.last(value, ignorenulls=True).over(within))
+    same = [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(keys)] + [F.col("__day").eqNullSafe(F.col("__d"))]
+    return filled.join(days, same, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.coalesce("__within", "__before").alias(out))

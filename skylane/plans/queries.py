@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 
 from skylane.functions import geo, weather
 from skylane.operators import analytics, joins, panels, projections, stats, windows
-from skylane.sources.adapters import read
+from skylane.sources import files
+from skylane.sources.adapters import ADAPTERS, read
+from skylane.streaming import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def _query(f):
-    QUERIES[f.__name__.lstrip("_")] = lambda spark, sf_dir: rounded(f(lambda t: read(spark, sf_dir, t) if t in _ADAPTED else spark.read.parquet(f"{sf_dir}/{t}.parquet")))
-    return f
+class Tables:
+    """``t(name)`` reads a table, adapted ones from ``events``; ``path(name)`` is where a stored one lies."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
 
-_ADAPTED = {"bike_trips", "taxi_rides", "weather_raw", "accidents"}
+    def __call__(self, name: str) -> DataFrame:
+        return read(self.spark, self.sf_dir, name) if name in ADAPTERS else self.spark.read.parquet(self.path(name))
+
+
+def _query(f):
+    QUERIES[f.__name__.lstrip("_")] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir)))
+    return f
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -124,10 +136,11 @@ def jn_nearest(t):
 
 @_query
 def jn_nearest_rn(t):
-    pairs = joins.within_interval(_starts(t), _observed(t), "start_time_ts", "weather_ts", 3600)
-    gap = F.abs(joins.micros("start_time_ts") - joins.micros("weather_ts"))
-    rn = F.row_number().over(Window.partitionBy("trip_no").orderBy(gap, "weather_ts", "obs_no"))
-    return pairs.withColumn("rn", rn).where("rn = 1").select("trip_no", "obs_no")
+    # The two neighbours in time are all that can be first.
+    both = joins.neighbours_in_time(_starts(t), _observed(t), "start_time_ts", "weather_ts", "obs_no", 3600)
+    pairs = both.select("__l.trip_no", "__t", F.explode(F.array("__before", "__after")).alias("o")).where("o is not null")
+    rn = F.row_number().over(Window.partitionBy("trip_no").orderBy(F.abs(F.col("__t") - F.col("o.t")), "o.t"))
+    return pairs.withColumn("rn", rn).where("rn = 1").select("trip_no", "o.r.obs_no")
 
 
 @_query
@@ -405,16 +418,8 @@ def agg_live_weather(t):
 
 @_query
 def win_ffill(t):
-    # Filled within each day; what stands before a day's first value comes from the last values of the days, a row a day.
-    rows = t("weather_raw").select("obs_no", "station", F.to_date("datetime_ts").alias("day"), "datetime_ts", F.when(F.col("precip_daily_mm") > 0, F.col("precip_daily_mm")).alias("precip"))
-    order = F.when(F.col("precip").isNotNull(), F.struct("datetime_ts", "obs_no"))
-    days = rows.groupBy("station", "day").agg(F.max_by("precip", order).alias("latest"))
-    earlier = Window.partitionBy("station").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(F.col("station").alias("s"), F.col("day").alias("d"), F.last("latest", ignorenulls=True).over(earlier).alias("before"))
-    within = Window.partitionBy("station", "day").orderBy("datetime_ts", "obs_no")
-    filled = rows.withColumn("within", F.last("precip", ignorenulls=True).over(within))
-    joined = filled.join(days, F.col("station").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")), "left")
-    return joined.select("obs_no", "station", F.coalesce("within", "before").alias("precip_filled"))
+    rows = t("weather_raw").select("obs_no", "station", "datetime_ts", F.when(F.col("precip_daily_mm") > 0, F.col("precip_daily_mm")).alias("precip"))
+    return windows.forward_fill(rows, ["station"], "datetime_ts", "precip", "precip_filled", "obs_no").select("obs_no", "station", "precip_filled")
 
 
 @_query
@@ -430,33 +435,35 @@ def srt_top1(t):
     return t("taxi_rides").orderBy(F.desc("price"), "trip_no").limit(1).select("trip_no", "price")
 
 
+def _messages(t):
+    """Events as messages of a topic with one partition."""
+    return t("events").withColumns({"partition": F.lit(0), "offset": F.col("event_id")})
+
+
 @_query
 def src_topic_sample(t):
-    newest = t("events").orderBy(F.desc("event_id")).limit(20)
-    return newest.orderBy("event_id").select("event_id", "event_type", "value")
+    return files.topic_sample(_messages(t), 20).select("event_id", "event_type", "value")
 
 
 @_query
 def src_parquet_range(t):
-    return t("events").where(F.col("ts").between(F.lit("2024-01-03").cast("timestamp_ntz"), F.lit("2024-01-04").cast("timestamp_ntz"))).select("event_id", "ts").orderBy("ts", "event_id")
+    return files.read_range(t.spark, t.path("events"), "ts", "2024-01-03", "2024-01-04", ordered=True).select("event_id", "ts")
 
 
 @_query
 def src_replay_halfopen(t):
-    e = t("events")
-    return e.where((F.col("ts") > F.lit("2024-01-03").cast("timestamp_ntz")) & (F.col("ts") <= F.lit("2024-01-04").cast("timestamp_ntz"))).select("event_id", "ts")
+    return files.read_range(t.spark, t.path("events"), "ts", "2024-01-03", "2024-01-04", half_open=True).select("event_id", "ts")
 
 
 @_query
 def set_dedupe_offsets(t):
     e = t("events").select((F.col("event_id") % 4).alias("partition"), F.floor(F.col("event_id") / 8).alias("offset"), "event_id")
-    return e.groupBy("partition", "offset").agg(F.min("event_id").alias("event_id"))
+    return sinks.latest_of(e, ["partition", "offset"], "event_id", earliest=True)
 
 
 @_query
 def set_union_by_name(t):
-    a = t("taxi_rides").select("trip_no", "price")
-    return a.unionByName(t("bike_trips").select("trip_no", "user_type"), allowMissingColumns=True)
+    return files.union_by_name([t("taxi_rides").select("trip_no", "price"), t("bike_trips").select("trip_no", "user_type")])
 
 
 @_query

@@ -1,6 +1,8 @@
 """All queries of the mobility operators and their SQL equivalents."""
 
-from skylane.plans.oracle import ORACLE_SQL
-from skylane.plans.queries import QUERIES
+from skylane.plans import oracle, records_oracle
+from skylane.plans.records import QUERIES
+
+ORACLE_SQL = {**oracle.ORACLE_SQL, **records_oracle.ORACLE_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-"""Where frames come from: event adapters, files, contracts, generators and the simulated clock."""
+"""Where frames come from: event adapters, files, contracts and generators."""

@@ -1,84 +1,187 @@
-"""Stream contracts: the fields of each topic, as Spark schemas and as Avro records, with a versioned catalogue."""
+"""Stream contracts: the fields of each topic, as Spark schemas and as Avro records."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-_TYPES = {"s": ("string", T.StringType()), "d": ("double", T.DoubleType()), "i": ("int", T.IntegerType()), "l": ("long", T.LongType())}
-
-#: Topic: fields with their types (s string, d double, i int, l long). The records on the wire have this order.
-FIELDS = {
-    "bike-data": "tripduration:d starttime:s stoptime:s start_station_id:s start_station_name:s start_station_latitude:d start_station_longitude:d end_station_id:s end_station_name:s"
-    " end_station_latitude:d end_station_longitude:d usertype:s birth_year:i gender:i",
-    "taxi-data": "id:s timestamp:s hour:i day:i month:i datetime:s timezone:s source:s destination:s cab_type:s product_id:s price:d distance:d surge_multiplier:d temperature:d"
-    " apparent_temperature:d humidity:d wind_speed:d precip_intensity:d",
-    "weather-data": "station_id:l observation_date:s source_code:i latitude:d longitude:d elevation_meters:d station_name:s report_type:s call_sign:s quality_control:s wind_observation:s"
-    " sky_condition_observation:s visibility_observation:s dry_bulb_temperature_celsius:d dew_point_temperature_celsius:d sea_level_pressure:s precip_daily_mm:d",
-    "accident-data": "dispatch_ts:s mode_type:s location_type:s street:s xstreet1:s xstreet2:s x_cord:d y_cord:d lat:d long:d",
-    "bike-weather-aggregate": "starttime:s stoptime:s weather_ts:s temp_c:d precip_daily_mm:d tripduration:d start_station_latitude:d start_station_longitude:d end_station_latitude:d end_station_longitude:d",
-    "bike-weather-distance": "starttime:s stoptime:s weather_ts:s temp_c:d precip_daily_mm:d tripduration:d distance_meters:d average_speed_kmh:d",
-    "weather-transport-statistics-overall": " ".join(
-        f"{m}_{n}:d" for n, ms in (("speed", "mean median stddev variance min max range skewness kurtosis p25 p75 iqr cv"), ("temp", "mean median stddev min max"), ("distance", "mean median stddev"), ("duration", "mean median stddev")) for m in ms.split()
-    )
-    + " total_trips:l",
-    "weather-transport-statistics-by-condition": "weather_condition:s "
-    + " ".join(f"{m}_{n}:d" for n, ms in (("speed", "mean median stddev min max range p25 p75 iqr cv"), ("temp", "mean stddev min max"), ("distance", "mean stddev"), ("duration", "mean stddev"), ("precip", "mean max")) for m in ms.split())
-    + " sample_size:l",
-    "weather-transport-statistics-by-temperature": "temp_bucket:s mean_speed:d median_speed:d stddev_speed:d min_speed:d max_speed:d mean_distance:d mean_duration:d avg_temp_in_bucket:d sample_size:l",
-    "weather-transport-statistics-by-precipitation": "precip_level:s mean_speed:d median_speed:d stddev_speed:d mean_distance:d mean_duration:d avg_precip_in_level:d mean_temp:d sample_size:l",
-}
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}
+
+#: Topic: fields with their types. The records on the wire have this order.
+FIELDS: dict[str, list[tuple[str, str]]] = {
+    "bike-data": [
+        ("tripduration", "double"),
+        ("starttime", "string"),
+        ("stoptime", "string"),
+        ("start_station_id", "string"),
+        ("start_station_name", "string"),
+        ("start_station_latitude", "double"),
+        ("start_station_longitude", "double"),
+        ("end_station_id", "string"),
+        ("end_station_name", "string"),
+        ("end_station_latitude", "double"),
+        ("end_station_longitude", "double"),
+        ("usertype", "string"),
+        ("birth_year", "int"),
+        ("gender", "int"),
+    ],
+    "taxi-data": [
+        ("id", "string"),
+        ("timestamp", "string"),
+        ("hour", "int"),
+        ("day", "int"),
+        ("month", "int"),
+        ("datetime", "string"),
+        ("timezone", "string"),
+        ("source", "string"),
+        ("destination", "string"),
+        ("cab_type", "string"),
+        ("product_id", "string"),
+        ("price", "double"),
+        ("distance", "double"),
+        ("surge_multiplier", "double"),
+        ("temperature", "double"),
+        ("apparent_temperature", "double"),
+        ("humidity", "double"),
+        ("wind_speed", "double"),
+        ("precip_intensity", "double"),
+    ],
+    "weather-data": [
+        ("station_id", "long"),
+        ("observation_date", "string"),
+        ("source_code", "int"),
+        ("latitude", "double"),
+        ("longitude", "double"),
+        ("elevation_meters", "double"),
+        ("station_name", "string"),
+        ("report_type", "string"),
+        ("call_sign", "string"),
+        ("quality_control", "string"),
+        ("wind_observation", "string"),
+        ("sky_condition_observation", "string"),
+        ("visibility_observation", "string"),
+        ("dry_bulb_temperature_celsius", "double"),
+        ("dew_point_temperature_celsius", "double"),
+        ("sea_level_pressure", "string"),
+        ("precip_daily_mm", "double"),
+    ],
+    "accident-data": [
+        ("dispatch_ts", "string"),
+        ("mode_type", "string"),
+        ("location_type", "string"),
+        ("street", "string"),
+        ("xstreet1", "string"),
+        ("xstreet2", "string"),
+        ("x_cord", "double"),
+        ("y_cord", "double"),
+        ("lat", "double"),
+        ("long", "double"),
+    ],
+    "bike-weather-aggregate": [
+        ("starttime", "string"),
+        ("stoptime", "string"),
+        ("weather_ts", "string"),
+        ("temp_c", "double"),
+        ("precip_daily_mm", "double"),
+        ("tripduration", "double"),
+        ("start_station_latitude", "double"),
+        ("start_station_longitude", "double"),
+        ("end_station_latitude", "double"),
+        ("end_station_longitude", "double"),
+    ],
+    "bike-weather-distance": [
+        ("starttime", "string"),
+        ("stoptime", "string"),
+        ("weather_ts", "string"),
+        ("temp_c", "double"),
+        ("precip_daily_mm", "double"),
+        ("tripduration", "double"),
+        ("distance_meters", "double"),
+        ("average_speed_kmh", "double"),
+    ],
+    "weather-transport-statistics-overall": [
+        ("mean_speed", "double"),
+        ("median_speed", "double"),
+        ("stddev_speed", "double"),
+        ("variance_speed", "double"),
+        ("min_speed", "double"),
+        ("max_speed", "double"),
+        ("range_speed", "double"),
+        ("skewness_speed", "double"),
+        ("kurtosis_speed", "double"),
+        ("p25_speed", "double"),
+        ("p75_speed", "double"),
+        ("iqr_speed", "double"),
+        ("cv_speed", "double"),
+        ("mean_temp", "double"),
+        ("median_temp", "double"),
+        ("stddev_temp", "double"),
+        ("min_temp", "double"),
+        ("max_temp", "double"),
+        ("mean_distance", "double"),
+        ("median_distance", "double"),
+        ("stddev_distance", "double"),
+        ("mean_duration", "double"),
+        ("median_duration", "double"),
+        ("stddev_duration", "double"),
+        ("total_trips", "long"),
+    ],
+    "weather-transport-statistics-by-condition": [
+        ("weather_condition", "string"),
+        ("mean_speed", "double"),
+        ("median_speed", "double"),
+        ("stddev_speed", "double"),
+        ("min_speed", "double"),
+        ("max_speed", "double"),
+        ("range_speed", "double"),
+        ("p25_speed", "double"),
+        ("p75_speed", "double"),
+        ("iqr_speed", "double"),
+        ("cv_speed", "double"),
+        ("mean_temp", "double"),
+        ("stddev_temp", "double"),
+        ("min_temp", "double"),
+        ("max_temp", "double"),
+        ("mean_distance", "double"),
+        ("stddev_distance", "double"),
+        ("mean_duration", "double"),
+        ("stddev_duration", "double"),
+        ("mean_precip", "double"),
+        ("max_precip", "double"),
+        ("sample_size", "long"),
+    ],
+    "weather-transport-statistics-by-temperature": [
+        ("temp_bucket", "string"),
+        ("mean_speed", "double"),
+        ("median_speed", "double"),
+        ("stddev_speed", "double"),
+        ("min_speed", "double"),
+        ("max_speed", "double"),
+        ("mean_distance", "double"),
+        ("mean_duration", "double"),
+        ("avg_temp_in_bucket", "double"),
+        ("sample_size", "long"),
+    ],
+    "weather-transport-statistics-by-precipitation": [
+        ("precip_level", "string"),
+        ("mean_speed", "double"),
+        ("median_speed", "double"),
+        ("stddev_speed", "double"),
+        ("mean_distance", "double"),
+        ("mean_duration", "double"),
+        ("avg_precip_in_level", "double"),
+        ("mean_temp", "double"),
+        ("sample_size", "long"),
+    ],
+}
 TOPICS = tuple(FIELDS)
 
 
-def _split(topic: str) -> list[tuple[str, str]]:
-    return [tuple(f.rsplit(":", 1)) for f in FIELDS[topic].split()]
-
-
 def schema(topic: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _TYPES[k][1]) for n, k in _split(topic)])
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in FIELDS[topic]])
 
 
 def avro_schema(topic: str) -> str:
-    fields = [{"name": n, "type": _TYPES[k][0]} for n, k in _split(topic)]
+    fields = [{"name": n, "type": k} for n, k in FIELDS[topic]]
     return json.dumps({"type": "record", "name": topic.replace("-", "_"), "fields": fields})
-
-
-@dataclass
-class Catalogue:
-    """Registered schemas by subject; ids count up over all subjects, versions within one."""
-
-    subjects: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
-    last_id: int = 0
-
-    @classmethod
-    def of_topics(cls) -> Catalogue:
-        out = cls()
-        for t in TOPICS:
-            out.register(f"{t}-value", avro_schema(t))
-        return out
-
-    def register(self, subject: str, text: str) -> int:
-        """The id of a schema under a subject; a text that is already there keeps its id."""
-        json.loads(text)
-        for known, old in self.subjects.setdefault(subject, []):
-            if old == text:
-                return known
-        self.last_id += 1
-        self.subjects[subject].append((self.last_id, text))
-        return self.last_id
-
-    def exists(self, subject: str) -> bool:
-        return bool(self.subjects.get(subject))
-
-    def get(self, subject: str, version: int | None = None) -> tuple[str, int]:
-        """Text and id of a version (counted from 1), or of the latest."""
-        if not self.exists(subject):
-            raise KeyError(f"no schema under {subject}")
-        known, text = self.subjects[subject][-1 if version is None else version - 1]
-        return text, known
-
-    def delete(self, subject: str) -> None:
-        self.subjects.pop(subject, None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,12 @@ def read_csv_union(spark: SparkSession, paths: list[str], null_value: str = "\\N
             kinds.setdefault(c, set()).add(t)
     mixed = {c for c, ts in kinds.items() if len(ts) > 1}
     frames = [f.withColumns({c: F.col(f"`{c}`").cast("string") for c in f.columns if c in mixed}) for f in frames]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return union_by_name(frames)
+
+
+def union_by_name(frames: list[DataFrame]) -> DataFrame:
+    """Frames of different layouts as one: columns meet by name, absent ones are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def write_sorted(df: DataFrame, path: str, by: str, rows_per_file: int | None = None) -> None:

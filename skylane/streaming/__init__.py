@@ -1 +1 @@
-"""Streams: wire format, sinks, query groups, the simulated clock and its replay source."""
+"""Streams: wire format, sinks, query groups."""

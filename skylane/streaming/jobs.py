@@ -19,25 +19,27 @@ def session_settings(shuffle_partitions: int = 8) -> dict[str, str]:
     }
 
 
-def read_topic(spark: SparkSession, topic: str, servers: str | None = None, path: str | None = None, earliest: bool = True) -> DataFrame:
+def read_topic(spark: SparkSession, topic: str, servers: str | None = None, path: str | None = None, earliest: bool = True, fail_on_loss: bool = False) -> DataFrame:
     """A topic as a stream of framed ``value``: from a broker, or from Parquet files written by the framed sink."""
     if servers:
         source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-        return source.option("startingOffsets", "earliest" if earliest else "latest").load()
+        return source.option("startingOffsets", "earliest" if earliest else "latest").option("failOnDataLoss", str(fail_on_loss).lower()).load()
     return spark.readStream.schema("value binary").parquet(f"{path}/{topic}")
 
 
-def decoded(frames: DataFrame, schema) -> DataFrame:
-    """Records of a framed stream; broken frames are left out."""
-    return wire.decode(frames, schema).where("data is not null").select("data.*")
+def decoded(frames: DataFrame, schema, avro: str | None = None) -> DataFrame:
+    """Records of a framed stream; broken frames are left out. ``avro`` is the Avro schema text of Avro bodies."""
+    return wire.decode(frames, schema, avro).where("data is not null").select("data.*")
 
 
 def nearest_weather(bikes: DataFrame, sky: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Trips with the nearest weather. Inputs carry ``trip_no``/``starttime`` and ``obs_no``/``weather_ts`` with watermarks.
+    """Trips (``starttime``) with the nearest weather (``weather_ts``); streams have watermarks on both.
 
-    The join key is an hour bucket of the times, so state is spread over many keys.
+    A trip is named by ``trip_no`` where it has one, else by all its columns; ``obs_no`` settles ties where it is there.
+    The join key is a bucket of the times, so state is spread over many keys.
     """
-    return joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", ["trip_no", "starttime"], "obs_no", seconds)
+    keys = ["trip_no", "starttime"] if "trip_no" in bikes.columns else ["starttime", *[c for c in bikes.columns if c != "starttime"]]
+    return joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", keys, "obs_no" if "obs_no" in sky.columns else None, seconds)
 
 
 def distances(trips: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skylane.streaming import wire
 
+_log = logging.getLogger(__name__)
+
 #: Trigger intervals of the jobs (fixed values).
 JOIN_TRIGGER, ANALYTICS_TRIGGER, STATISTICS_TRIGGER = "1 second", "10 seconds", "30 seconds"
 
@@ -30,11 +34,18 @@ def to_analytics_parquet(df: DataFrame, root: str, folder: str, name: str | None
     return _start(writer.option("path", f"{root}/{folder}").option("checkpointLocation", f"{root}/_checkpoints/{folder}"), trigger)
 
 
-def to_framed(df: DataFrame, topic: str, schema_id: int, checkpoint: str, name: str, servers: str | None = None, path: str | None = None, mode: str = "append", trigger: str | None = JOIN_TRIGGER) -> StreamingQuery:
-    """Framed records to a Kafka topic, or to Parquet files with a ``value`` column where no broker is given."""
-    writer = wire.encode(df, schema_id).writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint)
+def to_framed(df: DataFrame, topic: str, schema_id: int, checkpoint: str, name: str, servers: str | None = None, path: str | None = None, mode: str = "append", trigger: str | None = JOIN_TRIGGER, avro: str | None = None) -> StreamingQuery:
+    """Framed records to a Kafka topic, or to Parquet files with a ``value`` column where no broker is given.
+
+    ``avro`` is the record's Avro schema text (see :mod:`skylane.streaming.wire`). Files can only be added to, so in modes
+    other than append each batch's complete result goes to a folder of its own, ``snapshot=<batch>``.
+    """
+    framed = wire.encode(df, schema_id, avro)
+    if not servers and mode != "append":
+        return to_snapshots(framed, f"{path}/{topic}", checkpoint, name, trigger, mode)
+    writer = framed.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint)
     if servers:
-        writer = writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("failOnDataLoss", "false")
+        writer = writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
     else:
         writer = writer.format("parquet").option("path", f"{path}/{topic}")
     return _start(writer, trigger)
@@ -45,19 +56,19 @@ def to_json_messages(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def to_table(df: DataFrame, table: str, checkpoint: str, name: str, trigger: str | None = "120 seconds") -> StreamingQuery:
-    """Append each batch to a catalogue table."""
-    writer = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").saveAsTable(table)).queryName(name)
+def to_table(df: DataFrame, table: str, checkpoint: str, name: str, trigger: str | None = "120 seconds", rows_per_file: int = 500) -> StreamingQuery:
+    """Append each batch to a catalogue table; a file is closed after ``rows_per_file`` rows or with the batch."""
+    writer = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").option("maxRecordsPerFile", rows_per_file).saveAsTable(table)).queryName(name)
     return _start(writer.option("checkpointLocation", checkpoint), trigger)
 
 
-def to_snapshots(df: DataFrame, path: str, checkpoint: str, name: str, trigger: str | None = STATISTICS_TRIGGER) -> StreamingQuery:
-    """Each trigger's complete result under its batch number; a batch that is run again replaces its snapshot."""
+def to_snapshots(df: DataFrame, path: str, checkpoint: str, name: str, trigger: str | None = STATISTICS_TRIGGER, mode: str = "complete") -> StreamingQuery:
+    """Each trigger's complete (or, in update mode, changed) result under its batch number; a batch that is run again replaces its snapshot."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
 
-    return _start(df.writeStream.outputMode("complete").foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint), trigger)
+    return _start(df.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint), trigger)
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
@@ -77,18 +88,27 @@ def dedupe_offsets(stream: DataFrame, ts: str, delay: str = "1 minute") -> DataF
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["partition", "offset"])
 
 
-def rank_of_latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """The latest row of each key (batch frames)."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))
-    return df.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
+def latest_of(df: DataFrame, keys: list[str], order: str, earliest: bool = False) -> DataFrame:
+    """The row of each key with the largest (or smallest) ``order`` (batch frames); a hot key costs one row a task."""
+    pick = F.min_by if earliest else F.max_by
+    return df.groupBy(*keys).agg(pick(F.struct("*"), order).alias("row")).select("row.*")
 
 
-def run_group(starts: dict[str, Callable[[], StreamingQuery]], enabled: dict[str, bool] | None = None, timeout: float | None = None) -> dict[str, StreamingQuery]:
-    """Start the enabled queries of a group and wait until all end, or stop all when one fails or the wait is interrupted."""
-    running = {n: f() for n, f in starts.items() if (enabled or {}).get(n, True)}
+def run_group(starts: dict[str, Callable[[], StreamingQuery]], enabled: dict[str, bool] | None = None, timeout: float | None = None, poll: float = 1.0) -> dict[str, StreamingQuery]:
+    """Start the enabled queries of a group and wait until all end (or ``timeout`` seconds); stop all when one fails or the wait is interrupted.
+
+    All queries are looked at in turn, ``poll`` seconds each, so a failure is seen whichever query it strikes.
+    """
+    running: dict[str, StreamingQuery] = {}
+    until = None if timeout is None else time.monotonic() + timeout
     try:
-        for q in running.values():
-            q.awaitTermination(timeout) if timeout else q.awaitTermination()
+        for n, f in starts.items():
+            if (enabled or {}).get(n, True):
+                running[n] = f()
+        left = dict(running)
+        while left and (until is None or time.monotonic() < until):
+            left = {n: q for n, q in left.items() if not q.awaitTermination(poll)}
+            _log.info("%d of %d queries alive: %s", len(left), len(running), ", ".join(left))
     except BaseException:
         for q in running.values():
             q.stop()

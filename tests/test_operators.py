@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skylane.operators import joins, panels, projections
+from skylane.operators import joins, panels, projections, windows
 from skylane.sources import contracts, files, synthetic
 
 T0 = dt.datetime(2024, 1, 1)
@@ -128,20 +128,16 @@ def test_parsers_set_calendar_and_rename(spark):
     assert (r.x_cord, r.y_cord, r.lat, r.hour) == (1.5, None, 42.0, 5)
 
 
-def test_catalogue_versions():
-    c = contracts.Catalogue.of_topics()
-    assert len(contracts.TOPICS) == 10 and c.get("bike-data-value")[1] == 1
-    second = c.register("bike-data-value", '{"type": "string"}')
-    assert c.get("bike-data-value") == ('{"type": "string"}', second) and c.get("bike-data-value", 1)[1] == 1
-    assert c.register("bike-data-value", '{"type": "string"}') == second and not c.exists("none")
-    with pytest.raises(KeyError):
-        c.get("none")
-    assert len(contracts.schema("weather-transport-statistics-overall")) == 25
+def test_contracts_have_all_fields():
+    assert len(contracts.TOPICS) == 10 and len(contracts.schema("weather-transport-statistics-overall")) == 25
+    assert contracts.FIELDS["bike-data"][0] == ("tripduration", "double") and contracts.schema("weather-data")["station_id"].dataType.simpleString() == "bigint"
 
 
 def test_sql_accepts_reading_statements_only(spark):
     spark.range(3).createOrReplaceTempView("three")
-    assert panels.answer(spark, "SELECT count(*) AS n FROM three;") == {"status": "success", "columns": ["n"], "data": [[3]], "row_count": 1}
+    assert panels.answer(spark, "SELECT count(*) AS n FROM three;") == {"status": "success", "columns": ["n"], "data": [[3]], "row_count": 1, "truncated": False}
+    cut = panels.answer(spark, "SELECT * FROM three", most_rows=2)
+    assert cut["row_count"] == 2 and cut["truncated"]
     for bad in ("DROP VIEW three", "create table x(a int)", "insert into three values (1)"):
         with pytest.raises(ValueError, match="reading"):
             panels.sql(spark, bad)
@@ -152,3 +148,34 @@ def test_topic_sample_and_grid(spark):
     df = spark.createDataFrame([(0, k, f'{{"k": {k}}}') for k in range(9)], "partition int, offset long, value string")
     assert [r.offset for r in files.topic_sample(df, 3).collect()] == [6, 7, 8]
     assert [(r.offset, r.k) for r in files.recent_grid(df, 2, "k int").collect()] == [(8, 8), (7, 7)]
+
+
+def test_databases_and_external_tables_come_and_go(spark, tmp_path):
+    panels.define(spark, "CREATE DATABASE IF NOT EXISTS smoke;")
+    spark.range(4).write.parquet(str(tmp_path / "t"))
+    panels.define(spark, f"CREATE TABLE smoke.t (id BIGINT) USING parquet LOCATION '{tmp_path / 't'}'")
+    assert panels.sql(spark, "SELECT count(*) AS n FROM smoke.t").first().n == 4
+    described = {r.col_name.strip(): r.data_type for r in panels.sql(spark, "DESCRIBE FORMATTED smoke.t").collect()}
+    assert described["id"] == "bigint" and described["Type"] == "EXTERNAL"
+    panels.define(spark, "DROP TABLE smoke.t")
+    panels.define(spark, "DROP DATABASE smoke")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    with pytest.raises(ValueError, match="CREATE and DROP"):
+        panels.define(spark, "INSERT INTO t VALUES (1)")
+
+
+def test_nearest_makes_no_pairs(sides):
+    _, _, dl, dr = sides
+    out = joins.nearest_in_time(dl.union(dl), dr, "ta", "tb", ["a"], "b", 600)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "NestedLoop" not in plan
+    assert out.count() == 2 * joins.nearest_in_time(dl, dr, "ta", "tb", ["a"], "b", 600).count()
+    assert joins.neighbours_in_time(dl, dr, "ta", "tb", "b", 600).count() == dl.count()
+
+
+def test_forward_fill_over_days_and_null_keys(spark):
+    day = lambda k: T0 + dt.timedelta(hours=9 * k)
+    rows = [("a", 0, day(0), 1.0), ("a", 1, day(1), None), ("a", 2, day(4), None), ("a", 3, day(9), None), ("a", 4, day(9), 7.0), (None, 5, day(2), 3.0), (None, 6, day(5), None), ("b", 7, day(1), None)]
+    df = spark.createDataFrame(rows, "k string, n long, ts timestamp, v double")
+    out = windows.forward_fill(df, ["k"], "ts", "v", "filled", "n")
+    assert {r.n: r.filled for r in out.collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: 7.0, 5: 3.0, 6: 3.0, 7: None}

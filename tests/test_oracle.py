@@ -45,4 +45,4 @@ def test_query_equals_sql(spark, duck, name):
 def test_forward_fill_windows_hold_a_day_of_a_station(spark):
     plan = QUERIES["win_ffill"](spark, SF)._jdf.queryExecution().analyzed().toString()
     rows = [line for line in plan.splitlines() if "Window [last(precip#" in line]
-    assert rows and all("[station#" in line and ", day#" in line for line in rows)
+    assert rows and all("[station#" in line and ", __day#" in line for line in rows)
