@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,7 +37,7 @@ def _parts(word: str) -> list[str]:
 class Features:
     """Turns texts into sparse vectors of ``2 ** bits`` slots. Hashes of words are kept, up to a bound."""
 
-    def __init__(self, bits: int, kept: int = 200_000):
+    def __init__(self, bits: int, kept: int = 100_000):
         self.bits, self.kept, self.known = np.uint64(64 - bits), kept, {}
 
     def _hashes(self, word: str) -> tuple[int, int]:
@@ -173,15 +172,15 @@ def quality_scores(
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make, w = Features(bits), shared.value
         for texts in parts:
-            out = []
-            for t in texts:
-                slots, values = make(t)
-                out.append(1 / (1 + np.exp(-np.clip(w[slots] @ values + w[-1], -35, 35))))
-            yield pd.Series(out, dtype="float64")
+            out = np.empty(len(texts))
+            for k, t in enumerate(texts):  # one text at a time is a Python object
+                slots, values = make(t.as_py())
+                out[k] = 1 / (1 + np.exp(-np.clip(w[slots] @ values + w[-1], -35, 35)))
+            yield pa.array(out)
 
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +38,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes that go to Python at a time while a table is written; a session's own smaller values stay.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what runs inside: both the executor and its Python workers hold a whole batch of texts."""
+    before = {k: spark.conf.get(k) for k in _BATCHES}
+    try:
+        for k, most in _BATCHES.items():
+            now = int(before[k].removesuffix("b"))
+            spark.conf.set(k, str(min(now, most) if now > 0 else most))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
