@@ -2,7 +2,8 @@
 
 Vectors of one label are rotated to the principal axes of all vectors, scaled to length one and dealt into square
 cells over their two leading coordinates. Two unit vectors with cosine t or more differ by at most sqrt(2 - 2t) in any
-coordinate, so only neighbouring cells are compared. Full cells are cut into tiles of bounded size. Two tiles are
+coordinate, so only neighbouring cells are compared; labels with overfull cells get cells over up to four coordinates.
+Full cells are cut into tiles of bounded size. Two tiles are
 compared over leading dimensions first: partial products plus the product of the suffix norms bound the cosine from
 above, and a pair is dropped as soon as that bound is below the threshold. What remains is checked in full.
 
@@ -12,6 +13,7 @@ A tile pair writes at most one row for each of its vectors (a count of links and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -105,7 +107,7 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def embedding_components(
     embeddings: DataFrame,
     threshold: float = 0.98,
-    tile_rows: int = 2048,
+    tile_rows: int = 8192,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -158,6 +160,45 @@ def embedding_components(
     )
 
 
+#: Leading dimensions that name a cell: as few as this, and at most.
+_SHALLOWEST, _DEEPEST = 2, 4
+
+
+def _forward_steps(depth: int) -> list[list[int]]:
+    """Steps to the neighbours of a cell, one of each two opposite ones, and to the cell itself."""
+    return [list(s) for s in product((-1, 0, 1), repeat=depth) if s >= (0,) * depth]
+
+
+def _neighbours(sizes: DataFrame, deepest: int) -> DataFrame:
+    """Each unordered pair of neighbouring cells once: ``label, depth, cell, tiles, other, others, own``. ``sizes`` has ``label, depth, cell, tiles``."""
+    steps = F.expr("case " + " ".join(f"when depth = {d} then array({', '.join('array(' + ', '.join(map(str, s)) + ')' for s in _forward_steps(d))})" for d in range(1, deepest + 1)) + " end")
+    forward = sizes.withColumn("step", F.explode(steps)).withColumn("other", F.zip_with("cell", "step", lambda a, b: a + b))
+    there = sizes.select("label", F.col("cell").alias("other"), F.col("tiles").alias("others"))
+    return forward.join(there, ["label", "other"]).select("label", "depth", "cell", "tiles", "other", "others", (F.col("cell") == F.col("other")).alias("own"))
+
+
+def _depths(placed: DataFrame, deepest: int, tile_rows: int) -> DataFrame:
+    """``(label, depth)``: how many leading dimensions name a cell of each label.
+
+    A label whose cells are overfull gets one dimension more as long as that makes fewer rows of all tile pairs together.
+    """
+    first = min(_SHALLOWEST, deepest)
+    labels = placed.select("label").distinct()
+    best, asked = None, labels
+    for depth in range(first, deepest + 1):
+        sizes = placed.join(asked, "label", "left_semi").groupBy("label", F.lit(depth).alias("depth"), F.slice("coords", 1, depth).alias("cell")).agg(F.count("*").alias("n"))
+        sizes = staged(sizes.withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")), "cell-sizes")
+        over = staged(sizes.where("tiles > 1").select("label").distinct(), "overfull")
+        if best is None and over.isEmpty():
+            return labels.withColumn("depth", F.lit(first))
+        cost = _neighbours(sizes, deepest).groupBy("label").agg(F.sum(F.col("tiles") * F.col("others")).alias("cost")).withColumn("depth", F.lit(depth))
+        best = staged(cost if best is None else best.union(cost), "cell-costs")
+        asked = over
+        if over.isEmpty():
+            break
+    return best.groupBy("label").agg(F.min_by("depth", F.struct("cost", "depth")).alias("depth"))
+
+
 def _tile_links(nodes: DataFrame, width: int, threshold: float, tile_rows: int) -> DataFrame:
     """Rows ``(node, links, near)`` from each compared tile pair: linked vectors (with copies) and a node of its local component."""
     spark = nodes.sparkSession
@@ -168,32 +209,23 @@ def _tile_links(nodes: DataFrame, width: int, threshold: float, tile_rows: int)
         for b in batches:
             if b.num_rows:
                 x = _lists(b.column("embedding"), width)
-                lead = (x @ axes.value[:, :2]) / np.linalg.norm(x, axis=1, keepdims=True)
-                cx, cy = np.floor(lead[:, 0] / reach), np.floor(lead[:, -1] / reach)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cx.astype("i4")), pa.array(cy.astype("i4"))], names=[*b.schema.names, "cx", "cy"])
+                lead = (x @ axes.value[:, :_DEEPEST]) / np.linalg.norm(x, axis=1, keepdims=True)
+                at = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * lead.shape[1]), pa.array(np.floor(lead / reach).astype("i4").ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, at], names=[*b.schema.names, "coords"])
 
     base = nodes.select("label", "node", "copies", "embedding")
-    schema = f"label {base.schema['label'].dataType.simpleString()}, node long, copies long, embedding array<double>, cx int, cy int"
-    dealt = staged(base.mapInArrow(cells, schema), "cells")
-    sizes = dealt.groupBy("label", "cx", "cy").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    # Each unordered pair of neighbouring cells once: the cell itself and four of its eight neighbours.
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    forward = sizes.select("label", "cx", "cy", "tiles", F.explode(steps).alias("s"))
-    other = sizes.select("label", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("tiles").alias("others"))
-    met = (
-        forward.select("label", "cx", "cy", "tiles", "s", (F.col("cx") + F.col("s.dx")).alias("x"), (F.col("cy") + F.col("s.dy")).alias("y"))
-        .join(other, ["label", "x", "y"])
-        .select("label", "cx", "cy", "tiles", "x", "y", "others", F.expr("cx = x and cy = y").alias("own"))
-    )
-    # What a tile of a cell takes part in: (first cell, its tile, second cell, its tile, side).
-    as_first = met.select("label", "cx", "cy", "tiles", "others", "own", F.struct("cx", "cy", "x", "y").alias("meet"), F.lit(0).alias("side"))
-    as_second = met.where("not own").select(
-        "label", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("others").alias("tiles"), F.col("tiles").alias("others"), "own",
-        F.struct("cx", "cy", "x", "y").alias("meet"), F.lit(1).alias("side"),
-    )
+    schema = f"label {base.schema['label'].dataType.simpleString()}, node long, copies long, embedding array<double>, coords array<int>"
+    placed = staged(base.mapInArrow(cells, schema), "cells")
+    depths = _depths(placed, min(_DEEPEST, width), tile_rows)
+    dealt = placed.join(depths, "label").withColumn("cell", F.slice("coords", 1, F.col("depth")))
+    met = _neighbours(dealt.groupBy("label", "depth", "cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")), min(_DEEPEST, width))
+    # What a tile of a cell takes part in: (first cell, second cell, its tiles, the other's tiles, side).
+    meet = F.struct("cell", F.col("other").alias("other")).alias("meet")
+    as_first = met.select("label", "cell", "tiles", "others", "own", meet, F.lit(0).alias("side"))
+    as_second = met.where("not own").select("label", F.col("other").alias("cell"), F.col("others").alias("tiles"), F.col("tiles").alias("others"), "own", meet, F.lit(1).alias("side"))
     tile = F.expr("int(pmod(xxhash64(node), tiles))")
     tasks = (
-        dealt.join(as_first.union(as_second), ["label", "cx", "cy"])
+        dealt.join(as_first.union(as_second), ["label", "cell"])
         .withColumn("tile", tile)
         .withColumn("o", F.explode(F.expr("sequence(0, others - 1)")))
         .select(

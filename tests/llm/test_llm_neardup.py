@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from brute import SF, components, shingles, simhash
 
-from skylane.llm.embeddings import embedding_components, linked_pairs
+from skylane.llm.embeddings import _depths, embedding_components, linked_pairs
 from skylane.llm.queries import ORACLE_SQL, QUERIES
 from skylane.llm.simhash import drop_near_duplicates, link_fingerprints, simhash_components
 from skylane.llm.staging import connected_components
@@ -143,7 +143,7 @@ def test_linked_pairs_are_exact():
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(unit @ unit.T >= 0.98))))
 
 
-@pytest.mark.parametrize("tile_rows", [5, 2048])
+@pytest.mark.parametrize("tile_rows", [3, 8192])
 def test_embeddings_equal_brute_force(spark, tile_rows):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 20))
@@ -162,6 +162,17 @@ def test_embeddings_equal_brute_force(spark, tile_rows):
     assert embedding_components(_vectors(spark, [])).count() == 0
 
 
+def test_overfull_cells_are_named_by_more_dimensions(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile([1.0, 0, 0, 0, 0, 0], (60, 1)) + 0, rng.normal(size=(200, 6))])
+    x[:60, 3] = np.linspace(-1, 1, 60)  # far apart in one direction only
+    rows = [(k, k % 2, (v / np.linalg.norm(v)).tolist(), "n") for k, v in enumerate(x)]
+    placed = spark.createDataFrame([(0, [0, 0, k, 0]) for k in range(50)] + [(1, [k, 0, 0, 0]) for k in range(50)], "label int, coords array<int>")
+    assert {r.label: r.depth for r in _depths(placed, 4, 5).collect()} == {0: 3, 1: 2}
+    some, all_ = (sorted(map(tuple, embedding_components(_vectors(spark, rows), tile_rows=n).collect())) for n in (4, 8192))
+    assert some == all_ and any(r[1] for r in some)
+
+
 def test_embeddings_of_one_id_are_not_merged(spark):
     rows = [(1, 0, [1.0, 0.0, 0.0]), (2, 0, [0.0, 1.0, 0.0]), (2, 0, [0.999, 0.001, 0.0]), (3, 0, [0.001, 0.999, 0.0])]
     got = embedding_components(_vectors(spark, [(*r, "n") for r in rows])).collect()
