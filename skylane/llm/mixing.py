@@ -87,20 +87,17 @@ def leaf_budgets(supply: DataFrame, weights: dict[str, dict], total: Column | in
     return _share(leaves, ["domain", "lang"], "source", "lang_budget").select(*LEVELS, "tokens", "budget")
 
 
-def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
+def _order(seed: int, epoch: Column, name: Column) -> Column:
     """Seeded place of a document in an epoch, as hexadecimal digits."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-"))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), name))
 
 
-def _with_leaves(docs: DataFrame, id_col: str, text_col: str, tokens: Column | None) -> DataFrame:
-    name = lambda c: F.coalesce(F.col(c), F.lit("-"))
-    return docs.withColumn(
-        "__leaf",
-        F.struct(
-            source_domain(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"),
-            (word_count(F.col(text_col)) if tokens is None else tokens).alias("tokens"), F.col(id_col).alias("id"),
-        ),
-    )
+def _leaf(id_col: str, text_col: str, tokens: Column | None) -> Column:
+    """Leaf, tokens and name of a document; a document without an id is named by its text, so such rows have places of their own."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("-"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    count = word_count(F.col(text_col)) if tokens is None else tokens
+    return F.struct(source_domain(part("source")).alias("domain"), part("lang").alias("lang"), part("source").alias("source"), count.alias("tokens"), name.alias("name"))
 
 
 def mix_documents(
@@ -122,25 +119,24 @@ def mix_documents(
     smaller ones first. An existing column ``epoch`` is replaced. An empty table gives an empty result.
     """
     keep = [c for c in docs.columns if c != "epoch"]
-    marked = _with_leaves(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col, tokens)
-    light = marked.select(*[F.col(f"__leaf.{c}").alias(c) for c in LEVELS], F.col("__leaf.tokens").alias("tokens"), F.col("__leaf.id").alias("id"))
-    light = staged(light, "mixing-tokens")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), _leaf(id_col, text_col, tokens).alias("leaf"))
+    light = staged(marked.select("leaf.*"), "mixing-tokens")
     leaves, n_leaves = _prefixes(light, weights, total, total_share, max_epochs, seed)
     small = F.broadcast(leaves) if n_leaves <= _BROADCAST_LEAVES else leaves
-    small = small.select(*[F.col(c).alias(f"__of_{c}") for c in LEVELS], "__leaf_epochs", "__end_bucket", "__end_room")
-    met = marked.join(small, [F.col(f"__leaf.{c}") == F.col(f"__of_{c}") for c in LEVELS])
-    place = _order(seed, F.col("__leaf_epochs"), F.col("__leaf.id"))
+    small = small.select(*[F.col(c).alias(f"of_{c}") for c in LEVELS], "whole", "end_bucket", "end_room")
+    met = marked.join(small, [F.col(f"leaf.{c}") == F.col(f"of_{c}") for c in LEVELS])
+    place = _order(seed, F.col("whole"), F.col("leaf.name"))
     bucket = F.substring(place, 1, _DIGITS)
     # Epochs taken: all whole ones, and the next one if the document's bucket is wholly inside the prefix.
-    copies = F.when(F.col("__leaf_epochs") > 0, F.sequence(F.lit(0), F.col("__leaf_epochs") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    inside = (F.col("__leaf_epochs") < max_epochs) & (bucket < F.coalesce("__end_bucket", F.lit("z")))
-    sure = met.withColumn("epoch", F.explode(F.when(inside, F.array_append(copies, F.col("__leaf_epochs"))).otherwise(copies)))
-    edge = met.where((F.col("__leaf_epochs") < max_epochs) & (bucket == F.col("__end_bucket")))
-    running = F.sum("__leaf.tokens").over(
-        Window.partitionBy(*[F.col(f"__leaf.{c}") for c in LEVELS]).orderBy(place, "__leaf.tokens").rowsBetween(Window.unboundedPreceding, 0)
+    copies = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    inside = (F.col("whole") < max_epochs) & (bucket < F.coalesce("end_bucket", F.lit("z")))
+    sure = met.withColumn("epoch", F.explode(F.when(inside, F.array_append(copies, F.col("whole"))).otherwise(copies)))
+    edge = met.where((F.col("whole") < max_epochs) & (bucket == F.col("end_bucket")))
+    running = F.sum("leaf.tokens").over(
+        Window.partitionBy(*[F.col(f"leaf.{c}") for c in LEVELS]).orderBy(place, "leaf.tokens").rowsBetween(Window.unboundedPreceding, 0)
     )
-    edge = edge.withColumn("__running", running).where(F.col("__running") <= F.col("__end_room")).withColumn("epoch", F.col("__leaf_epochs"))
-    out = [*[F.col(f"`{c}`") for c in keep], "epoch"]
+    edge = edge.withColumn("running", running).where(F.col("running") <= F.col("end_room")).withColumn("epoch", F.col("whole"))
+    out = [*[F.col(f"doc.`{c}`") for c in keep], "epoch"]
     return sure.select(*out).union(edge.select(*out))
 
 
@@ -149,18 +145,18 @@ def _prefixes(light: DataFrame, weights: dict, total: int | None, total_share: f
     supply = staged(light.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mixing-supply")
     n_leaves = supply.count()
     budgets = leaf_budgets(supply, weights, total, total_share, max_epochs)
-    whole = F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("budget") / F.col("tokens")).cast("int"))).otherwise(F.lit(max_epochs))
-    leaf = budgets.withColumn("__leaf_epochs", whole.cast("int")).withColumn("rest", F.col("budget") - F.col("__leaf_epochs") * F.col("tokens"))
-    leaf = staged(leaf.select(*LEVELS, "__leaf_epochs", "rest"), "mixing-leaves")
+    epochs = F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("budget") / F.col("tokens")).cast("int"))).otherwise(F.lit(max_epochs))
+    leaf = budgets.withColumn("whole", epochs.cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
+    leaf = staged(leaf.select(*LEVELS, "whole", "rest"), "mixing-leaves")
     small = F.broadcast(leaf) if n_leaves <= _BROADCAST_LEAVES else leaf
     sums = (
         light.join(small, list(LEVELS))
-        .where(F.col("__leaf_epochs") < max_epochs)
-        .withColumn("bucket", F.substring(_order(seed, F.col("__leaf_epochs"), F.col("id")), 1, _DIGITS))
+        .where(F.col("whole") < max_epochs)
+        .withColumn("bucket", F.substring(_order(seed, F.col("whole"), F.col("name")), 1, _DIGITS))
         .groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
     )
     run = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # at most 16**_DIGITS rows a leaf
     ends = sums.withColumn("run", run).where(F.col("run") > F.col("rest"))
     ends = ends.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("run") + F.col("tokens")).alias("room"))).alias("end"))
-    out = leaf.join(ends, list(LEVELS), "left").select(*LEVELS, "__leaf_epochs", F.col("end.bucket").alias("__end_bucket"), F.col("end.room").alias("__end_room"))
+    out = leaf.join(ends, list(LEVELS), "left").select(*LEVELS, "whole", F.col("end.bucket").alias("end_bucket"), F.col("end.room").alias("end_room"))
     return staged(out, "mixing-prefixes"), n_leaves

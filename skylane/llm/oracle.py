@@ -104,7 +104,7 @@ def mixing_sql(weights: dict, total_share: float, max_epochs: int, seed: int) ->
     sources = f"select leaf.domain, leaf.lang, source, tokens, leaf.capacity, {_weight(weights, 'source')} as weight, budget as wanted from leaf join by_lang using (domain, lang)"
     return f"""
 with d as (
-  select doc_id, lang, source, coalesce(lang, '-') as lang_, coalesce(source, '-') as source_,
+  select doc_id, lang, source, coalesce(doc_id::varchar, '-' || md5(coalesce(text, ''))) as name, coalesce(lang, '-') as lang_, coalesce(source, '-') as source_,
     len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')) as n
   from documents),
 docs as (
@@ -117,7 +117,7 @@ leaf as (select domain, lang_ as lang, source_ as source, sum(n)::bigint as toke
 taken as (select domain, lang, source, tokens, budget, case when tokens > 0 then least({max_epochs}, budget // tokens) else {max_epochs} end as whole from by_source),
 placed as (
   select docs.doc_id, docs.lang, docs.source, n, whole, budget - whole * tokens as rest,
-    sum(n) over (partition by docs.domain, lang_, source_ order by md5('{seed}:' || whole || ':' || coalesce(doc_id::varchar, '-')), n rows unbounded preceding) as run
+    sum(n) over (partition by docs.domain, lang_, source_ order by md5('{seed}:' || whole || ':' || name), n rows unbounded preceding) as run
   from docs join taken on docs.domain = taken.domain and lang_ = taken.lang and source_ = taken.source)
 select doc_id, unnest(range(whole))::int as epoch, lang, source, n::bigint as n_tokens from placed
 union all

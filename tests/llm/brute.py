@@ -62,8 +62,9 @@ def mixture(rows, weights, total_share, max_epochs, seed):
     for i, lang, source, text in rows:
         digits = re.search(r"([0-9]{1,9})$", source or "-")
         n = len([w for w in re.split(r"[ \t\n\r]+", text or "") if w])
-        leaves.setdefault((f"d{int(digits[1]) % 4 if digits else 0}", lang or "-", source or "-"), []).append((i, n))
-    tokens = {leaf: sum(n for _, n in docs) for leaf, docs in leaves.items()}
+        name = i if i is not None else "-" + hashlib.md5((text or "").encode()).hexdigest()
+        leaves.setdefault((f"d{int(digits[1]) % 4 if digits else 0}", lang or "-", source or "-"), []).append((i, n, name))
+    tokens = {leaf: sum(n for _, n, _ in docs) for leaf, docs in leaves.items()}
     cap = lambda *p: sum(t * max_epochs for leaf, t in tokens.items() if leaf[: len(p)] == p)
     weight = lambda level, name: weights.get(level, {}).get(name, 1)
     at = lambda *p: sorted({leaf[len(p)] for leaf in tokens if leaf[: len(p)] == p})
@@ -73,10 +74,10 @@ def mixture(rows, weights, total_share, max_epochs, seed):
             for s, x in share({s: (cap(d, g, s), weight("source", s)) for s in at(d, g)}, c).items():
                 n = tokens[d, g, s]
                 whole = min(max_epochs, x // n) if n else max_epochs
-                out += [(i, e) for e in range(whole) for i, _ in leaves[d, g, s]]
+                out += [(i, e) for e in range(whole) for i, _, _ in leaves[d, g, s]]
                 if whole < max_epochs:
                     run = 0
-                    for _, size, i in sorted((hashlib.md5(f"{seed}:{whole}:{'-' if i is None else i}".encode()).hexdigest(), k, i) for i, k in leaves[d, g, s]):
+                    for _, size, i in sorted(((hashlib.md5(f"{seed}:{whole}:{name}".encode()).hexdigest(), k, i) for i, k, name in leaves[d, g, s]), key=lambda x: x[:2]):
                         run += size
                         if run <= x - whole * n:
                             out.append((i, whole))

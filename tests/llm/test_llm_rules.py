@@ -154,8 +154,8 @@ def test_mixing_equals_brute_force_and_sql(spark, share, epochs):
 
 
 def test_mixing_odd_rows(spark):
-    rows = [(1, None, None, "a b c", 1), (2, "en", "s1", None, 1), (3, "en", "s1", "", 1), (None, "en", "s1", "a b", 1), (4, "en", "s1", "a", 1), (4, "en", "s1", "a", 1), (5, "de", "no number", "w " * 100_000, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, tokens int")
+    rows = [(1, None, None, "a b c", 1), (2, "en", "s1", None, 1), (3, "en", "s1", "", 1), (None, "en", "s1", "a b", 1), (4, "en", "s1", "a", 1), (4, "en", "s1", "a", 1), (None, "en", "s1", "c", 1), (None, "en", "s1", "c", 1), (5, "de", "no number", "w " * 100_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, whole int")
     for share in (0.0, 0.5, 1.0):
         got = mix_documents(docs, {}, total_share=share, max_epochs=2)
         assert sorted(((r.doc_id, r.epoch) for r in got.collect()), key=str) == mixture([tuple(r)[:4] for r in docs.collect()], {}, share, 2, 7)
