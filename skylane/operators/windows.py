@@ -127,6 +127,11 @@ def usage_by_bin(combined: DataFrame, by: str) -> DataFrame:
     return binned.groupBy(name).agg(*measures).withColumn("aggregation_type", F.lit(kind))
 
 
+def session_counts(df: DataFrame, keys: list[str], ts: str, gap: str) -> DataFrame:
+    """Rows of each session: rows of a key that follow each other within ``gap`` (batch frames and, with a watermark, streams)."""
+    return df.groupBy(*keys, F.session_window(ts, gap).alias("window")).agg(F.count("*").alias("n"))
+
+
 def forward_fill(df: DataFrame, keys: list[str], ts: str, value: str, out: str, tie: str | None = None) -> DataFrame:
     """``df`` with ``out``: the last ``value`` that isn't null at or before each row of its keys, in order of ``ts`` (and ``tie``).
 

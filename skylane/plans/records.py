@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylane.functions import geo
-from skylane.operators import panels, projections
+from skylane.operators import panels, projections, windows
 from skylane.plans.queries import QUERIES, Tables, _query
 from skylane.sources import contracts, files
 from skylane.streaming import jobs, sinks, wire
@@ -156,6 +156,17 @@ def agg_live_count(t: Tables):
     return _plain_times(live.select(F.col("window.start").alias("window_start"), "n"))
 
 
+@_query
+def st_session(t: Tables):
+    return windows.flat(windows.session_counts(t("bike_trips"), ["start_station_id"], "start_time_ts", "1 hour"))
+
+
+@_query
+def src_catalog_table(t: Tables):
+    t("taxi_rides").createOrReplaceTempView("skylane_catalogued")
+    return files.tables(t.spark).where("name = 'skylane_catalogued'")
+
+
 @_query
 def sql_free_form(t: Tables):
     t("taxi_rides").createOrReplaceTempView("skylane_taxi_rides")

@@ -51,6 +51,11 @@ _BODIES = {
     "snk_framed": "SELECT CAST(258 AS INT) AS schema_id, '0000000102' AS frame, '{\"trip_no\":' || trip_no || ',\"user_type\":\"' || user_type || '\"}' AS body FROM bike_trips",
     "src_framed": "SELECT trip_no, user_type FROM bike_trips",
     "agg_live_count": "SELECT window_start, n FROM (SELECT date_trunc('hour', t) AS window_start, count(*) AS n FROM (SELECT event_id // 2 AS o, max(ts) AS t FROM events GROUP BY 1) GROUP BY 1) ORDER BY window_start DESC LIMIT 24",
+    "st_session": """SELECT min(start_time_ts) AS window_start, max(start_time_ts) + INTERVAL '1 hour' AS window_end, start_station_id, count(*) AS n FROM (
+        SELECT *, sum(begins) OVER (PARTITION BY start_station_id ORDER BY start_time_ts, trip_no) AS s FROM (
+          SELECT *, CAST(coalesce(start_time_ts - lag(start_time_ts) OVER (PARTITION BY start_station_id ORDER BY start_time_ts, trip_no) > INTERVAL '1 hour', true) AS INT) AS begins FROM bike_trips))
+        GROUP BY start_station_id, s""",
+    "src_catalog_table": "SELECT 'skylane_catalogued' AS name, true AS temporary",
     "sql_free_form": f"SELECT cab_type, count(*) AS rides, {_r('max(price)', 'top_price')} FROM taxi_rides GROUP BY 1",
     "job_distance": f"SELECT starttime, weather_ts, {_rs('temp_c precip_daily_mm tripduration distance_meters average_speed_kmh')} FROM slim_speedy",
     "job_statistics": f"SELECT {_LEVEL} AS precip_level, {_r('avg(average_speed_kmh)', 'mean_speed')}, {_r('avg(distance_meters)', 'mean_distance')}, count(*) AS sample_size FROM slim_speedy GROUP BY 1",

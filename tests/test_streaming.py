@@ -114,6 +114,39 @@ def test_partitioned_and_framed_sinks(spark, tmp_path):
     assert _rows(spark.table("framed_back"), ["trip_no", "price"]) == _rows(df, ["trip_no", "price"])
 
 
+def test_analytics_table_and_complete_framed_sinks(spark, tmp_path):
+    df = synthetic.taxis(spark, 1200).select("trip_no", "cab_type", "price")
+    df.coalesce(1).write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "src"))
+    assert _ended(sinks.to_analytics_parquet(stream, str(tmp_path), "rides", trigger=None)).name == "analytics_rides"
+    assert spark.read.parquet(str(tmp_path / "rides")).count() == 1200
+    _ended(sinks.to_table(stream, "ride_table", str(tmp_path / "cpt"), "table", trigger=None))
+    files_of = spark.table("ride_table").inputFiles()
+    assert spark.table("ride_table").count() == 1200 and len(files_of) == 3  # 500 rows a file
+    spark.sql("DROP TABLE ride_table")
+    counted = stream.groupBy("cab_type").agg(F.count("*").alias("n"))
+    for mode in ("complete", "update"):
+        _ended(sinks.to_framed(counted, f"counts_{mode}", 7, str(tmp_path / f"cp_{mode}"), mode, path=str(tmp_path), mode=mode, trigger=None))
+        back = jobs.decoded(sinks.latest_snapshot(spark.read.parquet(str(tmp_path / f"counts_{mode}"))), "cab_type string, n long")
+        assert _rows(back, ["cab_type", "n"]) == _rows(df.groupBy("cab_type").agg(F.count("*").alias("n")), ["cab_type", "n"])
+
+
+def test_offsets_count_once_on_a_stream(spark, tmp_path):
+    rows = [(k // 2, dt.datetime(2024, 1, 1, 0, 0, k // 2)) for k in range(20)]
+    spark.createDataFrame(rows, "offset long, ts timestamp").withColumn("partition", F.lit(0)).coalesce(1).write.parquet(str(tmp_path / "o"))
+    stream = spark.readStream.schema("offset long, ts timestamp, partition int").parquet(str(tmp_path / "o"))
+    _run(sinks.dedupe_offsets(stream, "ts"), tmp_path, "offsets_once")
+    assert sorted(r.offset for r in spark.table("offsets_once").collect()) == list(range(10))
+
+
+def test_sessions_and_settings(spark):
+    assert jobs.session_settings(3)["spark.sql.shuffle.partitions"] == "3"
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", t + dt.timedelta(minutes=m)) for m in (0, 5, 9, 40, 44)], "k string, ts timestamp")
+    got = windows.flat(windows.session_counts(df, ["k"], "ts", "10 minutes")).orderBy("window_start").collect()
+    assert [(r.n, r.window_end - r.window_start) for r in got] == [(3, dt.timedelta(minutes=19)), (2, dt.timedelta(minutes=14))]
+
+
 def test_frames(spark):
     value = wire.encode(spark.createDataFrame([(1, None, "é")], "a int, b double, c string"), 258)
     raw = bytes(value.first().value)
