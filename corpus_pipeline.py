@@ -17,7 +17,7 @@ from skylane.llm.pieces import encode_texts, load_vocabulary
 from skylane.llm.quality import quality_scores, train
 from skylane.llm.secrets import redact_secrets
 from skylane.llm.simhash import drop_near_duplicates
-from skylane.llm.staging import staged
+from skylane.llm.staging import discard, staged
 
 #: Target weights by level and name; names without a weight have 1. The mixture takes this share of the tokens it is given.
 MIXTURE = {"domain": {"d0": 4, "d1": 3, "d2": 3, "d3": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near-duplicates: SimHash groups, then all pairs of five-word shingle sets with similarity 0.8 or more."""
     return drop_near_duplicates(docs, shingle_words=5, similarity=0.8)
 
 
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        last, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
