@@ -9,6 +9,9 @@ Members of one full-width variant lie within two bits of each other, so a star t
 writes no pairs. For distance 3 the masked groups that still join different components emit the masked bits' own
 one-bit ball: a member that equals a ball's centre is within three bits of all others there, and a star to it is
 exact again.
+
+Groups of fingerprints are the first step of :func:`drop_near_duplicates`; what they leave of texts with similar shingle
+sets is found by an exact join on rare shingles.
 """
 
 from __future__ import annotations
@@ -208,15 +211,17 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
         uses = np.zeros(1 << _COUNTER_BITS, dtype=np.int64)
         for b in _slices(batches):
             out: list[list] = [[], [], [], []]
+            used = []
             for t in b.column(2).to_pylist():
                 words = words_of(t)
                 hashes = list(shingle_hashes(words, size))
                 keys = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
-                uses += np.bincount(_counter_of(keys), minlength=len(uses))
+                used.append(_counter_of(keys))
                 both = xxhash.xxh128_intdigest(b" ".join(words))
                 row = ((both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63), fingerprint(hashes), len(keys))
                 for column, value in zip(out, row):
                     column.append(value)
+            uses += np.bincount(np.concatenate(used), minlength=len(uses))
             none = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in out), none, none], names=names)
         slots = np.flatnonzero(uses)
