@@ -181,6 +181,7 @@ def quality_scores(
                 slots, values = make(t.as_py())
                 out[k] = 1 / (1 + np.exp(-np.clip(w[slots] @ values + w[-1], -35, 35)))
             yield pa.array(out)
+        pa.default_memory_pool().release_unused()
 
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

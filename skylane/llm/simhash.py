@@ -72,10 +72,11 @@ _ROWS = 500
 
 
 def _slices(batches: Iterable[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in small slices, so that few texts are Python objects at a time."""
+    """The batches in small slices, so that few texts are Python objects at a time. At the end Arrow gives back what it holds."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def simhash_fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
