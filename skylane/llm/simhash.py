@@ -240,26 +240,39 @@ def _counters(described: DataFrame) -> np.ndarray:
     return out
 
 
-def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """Sorted distinct shingle hashes of each text, eight bytes each: ``(node, shingles)``."""
+def _shingle_sets(texts: DataFrame, size: int, width: int) -> DataFrame:
+    """Sorted distinct shingle hashes of each text, the lowest ``width`` bytes of each: ``(node, shingles)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sets = [_shingle_set(t, size).astype("<i8").tobytes() for t in b.column(1).to_pylist()]
+            sets = [np.sort(_shingle_set(t, size).astype(f"<u{width}")).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles binary")
 
 
-def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets ``x`` and ``y`` have that Jaccard similarity or more: ``(a, b)``."""
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted arrays have in common, each as often as in both."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
+        return int((both[1:] == both[:-1]).sum())
+    (u, m), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
+
+
+def _similar(pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Pairs whose shingle sets ``x`` and ``y`` have that Jaccard similarity or more: ``(a, b)``.
+
+    Of cut hashes as many are in common as of whole ones, or more; so with them no pair that is similar is lost.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), dtype="<i8"), np.frombuffer(y.as_buffer(), dtype="<i8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x.as_buffer(), dtype=f"<u{width}"), np.frombuffer(y.as_buffer(), dtype=f"<u{width}")
+                both = _in_common(x, y)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
@@ -267,18 +280,29 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame | None:
-    """Those of the pairs ``(a, b)`` that are similar, by their whole shingle sets; ``None`` without any pair or link."""
-    pairs = staged(pairs, "candidates")
-    if pairs.isEmpty():
-        return None
+def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float, width: int, name: str) -> DataFrame:
+    """Those of the staged pairs ``(a, b)`` that are similar by ``width`` bytes of each shingle hash; the pairs are deleted."""
     asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "of.*"), "asked")
-    sets = staged(_shingle_sets(texts.join(_small(asked), ["id", "h"]), size), "shingle-sets")
+    sets = staged(_shingle_sets(texts.join(_small(asked), ["id", "h"]), size, width), "shingle-sets")
     # Many texts may be paired with one: that one's set comes last, so it is copied to its pairs where they are compared.
     sized = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    found = staged(_similar(sized, similarity), "links")
+    found = staged(_similar(sized, similarity, width), name)
     for table in (pairs, asked, sets):
         discard(table)
+    return found
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float, rough: bool = False) -> DataFrame | None:
+    """Those of the pairs ``(a, b)`` that are similar, by their whole shingle sets; ``None`` without any pair or link.
+
+    ``rough``: most pairs are not similar, so two bytes of each shingle hash go first, a quarter of what is moved.
+    """
+    pairs = staged(pairs, "candidates")
+    if rough and not pairs.isEmpty():
+        pairs = _compared(pairs, texts, nodes, size, similarity, 2, "likely")
+    if pairs.isEmpty():
+        return None
+    found = _compared(pairs, texts, nodes, size, similarity, 8, "links")
     return None if found.isEmpty() else found
 
 
@@ -318,7 +342,7 @@ def _prefixes(texts: DataFrame, counters: np.ndarray, size: int, similarity: flo
 def _shared_keys(prefixes: DataFrame) -> DataFrame:
     """The rows of keys that several texts have."""
     keys = staged(prefixes.groupBy("key").count().where("count > 1").select("key"), "keys")
-    out = staged(prefixes.join(_small(keys), "key", "left_semi"), "shared-keys")
+    out = staged(prefixes.join(keys, "key", "left_semi"), "shared-keys")
     discard(prefixes)
     return out
 
@@ -329,7 +353,7 @@ def _meeting(shared: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> Da
     known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     rows = shared.join(known, "node").select("key", "node", "i", "n", "root")
     apart = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "keys-apart")
-    return staged(rows.join(_small(apart), "key", "left_semi"), "meeting")
+    return staged(rows.join(apart, "key", "left_semi"), "meeting")
 
 
 def _tied_to_pivots(meeting: DataFrame, similarity: float) -> DataFrame:
@@ -391,7 +415,7 @@ def near_duplicate_roots(texts: DataFrame, nodes: DataFrame, counters: np.ndarra
                 shared = _shared_keys(staged(_prefixes(texts.join(_small(of), ["id", "h"]), counters, size, similarity), "prefixes"))
             meeting = _meeting(shared, nodes, roots)
             tied = _tied_to_pivots(meeting, similarity) if turn == "pivots" else _all_across(meeting, similarity)
-        found = _verified(tied, texts, nodes, size, similarity)
+        found = _verified(tied, texts, nodes, size, similarity, rough=turn == "pairs")
         if found is not None:
             links.append(found)
             roots = staged(connected_components(reduce(DataFrame.union, links)), "roots")
