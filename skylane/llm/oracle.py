@@ -123,3 +123,33 @@ select doc_id, unnest(range(whole))::int as epoch, lang, source, n::bigint as n_
 union all
 select doc_id, whole::int, lang, source, n::bigint from placed where whole < {max_epochs} and run <= rest
 """
+
+
+FILTERS = """
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, min(doc_id) over (partition by t) as first_id from d),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, case when len(ws) < 50 then 'A' else '' end
+    || case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when w.doc_id > first_id then 'E' else '' end as fails
+  from w left join marks using (doc_id)),
+kinds as (select part, good, toxic, fails, count(*) as n from failed group by all),
+letters(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, step, filter_order[step] as letter, filter_order[1:step - 1] as before from orders, range(1, 6) s(step)),
+fate as (
+  select part, filter_order, step, letter, n, good, toxic, fails, contains(fails, letter) as here,
+    len(list_filter(string_split(before, ''), lambda x: x <> '' and contains(fails, x))) > 0 as gone
+  from kinds, steps),
+counted as (
+  select part, filter_order, step::int as step, letter, coalesce(sum(n) filter (where not here and not gone), 0)::bigint as kept,
+    coalesce(sum(n) filter (where here and not gone), 0)::bigint as removed, coalesce(sum(n) filter (where here and gone), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails = letter), 0)::bigint as unique_fails, coalesce(sum(n) filter (where here and not gone and good = 1), 0)::bigint as good_lost,
+    coalesce(sum(n) filter (where here and not gone and toxic = 1), 0)::bigint as toxic_lost
+  from fate group by all)
+select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from counted
+"""

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from skylane.llm import oracle
+from skylane.llm.audit import filter_interactions
 from skylane.llm.chunks import fingerprints_with_next
 from skylane.llm.embeddings import embedding_components
 from skylane.llm.html import extract_pages
+from skylane.llm.language import identify
 from skylane.llm.licenses import license_scan
 from skylane.llm.mixing import mix_documents, word_count
 from skylane.llm.pieces import encode_texts, load_vocabulary
 from skylane.llm.quality import classify
 from skylane.llm.secrets import secret_report
 from skylane.llm.simhash import simhash_components
+from skylane.llm.spelling import spelling_groups
 from skylane.llm.tokens import document_token_counts
 
 
@@ -76,6 +79,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -87,6 +103,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_language_id": op12_language_id,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -95,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": oracle.EMBEDDINGS,
     "op6_source_mixing": oracle.mixing_sql(MIXTURE, 1.0, 3, 7),
     "op9_license_scan": oracle.LICENSES,
+    "op13_filter_audit": oracle.FILTERS,
 }
