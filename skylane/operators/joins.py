@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylane.operators.stream_joins import interval_on_streams, nearest_on_streams
+
 
 def _bucket(micros, width: int):
     return F.floor(micros / width).cast("long")
@@ -24,9 +26,11 @@ def micros(column: str):
 def within_interval(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int, how: str = "inner") -> DataFrame:
     """All pairs whose times differ by at most ``seconds`` (both ends count). Column names of the sides must differ.
 
-    ``how='left'`` keeps left rows without a match; it needs batch frames. Rows with a null time match nothing. For
-    streams, set watermarks on both sides before.
+    ``how='left'`` keeps left rows without a match. Rows with a null time match nothing. Streams need watermarks on both
+    sides and give a row once its reach has passed (see :mod:`skylane.operators.stream_joins`).
     """
+    if left.isStreaming or right.isStreaming:
+        return interval_on_streams(left, right, left_ts, right_ts, seconds, how)
     width = seconds * 1_000_000
     at = micros(left_ts)
     probe = left.withColumn("__b", F.explode_outer(F.sequence(_bucket(at - width, width), _bucket(at + width, width))))
@@ -46,18 +50,17 @@ def within_interval(left: DataFrame, right: DataFrame, left_ts: str, right_ts: s
     return met.select(*[F.col(f"__l.`{c}`").alias(c) for c in left.columns], *right.columns)
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, keys: list[str], right_id: str | None = None, seconds: int = 3600, how: str = "inner") -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, right_id: str | None = None, seconds: int = 3600, how: str = "inner") -> DataFrame:
     """For each left row the right row nearest in time within ``seconds``.
 
     Ties go to the earlier right row, then to the smaller ``right_id`` (without one: the row that is smaller column by
     column). ``how='left'`` keeps left rows without a match. Returns the left columns, the right columns and ``time_diff`` in seconds. Rows with a null time match nothing.
 
-    Batch frames are joined as of both neighbours in time, with a row for each left row, repeated rows included. A stream
-    (``how='inner'`` only) compares all pairs within reach, as state allows no look ahead, and folds rows that have equal
-    ``keys``.
+    A row comes out for each left row, repeated rows included. Batch frames are joined as of both neighbours in time;
+    streams, which need watermarks on both times, answer a row when the watermark has passed its reach.
     """
     if left.isStreaming or right.isStreaming:
-        return _nearest_on_streams(left, right, left_ts, right_ts, keys, right_id, seconds)
+        return nearest_on_streams(left, right, left_ts, right_ts, right_id, seconds, how)
     both = neighbours_in_time(left, right, left_ts, right_ts, right_id, seconds)
     at, before, after = F.col("__t"), F.col("__before"), F.col("__after")
     gaps = both.select("__l", at - before["t"], after["t"] - at, before["r"], after["r"]).toDF("__l", "gb", "ga", "rb", "ra")
@@ -109,20 +112,6 @@ def neighbours_in_time(left: DataFrame, right: DataFrame, left_ts: str, right_ts
     )
 
 
-def _nearest_on_streams(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, keys: list[str], right_id: str | None, seconds: int) -> DataFrame:
-    width = seconds * 1_000_000
-    at = micros(left_ts)
-    probe = left.withColumn("__b", F.explode(F.sequence(_bucket(at - width, width), _bucket(at + width, width))))
-    payload = [c for c in right.columns]
-    build = right.select(F.struct(*payload).alias("__r"), _bucket(micros(right_ts), width).alias("__rb"), micros(right_ts).alias("__rt"))
-    gap = F.abs(F.col("__rt") - at)
-    met = probe.join(build, (F.col("__b") == F.col("__rb")) & (gap <= width)).withColumn("__gap", gap)
-    rest = [c for c in left.columns if c not in keys]
-    best = F.min_by(F.struct("__r", "__gap"), F.struct("__gap", "__rt", F.col("__r") if right_id is None else F.col(f"__r.{right_id}"))).alias("__best")
-    nearest = met.groupBy(*keys).agg(best, *[F.first(c).alias(c) for c in rest])
-    return nearest.select(*left.columns, *[F.col(f"__best.__r.{c}").alias(c) for c in payload], (F.col("__best.__gap") / 1_000_000).alias("time_diff"))
-
-
 def with_daily_precipitation(trips: DataFrame, weather: DataFrame, trip_ts: str, weather_ts: str, amount: str = "precip_daily_mm") -> DataFrame:
     """Left join of the day's total precipitation: ``precip_date``, ``daily_precip_mm`` and ``has_precipitation``."""
     day = lambda c: F.date_format(F.col(c), "yyyy-MM-dd")

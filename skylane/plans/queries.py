@@ -53,7 +53,7 @@ def _trips(t) -> DataFrame:
         F.col("duration_seconds").cast("double").alias("tripduration"), *geo._ENDS,
     )
     sky = t("weather_raw").select("obs_no", F.col("datetime_ts").alias("weather_ts"), weather.parse_temperature(F.col("temperature")).alias("temp_c"), "precip_daily_mm")
-    near = joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", ["trip_no"], "obs_no", 3600)
+    near = joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", "obs_no", 3600)
     measured = geo.add_distance_and_speed(near)
     return measured.withColumn("weather_condition", weather.condition_by_precipitation(F.col("temp_c"), F.col("precip_daily_mm")))
 
@@ -131,7 +131,7 @@ def jn_interval_inner(t):
 
 @_query
 def jn_nearest(t):
-    return joins.nearest_in_time(_starts(t), _observed(t), "start_time_ts", "weather_ts", ["trip_no"], "obs_no", 3600)
+    return joins.nearest_in_time(_starts(t), _observed(t), "start_time_ts", "weather_ts", "obs_no", 3600)
 
 
 @_query

@@ -35,11 +35,9 @@ def decoded(frames: DataFrame, schema, avro: str | None = None) -> DataFrame:
 def nearest_weather(bikes: DataFrame, sky: DataFrame, seconds: int = 3600) -> DataFrame:
     """Trips (``starttime``) with the nearest weather (``weather_ts``); streams have watermarks on both.
 
-    A trip is named by ``trip_no`` where it has one, else by all its columns; ``obs_no`` settles ties where it is there.
-    The join key is a bucket of the times, so state is spread over many keys.
+    ``obs_no`` settles ties where it is there. State is spread over slices of time.
     """
-    keys = ["trip_no", "starttime"] if "trip_no" in bikes.columns else ["starttime", *[c for c in bikes.columns if c != "starttime"]]
-    return joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", keys, "obs_no" if "obs_no" in sky.columns else None, seconds)
+    return joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", "obs_no" if "obs_no" in sky.columns else None, seconds)
 
 
 def distances(trips: DataFrame) -> DataFrame:

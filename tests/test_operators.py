@@ -45,9 +45,9 @@ def test_nearest_equals_nested_loops(sides):
     for a, x in left:
         near = [(_gap(x, y), y, b) for b, y in right if x and y and _gap(x, y) <= 600]
         want[a] = min(near)[2] if near else None
-    got = {r.a: r.b for r in joins.nearest_in_time(dl, dr, "ta", "tb", ["a"], "b", 600, how="left").collect()}
+    got = {r.a: r.b for r in joins.nearest_in_time(dl, dr, "ta", "tb", "b", 600, how="left").collect()}
     assert got == want
-    inner = {r.a: r.b for r in joins.nearest_in_time(dl, dr, "ta", "tb", ["a"], "b", 600).collect()}
+    inner = {r.a: r.b for r in joins.nearest_in_time(dl, dr, "ta", "tb", "b", 600).collect()}
     assert inner == {a: b for a, b in want.items() if b is not None}
 
 
@@ -166,10 +166,10 @@ def test_databases_and_external_tables_come_and_go(spark, tmp_path):
 
 def test_nearest_makes_no_pairs(sides):
     _, _, dl, dr = sides
-    out = joins.nearest_in_time(dl.union(dl), dr, "ta", "tb", ["a"], "b", 600)
+    out = joins.nearest_in_time(dl.union(dl), dr, "ta", "tb", "b", 600)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "NestedLoop" not in plan
-    assert out.count() == 2 * joins.nearest_in_time(dl, dr, "ta", "tb", ["a"], "b", 600).count()
+    assert out.count() == 2 * joins.nearest_in_time(dl, dr, "ta", "tb", "b", 600).count()
     assert joins.neighbours_in_time(dl, dr, "ta", "tb", "b", 600).count() == dl.count()
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylane.functions import weather
-from skylane.operators import joins, windows
+from skylane.operators import analytics, joins, stream_joins, windows
 from skylane.sources import contracts, synthetic
 from skylane.sources.adapters import adapt
 from skylane.streaming import jobs, sinks, wire
@@ -71,14 +71,57 @@ def test_nearest_weather_on_streams(spark, tables, tmp_path):
     bikes = tables["bike_trips"].select("trip_no", F.col("start_time_ts").alias("starttime"))
     sky = tables["weather_raw"].select("obs_no", F.col("datetime_ts").alias("weather_ts"))
     out = jobs.nearest_weather(_stream(spark, bikes, tmp_path, "starttime", "nb"), _stream(spark, sky, tmp_path, "weather_ts", "nw"))
-    _run(out, tmp_path, "nearest")
-    batch = joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", ["trip_no", "starttime"], "obs_no", 3600)
+    q = _run(out, tmp_path, "nearest")
+    batch = joins.nearest_in_time(bikes, sky, "starttime", "weather_ts", "obs_no", 3600)
     columns = ["trip_no", "obs_no", "starttime"]
     got = _rows(spark.table("nearest").where("starttime < '2029-01-01'"), columns)
     want = _rows(batch, columns)
     assert got == want
 
 
+def _state_rows(q):
+    """Most rows that any operator of the query held in state after a batch."""
+    return max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"])
+
+
+def test_nearest_weather_keeps_state_linear_in_both_inputs(spark, tmp_path):
+    """A crowded quarter of an hour: 400 trips by 400 observations would be 160,000 pairs."""
+    t, second = dt.datetime(2024, 1, 1, 10), dt.timedelta(seconds=1)
+    bikes = spark.createDataFrame([(k, t + k * second) for k in range(400)] + [(k, None) for k in range(3)], "trip_no long, starttime timestamp")
+    sky = spark.createDataFrame([(k, t + k * 2 * second) for k in range(400)], "obs_no long, weather_ts timestamp")
+    q = _run(jobs.nearest_weather(_stream(spark, bikes, tmp_path, "starttime", "cb"), _stream(spark, sky, tmp_path, "weather_ts", "cw")), tmp_path, "crowd")
+    got = spark.table("crowd").where("starttime < '2029-01-01'").collect()
+    assert sorted((r.trip_no, r.obs_no, r.time_diff) for r in got) == [(k, k // 2, k % 2) for k in range(400)]
+    assert _state_rows(q) <= 400 + 1 + (400 + 1) * (2 * stream_joins.SLICES + 1) + 200  # rows, copies of observations, timers
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_outer_joins_by_time_on_streams(spark, tables, tmp_path, how):
+    bikes = tables["bike_trips"].select("trip_no", "start_time_ts", F.struct("user_type", F.lit(None).cast("double").alias("x")).alias("more"))
+    twice = bikes.union(bikes.where("trip_no % 50 = 0"))  # repeated rows stay
+    sky = tables["weather_raw"].select("obs_no", F.col("datetime_ts").alias("weather_ts"))
+    sky = sky.union(sky.where("obs_no % 9 = 0"))
+    left, right = _stream(spark, twice, tmp_path, "start_time_ts", "ob"), _stream(spark, sky, tmp_path, "weather_ts", "ow")
+    _run(joins.within_interval(left, right, "start_time_ts", "weather_ts", 300, how), tmp_path, f"within_{how}")
+    columns = ["trip_no", "obs_no", "start_time_ts", "weather_ts", "more"]
+    want = _rows(joins.within_interval(twice, sky, "start_time_ts", "weather_ts", 300, how), columns)
+    assert _rows(spark.table(f"within_{how}").where("start_time_ts < '2029-01-01'"), columns) == want
+    left, right = _stream(spark, twice, tmp_path, "start_time_ts", "nb"), _stream(spark, sky, tmp_path, "weather_ts", "nw")
+    _run(joins.nearest_in_time(left, right, "start_time_ts", "weather_ts", "obs_no", 300, how), tmp_path, f"nearest_{how}")
+    want = _rows(joins.nearest_in_time(twice, sky, "start_time_ts", "weather_ts", "obs_no", 300, how), [*columns, "time_diff"])
+    assert _rows(spark.table(f"nearest_{how}").where("start_time_ts < '2029-01-01'"), [*columns, "time_diff"]) == want
+
+
+def test_safety_joins_on_streams(spark, tables, tmp_path):
+    """Left joins of accident windows with weather windows: a row for each closed accident window, weather or not."""
+    accidents, sky = tables["accidents"], tables["weather_raw"].where("hour(datetime_ts) % 3 <> 0")
+    batch = analytics.safety_risk(accidents, weather.enrich_weather(sky))
+    s = _stream(spark, accidents, tmp_path, "dispatch_timestamp", "sa"), _stream(spark, sky, tmp_path, "datetime_ts", "sw")
+    _run(analytics.safety_risk(s[0], weather.enrich_weather(s[1])), tmp_path, "safety")
+    columns = ["window_start", "mode_type", "accident_count", "avg_weather_score", "risk_category"]
+    assert _rows(spark.table("safety").where("window_start < '2029-01-01'"), columns) == _rows(batch, columns)
+
+
 def test_late_rows_do_not_change_closed_windows(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(base + d,) for d in (dt.timedelta(0), dt.timedelta(hours=5), dt.timedelta(hours=6), dt.timedelta(minutes=1), dt.timedelta(hours=9))]
