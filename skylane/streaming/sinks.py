@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skylane.streaming import wire
+from skylane.streaming.ledger import Ledger
 
 _log = logging.getLogger(__name__)
 
@@ -57,9 +58,40 @@ def to_json_messages(df: DataFrame, key: str) -> DataFrame:
 
 
 def to_table(df: DataFrame, table: str, checkpoint: str, name: str, trigger: str | None = "120 seconds", rows_per_file: int = 500) -> StreamingQuery:
-    """Append each batch to a catalogue table; a file is closed after ``rows_per_file`` rows or with the batch."""
-    writer = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").option("maxRecordsPerFile", rows_per_file).saveAsTable(table)).queryName(name)
-    return _start(writer.option("checkpointLocation", checkpoint), trigger)
+    """Add each batch to a catalogue table once; a file is closed after ``rows_per_file`` rows or with the batch.
+
+    The table is partitioned by ``_query`` (the query's id, which stays with its checkpoint) and ``_batch``. The catalogue
+    learns of a partition when all its files are there, so a known partition is the record that the batch was written: run
+    again, it is left as it is. A partition that a failure left unknown is replaced. Batches without rows have none.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession  # the query's own copy of the session
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", rows_per_file)
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        marked = batch.withColumns({"_query": F.lit(query), "_batch": F.lit(number).cast("long")})
+        if not spark.catalog.tableExists(table):
+            marked.limit(0).write.format("parquet").partitionBy("_query", "_batch").saveAsTable(table)
+        elif not spark.sql(f"SHOW PARTITIONS {table} PARTITION (_query = '{query}', _batch = {number})").isEmpty():
+            return
+        rows = marked.select(*[F.col(f"`{c}`") for c in spark.table(table).columns])  # inserted by position
+        rows.write.mode("overwrite").insertInto(table)
+
+    return _start(df.writeStream.foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint), trigger)
+
+
+def to_ledger(df: DataFrame, path: str, checkpoint: str, name: str, trigger: str | None = "120 seconds", mode: str = "append", rows_per_file: int = 500) -> StreamingQuery:
+    """Each batch once, in a folder with records (see :mod:`skylane.streaming.ledger`).
+
+    In update mode the rows are changes: :meth:`Ledger.latest` of the grouping columns is the result, and merging by these
+    columns keeps the folder from growing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        Ledger(batch.sparkSession, path, rows_per_file).add(batch, number)
+
+    return _start(df.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint), trigger)
 
 
 def to_snapshots(df: DataFrame, path: str, checkpoint: str, name: str, trigger: str | None = STATISTICS_TRIGGER, mode: str = "complete") -> StreamingQuery:
