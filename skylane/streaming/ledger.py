@@ -36,19 +36,28 @@ def _query_of(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
 
 
+def _at(spark: SparkSession, path: str):
+    """Hadoop's file system and path of an address."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
 class Ledger:
     """The folder ``path`` with its records. ``rows_per_file`` closes a file after so many rows; a batch closes its last file."""
 
     def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 500):
         self.spark, self.path, self.rows_per_file = spark, path.rstrip("/"), rows_per_file
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-
     def records(self) -> list[Record]:
         """Records that no wider one hides, by query and batch. Their number is that of batches since the last merge."""
-        if not self._exists(f"{self.path}/_ledger"):
+        files, where = _at(self.spark, f"{self.path}/_ledger")
+        if not files.exists(where):
             return []
         found = {Record(*r) for r in self.spark.read.schema(_RECORD).json(f"{self.path}/_ledger").collect()}
         hidden = lambda r: any(o.query == r.query and o.first <= r.first and r.last <= o.last and (o.last - o.first, o.folder) > (r.last - r.first, r.folder) for o in found)
@@ -102,9 +111,7 @@ class Ledger:
 
     def drop_replaced(self, older_than: float = 3600) -> int:
         """Delete data folders that no visible record names and that are ``older_than`` seconds, so neither readers nor a running batch need them; how many."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files, root = _at(self.spark, self.path)
         named = {r.folder for r in self.records()}
         before = (time.time() - older_than) * 1000
         there = [(s.getPath(), s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(root)]

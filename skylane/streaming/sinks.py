@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skylane.streaming import wire
-from skylane.streaming.ledger import Ledger
+from skylane.streaming.ledger import Ledger, delete
 
 _log = logging.getLogger(__name__)
 
@@ -109,10 +109,43 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.join(F.broadcast(newest), "snapshot").drop("snapshot")  # one row
 
 
-def live_buckets(messages: DataFrame, ts: str, bucket: str, aggregates: list, keep: int = 30) -> DataFrame:
-    """Aggregates by bucket over messages counted once for each (partition, offset); the newest ``keep`` buckets (batch frames)."""
-    grouped = messages.dropDuplicates(["partition", "offset"]).groupBy(F.window(ts, bucket).alias("window")).agg(*aggregates)
-    return grouped.orderBy(F.desc("window.start")).limit(keep).orderBy("window.start")
+def _newest(rows: DataFrame, keep: int) -> DataFrame:
+    """Rows of the newest ``keep`` windows."""
+    windows = rows.select("window").distinct().orderBy(F.desc("window.start")).limit(keep)
+    return rows.join(F.broadcast(windows), "window")  # ``keep`` rows
+
+
+def live_buckets(messages: DataFrame, ts: str, bucket: str, aggregates: list, keep: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
+    """Aggregates by bucket (and ``by``) over messages counted once for each (partition, offset); the newest ``keep`` buckets (batch frames)."""
+    grouped = messages.dropDuplicates(["partition", "offset"]).groupBy(F.window(ts, bucket).alias("window"), *by).agg(*aggregates)
+    return _newest(grouped, keep).orderBy("window.start", *by)
+
+
+def to_live_buckets(
+    messages: DataFrame, ts: str, bucket: str, aggregates: list, path: str, checkpoint: str, name: str, keep: int = 30, by: tuple[str, ...] = (),
+    trigger: str | None = "5 seconds", snapshots: int = 10,
+) -> StreamingQuery:
+    """:func:`live_buckets` over all messages so far, as a new snapshot after each batch (see :func:`latest_snapshot`).
+
+    ``bucket`` is a number and a unit, as '5 seconds'. State holds the buckets and the offsets of the last ``keep`` buckets
+    of time and no more: a message older than that before the newest one is late. Buckets that state has given up stay in the
+    snapshots while they are among the newest ``keep``. A batch run again starts from the snapshot before it and replaces
+    its own. The last ``snapshots`` are kept. A new checkpoint and path start again from nothing.
+    """
+    number, unit = bucket.split()
+    once = messages.withWatermark(ts, f"{int(number) * keep} {unit}").dropDuplicatesWithinWatermark(["partition", "offset"])
+    changes = once.groupBy(F.window(ts, bucket).alias("window"), *by).agg(*aggregates)
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark, rows = batch.sparkSession, batch
+        if n > 0:
+            last = spark.read.schema(batch.schema).parquet(f"{path}/snapshot={n - 1}")
+            rows = batch.unionByName(last.join(batch.select("window", *by), ["window", *by], "left_anti"))
+        _newest(rows.persist(), keep).coalesce(1).write.mode("overwrite").parquet(f"{path}/snapshot={n}")
+        rows.unpersist()
+        delete(spark, f"{path}/snapshot={n - snapshots}")
+
+    return _start(changes.writeStream.outputMode("update").foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint), trigger)
 
 
 def dedupe_offsets(stream: DataFrame, ts: str, delay: str = "1 minute") -> DataFrame:
