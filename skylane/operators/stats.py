@@ -9,20 +9,25 @@ from skylane.functions.weather import precipitation_level, temperature_range
 
 #: Accuracy of percentiles: a rank is off by one in this many at most, and a sketch holds about as many values.
 ACCURACY = 10_000
-_SHORT = {"speed": "average_speed_kmh", "temp": "temp_c", "distance": "distance_meters", "duration": "tripduration", "precip": "precip_daily_mm"}
+SHORT = {"speed": "average_speed_kmh", "temp": "temp_c", "distance": "distance_meters", "duration": "tripduration", "precip": "precip_daily_mm"}
 _MEASURES = {
     "mean": F.avg, "stddev": F.stddev, "variance": F.variance, "min": F.min, "max": F.max, "skewness": F.skewness, "kurtosis": F.kurtosis,
     "median": lambda c: F.percentile_approx(c, 0.5, ACCURACY), "p25": lambda c: F.percentile_approx(c, 0.25, ACCURACY), "p75": lambda c: F.percentile_approx(c, 0.75, ACCURACY),
 }
 
+#: Measures of each statistic: 'speed: mean median' stands for mean_speed and median_speed.
+OVERALL = ["speed: mean median stddev variance min max skewness kurtosis p25 p75", "temp: mean median stddev min max", "distance: mean median stddev", "duration: mean median stddev"]
+BY_CONDITION = ["speed: mean median stddev min max p25 p75", "temp: mean stddev min max", "distance: mean stddev", "duration: mean stddev", "precip: mean max"]
+BY_TEMPERATURE = ["speed: mean median stddev min max", "distance: mean", "duration: mean"]
+BY_PRECIPITATION = ["speed: mean median stddev", "distance: mean", "duration: mean", "temp: mean"]
+
 
 def _of(spec: str) -> list[Column]:
-    """'speed: mean median' gives mean_speed and median_speed."""
     name, measures = spec.split(":")
-    return [_MEASURES[m](_SHORT[name]).alias(f"{m}_{name}") for m in measures.split()]
+    return [_MEASURES[m](SHORT[name]).alias(f"{m}_{name}") for m in measures.split()]
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Range, coefficient of variation (null for a mean of 0) and interquartile range of speed."""
     return df.withColumns(
         {
@@ -35,25 +40,21 @@ def _spread(df: DataFrame) -> DataFrame:
 
 def overall(trips: DataFrame) -> DataFrame:
     """One row over all trips."""
-    specs = ["speed: mean median stddev variance min max skewness kurtosis p25 p75", "temp: mean median stddev min max", "distance: mean median stddev", "duration: mean median stddev"]
-    return _spread(trips.agg(*[c for s in specs for c in _of(s)], F.count("*").alias("total_trips")))
+    return spread(trips.agg(*[c for s in OVERALL for c in _of(s)], F.count("*").alias("total_trips")))
 
 
 def by_condition(trips: DataFrame) -> DataFrame:
     """By ``weather_condition``."""
-    specs = ["speed: mean median stddev min max p25 p75", "temp: mean stddev min max", "distance: mean stddev", "duration: mean stddev", "precip: mean max"]
-    return _spread(trips.groupBy("weather_condition").agg(*[c for s in specs for c in _of(s)], F.count("*").alias("sample_size")))
+    return spread(trips.groupBy("weather_condition").agg(*[c for s in BY_CONDITION for c in _of(s)], F.count("*").alias("sample_size")))
 
 
 def by_temperature(trips: DataFrame, long_labels: bool = False) -> DataFrame:
     """By ranges of ten degrees."""
     grouped = trips.withColumn("temp_bucket", temperature_range(F.col("temp_c"), long_labels)).groupBy("temp_bucket")
-    specs = ["speed: mean median stddev min max", "distance: mean", "duration: mean"]
-    return grouped.agg(*[c for s in specs for c in _of(s)], F.avg("temp_c").alias("avg_temp_in_bucket"), F.count("*").alias("sample_size"))
+    return grouped.agg(*[c for s in BY_TEMPERATURE for c in _of(s)], F.avg("temp_c").alias("avg_temp_in_bucket"), F.count("*").alias("sample_size"))
 
 
 def by_precipitation(trips: DataFrame, long_labels: bool = False) -> DataFrame:
     """By precipitation level."""
     grouped = trips.withColumn("precip_level", precipitation_level(F.col("precip_daily_mm"), long_labels)).groupBy("precip_level")
-    specs = ["speed: mean median stddev", "distance: mean", "duration: mean", "temp: mean"]
-    return grouped.agg(*[c for s in specs for c in _of(s)], F.avg("precip_daily_mm").alias("avg_precip_in_level"), F.count("*").alias("sample_size"))
+    return grouped.agg(*[c for s in BY_PRECIPITATION for c in _of(s)], F.avg("precip_daily_mm").alias("avg_precip_in_level"), F.count("*").alias("sample_size"))

@@ -219,3 +219,6 @@ _BODIES = {
 }
 
 ORACLE_SQL = {name: _with(body) for name, body in _BODIES.items()}
+# Statistics that are merged from stored cells are held against the statements over all rows.
+for _merged, _plain in (("overall_merged", "overall_stats"), ("condition_merged", "stats_condition"), ("temperature_merged", "stats_temp"), ("precipitation_merged", "stats_precip")):
+    ORACLE_SQL[f"agg_{_merged}"] = ORACLE_SQL[f"agg_{_plain}"]

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylane.functions import geo, weather
-from skylane.operators import analytics, joins, panels, projections, stats, windows
+from skylane.operators import analytics, joins, panels, projections, rollups, stats, windows
 from skylane.sources import files
 from skylane.sources.adapters import ADAPTERS, read
+from skylane.sources.stored import stored
 from skylane.streaming import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,14 @@ def _trips(t) -> DataFrame:
     return measured.withColumn("weather_condition", weather.condition_by_precipitation(F.col("temp_c"), F.col("precip_daily_mm")))
 
 
+def _statistics_cells(t) -> DataFrame:
+    return stored(t("events"), "statistics_cells", lambda: rollups.statistics_cells(_trips(t)))
+
+
+def _panel_cells(t) -> DataFrame:
+    return stored(t("events"), "panel_cells", lambda: rollups.panel_cells(_trips(t)))
+
+
 @_query
 def flagship(t):
     return stats.by_condition(_trips(t))
@@ -291,49 +300,69 @@ def agg_stats_precip(t):
     return stats.by_precipitation(_trips(t))
 
 
+@_query
+def agg_overall_merged(t):
+    return rollups.overall(_statistics_cells(t))
+
+
+@_query
+def agg_condition_merged(t):
+    return rollups.by_condition(_statistics_cells(t))
+
+
+@_query
+def agg_temperature_merged(t):
+    return rollups.by_temperature(_statistics_cells(t))
+
+
+@_query
+def agg_precipitation_merged(t):
+    return rollups.by_precipitation(_statistics_cells(t))
+
+
 @_query
 def sql_time_range(t):
-    return panels.time_range(_trips(t))
+    return rollups.time_range(_panel_cells(t))
 
 
 @_query
 def sql_trips_by_hour(t):
-    return panels.trips_by_hour(_trips(t))
+    return rollups.trips_by_hour(_panel_cells(t))
 
 
 @_query
 def sql_precip_impact(t):
-    return panels.precipitation_panel(_trips(t))
+    return rollups.precipitation_panel(_panel_cells(t))
 
 
 @_query
 def sql_temp_vs_speed(t):
-    return panels.temperature_and_speed(_trips(t))
+    return rollups.temperature_and_speed(_panel_cells(t))
 
 
 @_query
 def sql_speed_hist(t):
-    return panels.speed_histogram(_trips(t))
+    return rollups.speed_histogram(_panel_cells(t))
 
 
 @_query
 def sql_distance_hist(t):
-    return panels.distance_histogram(_trips(t))
+    return rollups.distance_histogram(_panel_cells(t))
 
 
 @_query
 def sql_overall(t):
-    return panels.overall_panel(stats.overall(_trips(t)))
+    return panels.overall_panel(rollups.overall(_statistics_cells(t)))
 
 
 @_query
 def sql_by_condition(t):
-    return panels.condition_panel(stats.by_condition(_trips(t)))
+    return panels.condition_panel(rollups.by_condition(_statistics_cells(t)))
 
 
 @_query
 def sql_by_temperature(t):
-    return panels.temperature_panel(stats.by_temperature(_trips(t)))
+    return panels.temperature_panel(rollups.by_temperature(_statistics_cells(t)))
 
 
 @_query
@@ -394,7 +423,7 @@ def agg_cab_breakdown(t):
 
 @_query
 def agg_weighted_mean(t):
-    return panels.weighted_mean(panels.distance_histogram(_trips(t)), "distance_bucket", "trip_count")
+    return panels.weighted_mean(rollups.distance_histogram(_panel_cells(t)), "distance_bucket", "trip_count")
 
 
 @_query

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skylane.sources.stored import at
+
 _RECORD = "query string, first long, last long, folder string, layout string"
 #: Column that holds the number of the batch a row came with.
 BATCH = "_batch"
@@ -36,18 +38,6 @@ def _query_of(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
 
 
-def _at(spark: SparkSession, path: str):
-    """Hadoop's file system and path of an address."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder, if it is there."""
-    files, where = _at(spark, path)
-    files.delete(where, True)
-
-
 class Ledger:
     """The folder ``path`` with its records. ``rows_per_file`` closes a file after so many rows; a batch closes its last file."""
 
@@ -56,7 +46,7 @@ class Ledger:
 
     def records(self) -> list[Record]:
         """Records that no wider one hides, by query and batch. Their number is that of batches since the last merge."""
-        files, where = _at(self.spark, f"{self.path}/_ledger")
+        files, where = at(self.spark, f"{self.path}/_ledger")
         if not files.exists(where):
             return []
         found = {Record(*r) for r in self.spark.read.schema(_RECORD).json(f"{self.path}/_ledger").collect()}
@@ -111,7 +101,7 @@ class Ledger:
 
     def drop_replaced(self, older_than: float = 3600) -> int:
         """Delete data folders that no visible record names and that are ``older_than`` seconds, so neither readers nor a running batch need them; how many."""
-        files, root = _at(self.spark, self.path)
+        files, root = at(self.spark, self.path)
         named = {r.folder for r in self.records()}
         before = (time.time() - older_than) * 1000
         there = [(s.getPath(), s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(root)]

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skylane.sources.stored import delete
 from skylane.streaming import wire
-from skylane.streaming.ledger import Ledger, delete
+from skylane.streaming.ledger import Ledger
 
 _log = logging.getLogger(__name__)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from skylane.plans.registry import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SKYLANE_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
