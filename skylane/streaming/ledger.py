@@ -33,7 +33,7 @@ class Record:
     layout: str
 
 
-def _query_of(spark: SparkSession) -> str:
+def query_of(spark: SparkSession) -> str:
     """Id of the streaming query that runs the batch; it stays with the checkpoint. Batches by hand have none."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
 
@@ -64,7 +64,7 @@ class Ledger:
 
     def add(self, batch: DataFrame, number: int) -> bool:
         """Write batch ``number`` unless its record is there; whether it was written. For ``foreachBatch``."""
-        query = _query_of(batch.sparkSession)
+        query = query_of(batch.sparkSession)
         if any(r.query == query and r.first <= number <= r.last for r in self.records()):
             return False
         self._write(batch.withColumn(BATCH, F.lit(number).cast("long")), query, number, number, self.rows_per_file)
