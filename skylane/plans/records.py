@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +132,34 @@ def src_recent_grid(t: Tables):
     return files.recent_grid(messages, 15, "user_id long, event_type string").select("offset", "user_id", "event_type")
 
 
+@_query
+def src_recent_grid_keys(t: Tables):
+    """Messages whose keys differ, without a schema."""
+    number, kind = F.when(F.col("event_id") % 2 == 0, F.col("user_id")), F.when(F.col("event_id") % 3 > 0, F.col("event_type"))
+    messages = t("events").select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.to_json(F.struct(number.alias("number"), kind.alias("kind"), (F.col("event_id") % 5).alias("k"))).alias("value"))
+    return files.recent_grid(messages, 30).drop("partition")
+
+
+@_query
+def src_framed_ids(t: Tables):
+    """Frames of two known schemas with a field of two types, and of an unknown one."""
+    trips = t("bike_trips").withColumn("gender_text", F.col("gender").cast("string"))
+    frames = [
+        wire.encode(trips.where("trip_no % 3 = 0").select("trip_no", "gender"), 258), wire.encode(trips.where("trip_no % 3 = 1").select("trip_no", F.col("gender_text").alias("gender"), "duration_seconds"), 259),
+        wire.encode(trips.where("trip_no % 3 = 2").select("trip_no"), 7),
+    ]
+    decoded = wire.decode_by_id(reduce(DataFrame.union, frames), {258: wire.Writer("trip_no long, gender int"), 259: wire.Writer("trip_no long, gender string, duration_seconds int")})
+    good, rejected = wire.records_and_rejects(decoded)
+    side = rejected.select("schema_id", F.get_json_object(F.substring("value", 6, 1000).cast("string"), "$.trip_no").cast("long").alias("trip_no"), "problem")
+    return good.unionByName(side, allowMissingColumns=True)
+
+
+@_query
+def src_table_preview(t: Tables):
+    t("taxi_rides").createOrReplaceTempView("skylane_previewed")
+    return files.preview(t.spark, "skylane_previewed", ["trip_no"], 25).select("trip_no", "cab_type", "price")
+
+
 @_query
 def snk_kafka_json(t: Tables):
     return sinks.to_json_messages(t("bike_trips").select("trip_no", "user_type", "duration_seconds"), "trip_no")

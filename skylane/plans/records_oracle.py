@@ -47,6 +47,10 @@ _BODIES = {
     "prj_legacy_nested": "SELECT strftime(start_time_ts, '%Y-%m-%d-%H') AS key, CAST(trip_no AS VARCHAR) AS n, strftime(start_time_ts, '%Y-%m-%dT%H:%M:%S') AS at, 'bikes' AS source FROM bike_trips",
     "flt_nan": f"SELECT event_type, {_r('avg(value) FILTER (user_id % 7 <> 0)', 'avg_value')}, count(value) FILTER (user_id % 7 <> 0) AS n_values, count(*) AS n_rows FROM events GROUP BY 1",
     "src_recent_grid": "SELECT event_id AS \"offset\", user_id, event_type FROM events ORDER BY event_id DESC LIMIT 15",
+    "src_recent_grid_keys": "SELECT event_id AS \"offset\", event_id % 5 AS k, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, CASE WHEN event_id % 2 = 0 THEN user_id END AS number FROM events ORDER BY event_id DESC LIMIT 30",
+    "src_framed_ids": """SELECT CAST(CASE trip_no % 3 WHEN 0 THEN 258 WHEN 1 THEN 259 ELSE 7 END AS INT) AS schema_id, trip_no, CASE WHEN trip_no % 3 < 2 THEN CAST(gender AS VARCHAR) END AS gender,
+        CASE WHEN trip_no % 3 = 1 THEN duration_seconds END AS duration_seconds, CASE WHEN trip_no % 3 = 2 THEN 'unknown schema' END AS problem FROM bike_trips""",
+    "src_table_preview": f"SELECT trip_no, cab_type, {_r('price')} FROM taxi_rides ORDER BY taxi_rides.trip_no LIMIT 25",
     "snk_kafka_json": "SELECT CAST(trip_no AS VARCHAR) AS key, '{\"trip_no\":' || trip_no || ',\"user_type\":\"' || user_type || '\",\"duration_seconds\":' || duration_seconds || '}' AS value FROM bike_trips",
     "snk_framed": "SELECT CAST(258 AS INT) AS schema_id, '0000000102' AS frame, '{\"trip_no\":' || trip_no || ',\"user_type\":\"' || user_type || '\"}' AS body FROM bike_trips",
     "src_framed": "SELECT trip_no, user_type FROM bike_trips",
