@@ -1,9 +1,9 @@
 """HTML main-text extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, forms, notices
-and the like are out), their share of linked text, their length and their density of stop words; short or middling
-blocks stay open. The second pass gives each open block the label of its nearest decided neighbours. Where a page marks
-its article, the place decides: all in it is text but menus and what is marked as out.
+A page is cut into blocks at block-level tags; where it marks an article, its blocks are those of the article. The first
+pass decides blocks by their share of linked text, their length and their density of stop words; what is marked as menu,
+form, notice and the like is out, and in an article length or density alone is enough. Short and middling blocks stay
+open. The second pass gives each open block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ STOP_WORDS = {
     "es": "a al como con de del el ella en es esta este fue ha la las lo los más me no o para pero por que se si sin su sus un una y ya",
 }
 _STOP = frozenset(w for line in STOP_WORDS.values() for w in line.split())
+#: Letters of scripts that are written without spaces count as words, the frequent ones as stop words (fixed values).
+_UNSPACED = re.compile(r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\u0E00-\u0E7F]")
+_STOP_LETTERS = frozenset("的一是不了在人有我他这中大来上个们到说为和地也你得就那以会着过对的にはをがでとのもたしてる")
 
 # In a tag a quote opens a value only right after an equals sign; elsewhere it is a character like others.
 _VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
@@ -47,18 +50,21 @@ _MAIN = frozenset("article main".split())
 _OUT_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar"
     " navigation newsletter notice notices notification pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip"
-    " social sponsor sponsored subscribe toolbar widget".split()
+    " social sponsor sponsored subscribe toolbar widget adsbygoogle commentlist".split()
 )
 #: Words that may stand before and after them in one class; any other word makes it a class of its own (has-sidebar, comments-open).
-_BEFORE = frozenset("article bottom entry global header left main mobile page post primary right secondary site top".split())
-_AFTER = frozenset("area bar block body box button buttons container form icons inner item items left links list outer panel posts right section slot text unit wrap wrapper".split())
+_BEFORE = frozenset("article bottom entry global google header left main mobile page post primary reader readers right secondary site top user users visitor".split())
+_AFTER = frozenset("area bar block body box button buttons container content form icons inner item items left links list outer panel posts right section slot text unit wrap wrapper".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status".split())
 #: End tags that some elements do without: a new one ends an open one of the same set.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 GOOD, OPEN, BAD = 1, 0, -1
-#: Words of a long block, share of linked characters, density of stop words; share of links in a menu's items, and their number.
-_LONG, _LINKED, _DENSE, _ALL_LINKED, _MENU = 12, 0.5, 0.15, 0.9, 3
+#: Words of a long block and of one that density alone can decide in an article; share of linked characters; density of stop words.
+_LONG, _SOME, _LINKED, _DENSE = 12, 5, 0.5, 0.15
+#: Items of a menu: share of links, how many follow each other, and words up to which they are names of places and not titles of sources.
+_ALL_LINKED, _MENU, _NAMES = 0.9, 3, 5
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved\b)", re.I)
 
 
 #: An element is out by a class or id that only names it so (an article or main element in it may still be the text), or for good.
@@ -118,16 +124,22 @@ class _Stack:
     def __init__(self) -> None:
         self.open: list[_Open] = []
         self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block-level elements
 
     def top(self) -> _Open:
         return self.open[-1] if self.open else _Open("", 0, False, False, "")
 
     def push(self, element: _Open) -> None:
         self.places.setdefault(element.name, []).append(len(self.open))
+        if element.name in _BLOCK:
+            self.blocks.append(len(self.open))
         self.open.append(element)
 
     def pop(self) -> None:
-        self.places[self.open.pop().name].pop()
+        name = self.open.pop().name
+        self.places[name].pop()
+        if name in _BLOCK:
+            self.blocks.pop()
 
     def end(self, name: str) -> None:
         """Close the last element of a name and all that was opened in it; an end tag without a start is nothing."""
@@ -136,9 +148,10 @@ class _Stack:
                 self.pop()
 
     def end_implied(self, names: set[str]) -> None:
-        """Close an element that does without its end tag, and inline elements left open in it."""
-        while self.open and (self.open[-1].name in names or self.open[-1].name not in _BLOCK and any(x.name in names for x in self.open[-4:])):
-            self.pop()
+        """Close an element that does without its end tag, and all inline elements left open in it."""
+        while self.blocks and self.open[self.blocks[-1]].name in names:
+            for _ in range(len(self.open) - self.blocks[-1]):
+                self.pop()
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -196,33 +209,41 @@ def blocks_of(html: str) -> list[Block]:
         here = stack.top()
 
 
-def _mostly_linked(block: Block) -> bool:
-    return block.linked > _LINKED * len(block.text.replace(" ", ""))
+def _words(text: str) -> tuple[int, int]:
+    """Words of a text and how many of them are stop words."""
+    letters = _UNSPACED.findall(text)
+    words = (_UNSPACED.sub(" ", text) if letters else text).split()
+    stops = sum(w.strip(".,;:!?\"'()[]&%$#*|").lower() in _STOP for w in words) + sum(x in _STOP_LETTERS for x in letters)
+    return len(words) + len(letters), stops
 
 
-def first_pass(block: Block) -> int:
-    """Label by place, share of linked text, length and density of stop words."""
-    if block.out:
-        return BAD
-    words = block.text.split()
-    if _mostly_linked(block):
-        # A short paragraph may be a sentence with a link; other short blocks of links are menus.
-        return OPEN if block.element == "p" or len(words) > _LONG else BAD
-    dense = sum(w.strip(".,;:!?\"'()[]&%$#*|").lower() in _STOP for w in words) / len(words)
-    return GOOD if dense >= _DENSE and len(words) >= _LONG else OPEN
-
-
-def article_pass(article: list[Block]) -> list[int]:
-    """Labels in an article: all is text but runs of list items that are links, which are menus."""
-    labels, run = [GOOD] * len(article), 0
-    for k, block in enumerate([*article, None]):
+def menus(blocks: list[Block]) -> list[bool]:
+    """Whether each block is an item of a menu: list items that are links, several in a row, and short."""
+    found, run = [False] * len(blocks), 0
+    for k, block in enumerate([*blocks, None]):
         if block is not None and block.element == "li" and block.linked >= _ALL_LINKED * len(block.text.replace(" ", "")):
             run += 1
             continue
-        if run >= _MENU:
-            labels[k - run : k] = [BAD] * run
+        if run >= _MENU and sum(_words(b.text)[0] for b in blocks[k - run : k]) <= _NAMES * run:
+            found[k - run : k] = [True] * run
         run = 0
-    return labels
+    return found
+
+
+def first_pass(block: Block, in_article: bool = False, in_menu: bool = False) -> int:
+    """Label by share of linked text, length and density of stop words; the place moves the bounds."""
+    if in_menu or (block.out and not in_article):
+        return BAD
+    words, stops = _words(block.text)
+    if block.linked > _LINKED * len(block.text.replace(" ", "")):
+        # A paragraph of links may be a sentence with one, and in an article a source; other short blocks of links are menus.
+        return OPEN if in_article or block.element == "p" or words > _LONG else BAD
+    dense = stops >= _DENSE * words
+    if in_article:
+        return GOOD if words >= _LONG or (dense and words >= _SOME) else OPEN
+    if words < _LONG:
+        return BAD if _RIGHTS.match(block.text) else OPEN
+    return GOOD if dense else OPEN
 
 
 def second_pass(labels: list[int], otherwise: int) -> list[int]:
@@ -245,9 +266,8 @@ def main_text(html: str | None) -> str:
     article = [b for b in blocks if b.main and not b.out]
     if not article:  # articles only where a class names them out (comments, teasers beside an article stay out)
         article = [b for b in blocks if b.main and b.out < OUT]
-    if article:
-        return "\n".join(b.text for b, k in zip(article, article_pass(article)) if k == GOOD)
-    labels = [first_pass(b) for b in blocks]
+    blocks = article or blocks
+    labels = [first_pass(b, bool(article), m) for b, m in zip(blocks, menus(blocks))]
     if GOOD not in labels:  # a page of short lines is kept whole, but for what stands out of the text
         labels = [GOOD if x == OPEN else x for x in labels]
     return "\n".join(b.text for b, k in zip(blocks, second_pass(labels, BAD)) if k == GOOD)
