@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression trained with follow-the-regularised-leader updates.
 
-Features of a text are counts of hashed n-grams over its words: the lowered words (one and two), their shapes (letters
-as 'a', digits as '0', other characters kept, runs cut to two), one and two, and whether a word repeats the one before.
-A word of over 64 characters is followed by its overlapping parts of three, which count as words.
+Features of a text are counts of hashed n-grams over its words: the lowered words, whole (one and two), their shapes
+(letters as 'a', digits as '0', other characters kept, runs cut to two), one and two, their lengths with their longest
+runs of one character, and whether a word repeats the one before. Letters of scripts written without spaces are words.
 Each family is scaled to length one; a score is the logistic of a sparse dot product.
 
 Training is FTRL-Proximal on shards of a bounded sample; the shards' weights are averaged. Shards and the order within
@@ -23,15 +23,12 @@ from pyspark.sql import functions as F
 _RUN = re.compile(r"(.)\1\1+", re.S)
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Families of features: words, word pairs, shapes, shape pairs, repeats.
-_FAMILIES = 5
+#: Families of features: words, word pairs, shapes, shape pairs, lengths, repeats.
+_FAMILIES = 6
 _REPEAT = 12345
-#: Words over this length (texts without white space, encoded data) also count by all their parts of some characters.
-_UNBROKEN, _PART = 64, 3
-
-
-def _parts(word: str) -> list[str]:
-    return [word[k : k + _PART] for k in range(len(word) - _PART + 1)]
+#: Hashes of words up to this length are kept; longer ones seldom come twice.
+_KEPT = 64
+_UNSPACED = re.compile(r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\u0E00-\u0E7F]")
 
 
 class Features:
@@ -40,29 +37,27 @@ class Features:
     def __init__(self, bits: int, kept: int = 100_000):
         self.bits, self.kept, self.known = np.uint64(64 - bits), kept, {}
 
-    def _hashes(self, word: str) -> tuple[int, int]:
-        lowered = _RUN.sub(r"\1\1", word.lower())
+    def _hashes(self, word: str) -> tuple[int, int, int]:
         shape = _RUN.sub(r"\1\1", _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)))
-        pair = xxhash.xxh64_intdigest(lowered, 1), xxhash.xxh64_intdigest(shape, 2)
+        run = max((m.end() - m.start() for m in _RUN.finditer(word)), default=0)
+        hashes = xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape, 2), xxhash.xxh64_intdigest(f"{len(word)} {run}", 3)
         if len(self.known) >= self.kept:
             self.known.clear()
-        if len(word) <= _UNBROKEN:
-            self.known[word] = pair
-        return pair
+        if len(word) <= _KEPT:
+            self.known[word] = hashes
+        return hashes
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Slots and values. An empty text has no features."""
-        words = (text or "").split()
+        words = _UNSPACED.sub(r" \g<0> ", text or "").split()
         if not words:
             return np.empty(0, np.int64), np.empty(0)
-        if any(len(w) > _UNBROKEN for w in words):
-            words = [part for w in words for part in ([w, *_parts(w)] if len(w) > _UNBROKEN else [w])]
         known, make = self.known, self._hashes
         h = np.array([known.get(w) or make(w) for w in words], dtype=np.uint64)
-        word, shape = h[:, 0], h[:, 1]
+        word, shape, size = h[:, 0], h[:, 1], h[:, 2]
         same = word[1:] == word[:-1]
         families = (
-            word, word[:-1] * _M1 + word[1:] * _M2, shape, shape[:-1] * _M1 + shape[1:] * _M2,
+            word, word[:-1] * _M1 + word[1:] * _M2, shape, shape[:-1] * _M1 + shape[1:] * _M2, size,
             np.where(same, np.uint64(_REPEAT), np.uint64(_REPEAT + 1)),
         )
         slots, values = [], []

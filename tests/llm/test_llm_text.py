@@ -230,6 +230,10 @@ def test_every_character_of_a_long_word_is_a_feature():
     assert parts[0] != parts[1] and len(parts[0] - parts[2]) > 50
     assert set(features("https://a.example/" + "b/" * 10 + "1")[0].tolist()) != set(features("https://a.example/" + "b/" * 10 + "%")[0].tolist())
     assert max(map(len, features.known)) <= 64
+    slots = lambda t: set(features(t)[0].tolist())
+    for one, other in (("paid 100000 now", "paid 100 now"), ("paid 1000 now", "paid 100 now"), ("soooooooooo good", "soo good"), ("x" * 64, "x" * 65)):
+        assert slots(one) != slots(other)
+    assert len(slots("x" * 64)) == len(slots("x" * 65))  # no length has features of its own kind
 
 
 def test_a_class_that_only_contains_an_out_word_keeps_the_text():
@@ -256,21 +260,21 @@ def _plain_features(text: str | None, bits: int) -> dict[int, float]:
     import re
 
     mask, out = (1 << 64) - 1, {}
-    words = []
-    for w in (text or "").split():
-        words += [w, *(w[k : k + 3] for k in range(len(w) - 2))] if len(w) > 64 else [w]
+    words = "".join(f" {c} " if "\u4e00" <= c <= "\u9fff" else c for c in text or "").split()
     cut = lambda s: re.sub(r"(.)\1\1+", r"\1\1", s, flags=re.S)
     shape = lambda w: cut(re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", w)))
-    a = [xxhash.xxh64_intdigest(cut(w.lower()), 1) for w in words]
+    a = [xxhash.xxh64_intdigest(w.lower(), 1) for w in words]
+    longest = lambda w: max([n for k in range(len(w)) for n in range(3, len(w) - k + 1) if len(set(w[k : k + n])) == 1], default=0)
+    sizes = [xxhash.xxh64_intdigest(f"{len(w)} {longest(w)}", 3) for w in words]
     b = [xxhash.xxh64_intdigest(shape(w), 2) for w in words]
     pair = lambda x, y: (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) & mask
-    families = [a, list(map(pair, a, a[1:])), b, list(map(pair, b, b[1:])), [12345 if x == y else 12346 for x, y in zip(a, a[1:])]]
+    families = [a, list(map(pair, a, a[1:])), b, list(map(pair, b, b[1:])), sizes, [12345 if x == y else 12346 for x, y in zip(a, a[1:])]]
     for k, values in enumerate(families):
         counts: dict[int, int] = {}
         for v in values:
             slot = (((v ^ k) * 0x9E3779B97F4A7C15) & mask) >> (64 - bits)
             counts[slot] = counts.get(slot, 0) + 1
-        size = sum(counts.values()) if k == 4 else sum(n * n for n in counts.values()) ** 0.5
+        size = sum(counts.values()) if k == 5 else sum(n * n for n in counts.values()) ** 0.5
         for slot, n in counts.items():
             out[slot] = out.get(slot, 0.0) + n / size
     return out
@@ -304,7 +308,7 @@ def test_scores_equal_a_plain_version(spark):
     import math
 
     rng = random.Random(6)
-    texts = [" ".join(rng.choice(["the", "of", "Good", "bad", "1234", "aaaa", "#!?", "STOP", "x" * 70 + str(k)]) for _ in range(rng.randrange(0, 30))) for k in range(40)]
+    texts = [" ".join(rng.choice(["the", "of", "Good", "bad", "1234", "aaaa", "#!?", "STOP", "x" * 70 + str(k), "中文字", "!!!!!"]) for _ in range(rng.randrange(0, 30))) for k in range(40)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(k, k % 3 > 0) for k in range(30)], "doc_id long, quality boolean").selectExpr("doc_id", "int(quality) AS quality")
     order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
