@@ -26,7 +26,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Families of features: words, word pairs, shapes, shape pairs, lengths, repeats.
 _FAMILIES = 6
 _REPEAT = 12345
-#: Hashes of words up to this length are kept; longer ones seldom come twice.
+#: All kept words are forgotten after a text with a word over this length, so what is kept stays small.
 _KEPT = 64
 _UNSPACED = re.compile(r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\u0E00-\u0E7F]")
 
@@ -34,26 +34,30 @@ _UNSPACED = re.compile(r"[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\u0E00-\u0E7F]"
 class Features:
     """Turns texts into sparse vectors of ``2 ** bits`` slots. Hashes of words are kept, up to a bound."""
 
-    def __init__(self, bits: int, kept: int = 100_000):
-        self.bits, self.kept, self.known = np.uint64(64 - bits), kept, {}
+    def __init__(self, bits: int, kept: int = 50_000):
+        self.bits, self.kept, self.known, self.table = np.uint64(64 - bits), kept, {}, np.empty((1024, 3), np.uint64)
 
-    def _hashes(self, word: str) -> tuple[int, int, int]:
+    def _add(self, word: str) -> int:
+        """Number of a new word, whose hashes go to the table."""
         shape = _RUN.sub(r"\1\1", _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)))
         run = max((m.end() - m.start() for m in _RUN.finditer(word)), default=0)
-        hashes = xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape, 2), xxhash.xxh64_intdigest(f"{len(word)} {run}", 3)
-        if len(self.known) >= self.kept:
-            self.known.clear()
-        if len(word) <= _KEPT:
-            self.known[word] = hashes
-        return hashes
+        number = self.known[word] = len(self.known)
+        if number == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[number] = xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape, 2), xxhash.xxh64_intdigest(f"{len(word)} {run}", 3)
+        return number
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Slots and values. An empty text has no features."""
         words = _UNSPACED.sub(r" \g<0> ", text or "").split()
         if not words:
             return np.empty(0, np.int64), np.empty(0)
-        known, make = self.known, self._hashes
-        h = np.array([known.get(w) or make(w) for w in words], dtype=np.uint64)
+        known, add = self.known, self._add
+        numbers = [known[w] if w in known else add(w) for w in words]  # the table may grow meanwhile
+        h = self.table[numbers]
+        if len(known) >= self.kept or max(map(len, words)) > _KEPT:  # between texts, so that no number in use is given anew
+            known.clear()
+            self.table = self.table[:1024].copy()
         word, shape, size = h[:, 0], h[:, 1], h[:, 2]
         same = word[1:] == word[:-1]
         families = (
