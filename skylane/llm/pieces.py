@@ -9,7 +9,8 @@ when encoded on their own.
 Only a window of as many boundaries as the longest piece has characters can still be continued. Whenever the
 backpointer paths of all of them go through one boundary, the ids before it are committed and forgotten. Pieces never
 cross from a character to a following space mark, so all paths converge there; the ids of short stretches between such
-marks are kept and reused, up to a bound. Stretches of any length go through the same search, a block at a time.
+marks are kept and reused, up to a bound. Stretches of any length go through the same search, as many characters at a
+time as the longest piece has, so it never holds more than a few such blocks of a stretch, whatever its length.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skylane.llm.staging import give_back_memory
+
 MARK = "▁"
 _IRREGULAR = re.compile(f"  |{MARK}|^ | $|^\\n| \\n")
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Rows encoded at a time.
 _ROWS = 500
-#: Characters that the search takes in at a time.
-_FEED = 4096
 #: Stretches up to this length are kept for reuse; pairs of ids known to stay apart or not are kept up to this number.
 _KEPT_LENGTH, _KEPT_PAIRS, _KEPT_TAILS = 32, 500_000, 10_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -183,8 +184,9 @@ class PieceCodec:
         return array("i", ids).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
-        """Ids of characters between two places where all paths converge, packed."""
-        return self._packed(self.segments(stretch[k : k + _FEED] for k in range(0, len(stretch), _FEED)))
+        """Ids of characters between two places where all paths converge, packed; taken in by the longest piece."""
+        step = self.longest
+        return self._packed(self.segments(stretch[k : k + step] for k in range(0, len(stretch), step)))
 
     def _word(self, word: str) -> bytes:
         """Ids of a word after a space (its mark included), or after a line end that the word begins with, packed.
@@ -265,6 +267,7 @@ def encode_texts(docs: DataFrame, vocabulary: dict, text_col: str = "text") -> D
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 same = pa.array([codec.decode(i) == (t or "") for i, t in zip(ids, texts)])
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(ends).astype("i8")), same], names=schema.names)
+        give_back_memory()
 
     return rows.mapInArrow(run, schema)
 

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylane.llm.staging import give_back_memory
+
 _RUN = re.compile(r"(.)\1\1+", re.S)
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -146,6 +148,9 @@ def train(
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_pydict({"slot": at, "w": w[at]})
             yield pa.RecordBatch.from_pydict({"slot": np.array([-1]), "w": np.array([1.0])})
+        seen.clear()
+        make.known.clear()
+        give_back_memory()
 
     sums = taught.mapInArrow(learn, "slot long, w double").groupBy("slot").agg(F.sum("w").alias("w")).collect()  # at most 2**bits rows
     weights, taught_shards = np.zeros((1 << bits) + 1), 1.0
@@ -176,7 +181,8 @@ def quality_scores(
                 slots, values = make(t.as_py())
                 out[k] = 1 / (1 + np.exp(-np.clip(w[slots] @ values + w[-1], -35, 35)))
             yield pa.array(out)
-        pa.default_memory_pool().release_unused()
+        make.known.clear()
+        give_back_memory()
 
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylane.llm.staging import connected_components, discard, staged
+from skylane.llm.staging import connected_components, discard, give_back_memory, staged
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 _CHUNK = 1 << 16
@@ -76,7 +76,7 @@ def _slices(batches: Iterable[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back_memory()
 
 
 def simhash_fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

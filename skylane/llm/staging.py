@@ -7,15 +7,19 @@ stand in one folder, which :func:`clear_staged` removes when its results have be
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
+#: Temporary folders of local sessions without that setting, by application.
+_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
             raise RuntimeError(f"set {_CHECKPOINT} to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="skylane-")
-        spark.conf.set(_CHECKPOINT, where)
+        application = spark.sparkContext.applicationId
+        if application not in _local_dirs:  # the setting itself can't be changed once a session runs
+            _local_dirs[application] = "file://" + tempfile.mkdtemp(prefix="skylane-")
+        where = _local_dirs[application]
     return where.rstrip("/")
 
 
@@ -42,6 +48,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
+def give_back_memory() -> None:
+    """Return free memory of this Python worker to the system: workers are used again, by stages that need other buffers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Small Arrow batches for what runs inside: both the executor and its Python workers hold a whole batch of texts."""
