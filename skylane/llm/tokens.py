@@ -12,6 +12,8 @@ summaries.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,25 @@ GROUP_BLOCKS = 1024
 #: Rows encoded at a time.
 _ROWS = 500
 _TYPES = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
+#: Names that Spark's and Arrow's readers have for the same kind of store.
+_SAME_STORE = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def open_store(address: str):
+    """File system and path of a file's address, as Spark gives it."""
+    from pyarrow import fs
+
+    scheme, sep, rest = address.partition("://")
+    return fs.FileSystem.from_uri(f"{_SAME_STORE.get(scheme, scheme)}://{rest}" if sep else address)
+
+
+def is_known_store(address: str) -> bool:
+    """Whether Python workers can open files there; any other store is left to Spark's own readers and writers."""
+    try:
+        open_store(address)
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
 
 
 def count_documents(blocks: DataFrame, separator: int, width: int = 2, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
@@ -111,11 +132,9 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_token
     spans = spans.repartition(F.col("path"), F.floor(F.col("block") / 64))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for b in batches:
             for path, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                system, name = fs.FileSystem.from_uri(path)
+                system, name = open_store(path)
                 with system.open_input_file(name) as f:
                     data = f.read_at(step, block * step)
                 yield pa.RecordBatch.from_pydict({"file": [path], "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
@@ -123,8 +142,44 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block_token
     return spans.mapInArrow(read, "file string, block long, data binary")
 
 
+def _vocabulary(vocabulary_file: str, pattern: str | None) -> tuple[str, str, dict[bytes, int]]:
+    """Name, word pattern and ranks of a vocabulary file; the pattern is that of the public tokenizers unless given."""
+    with open(vocabulary_file, "rb") as f:
+        raw = f.read()
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
+    return hashlib.sha256(raw + pattern.encode()).hexdigest(), pattern, ranks
+
+
+_encoders: dict[str, object] = {}
+
+
+def _encoder(vocabulary: tuple[str, str, dict[bytes, int]]):
+    """The byte-level BPE encoder of this Python worker."""
+    import tiktoken
+
+    name, pattern, ranks = vocabulary
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], coder, separator: int, kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, bytes]]:
+    """A few rows at a time: the rows, and the ids of their texts, each followed by the separator."""
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            part = b.slice(at, _ROWS)
+            yield part, b"".join(np.array([*coder.encode_ordinary(t or ""), separator], dtype=kind).tobytes() for t in part.column(1).to_pylist())
+
+
 def write_token_files(
-    docs: DataFrame, vocabulary_file: str, separator: int, path: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary_file: str, separator: int, path: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None
 ) -> DataFrame:
     """Encode every text and write flat token files below ``path``, one for each input split: nothing but ids and separators.
 
@@ -132,53 +187,71 @@ def write_token_files(
     written as empty documents. ``path`` is a folder that all executors share. A task that is run again writes a file of
     its own name; the record names the files that count.
     """
-    import base64
-
-    with open(vocabulary_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f.read().splitlines() if line)}
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a fixed vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary_file, pattern))  # a fixed vocabulary file
     kind = _TYPES[width]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        coder, task, ordinal = _encoder(shared.value), TaskContext.get(), 0
+        task, ordinal = TaskContext.get(), 0
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.bin"
-        system, folder = fs.FileSystem.from_uri(path)
+        system, folder = open_store(path)
         system.create_dir(folder, recursive=True)
         with system.open_output_stream(f"{folder}/{name}") as out:
-            for b in batches:
-                for at in range(0, b.num_rows, _ROWS):
-                    part = b.slice(at, _ROWS)
-                    for t in part.column(1).to_pylist():
-                        out.write(np.array([*coder.encode_ordinary(t or ""), separator], dtype=kind).tobytes())
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), part.column(0)], names=["file", "ordinal", "doc_id"])
-                    ordinal += n
+            for part, ids in _encoded(batches, _encoder(shared.value), separator, kind):
+                out.write(ids)
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), part.column(0)], names=["file", "ordinal", "doc_id"])
+                ordinal += n
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return staged(rows.mapInArrow(encode, "file string, ordinal long, doc_id long"), "token-order")
+    return staged(_texts(docs, id_col, text_col).mapInArrow(encode, "file string, ordinal long, doc_id long"), "token-order")
 
 
-_encoders: dict[int, object] = {}
+def stage_token_blocks(
+    docs: DataFrame, vocabulary_file: str, separator: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """As :func:`write_token_files` where Python can't open the shared folder: the record, and ``(file, block, data)``.
 
+    The bytes of a flat file are cut at the same fixed offsets and stand in one written table, so all its reading and
+    writing is Spark's. A task holds one block and the ids of a few rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary_file, pattern))
+    kind, step = _TYPES[width], block_tokens * width
+    schema = "file string, ordinal long, doc_id long, block long, data binary"
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-def _encoder(ranks: dict[bytes, int]):
-    """The byte-level BPE encoder of this Python worker."""
-    import public_tokenizers
-    import tiktoken
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ordinal, block, held = f"part-{TaskContext.get().partitionId():05d}", 0, 0, b""
+
+        def rows(n: int, **known) -> pa.RecordBatch:
+            columns = {"file": [name] * n, **known}
+            names = [c.split()[0] for c in schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), t) for c, t in zip(names, kinds)], names=names)
+
+        for part, ids in _encoded(batches, _encoder(shared.value), separator, kind):
+            held += ids
+            whole = len(held) // step * step
+            for at in range(0, whole, step):
+                yield rows(1, block=[block], data=[held[at : at + step]])
+                block += 1
+            held = held[whole:]
+            yield rows(part.num_rows, ordinal=np.arange(ordinal, ordinal + part.num_rows), doc_id=part.column(0).to_pylist())
+            ordinal += part.num_rows
+        if held:
+            yield rows(1, block=[block], data=[held])
 
-    if len(ranks) not in _encoders:
-        _encoders[len(ranks)] = tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[len(ranks)]
+    out = staged(_texts(docs, id_col, text_col).mapInArrow(encode, schema), "token-blocks")
+    return out.where("ordinal is not null").select("file", "ordinal", "doc_id"), out.where("block is not null").select("file", "block", "data")
 
 
 def document_token_counts(docs: DataFrame, vocabulary_file: str, separator: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, **columns) -> DataFrame:
     """Write the texts as flat token files, count tokens by separator scan, and name the documents: ``doc_id, n_tokens``.
 
-    One row for each row of ``docs``, null ids and repeated rows included; null and empty texts have 0 tokens.
+    One row for each row of ``docs``, null ids and repeated rows included; null and empty texts have 0 tokens. Where only
+    Spark can open the shared folder, the files' bytes stand in a written table instead (:func:`stage_token_blocks`).
     """
     folder = new_folder(docs.sparkSession, "token-files")
+    if not is_known_store(folder):
+        order, blocks = stage_token_blocks(docs, vocabulary_file, separator, width, block_tokens, **columns)
+        return order.join(count_documents(blocks, separator, width), ["file", "ordinal"]).select("doc_id", "n_tokens")
     order = write_token_files(docs, vocabulary_file, separator, folder, width, **columns)
     if order.isEmpty():
         return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))

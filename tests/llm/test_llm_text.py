@@ -14,11 +14,11 @@ import xxhash
 from brute import SF
 from pyspark.sql import functions as F
 
-from skylane.llm import chunks, quality
+from skylane.llm import chunks, quality, staging
 from skylane.llm.html import extract_pages, main_text, second_pass
 from skylane.llm.pieces import PieceCodec, check_inner_marks, decode_ids, encode_texts, load_vocabulary
 from skylane.llm.queries import QUERIES
-from skylane.llm.tokens import count_documents, document_token_counts, read_token_files
+from skylane.llm.tokens import _encoder, count_documents, document_token_counts, is_known_store, read_token_files
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -317,3 +317,60 @@ def test_scores_equal_a_plain_version(spark):
     for r in got.collect():
         total = weights[-1] + sum(weights.get(s, 0.0) * v for s, v in _plain_features(r.text, 12).items())
         assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_stretches_commit_ids_where_paths_meet(monkeypatch):
+    """A stretch is taken in by the longest piece, so its first ids are settled long before its end; none is lost."""
+    codec, ends = PieceCodec(load_vocabulary(MODEL)), []
+    plain = PieceCodec._path
+    monkeypatch.setattr(PieceCodec, "_path", lambda self, text, back, width, end: ends.append(len(text)) or plain(self, text, back, width, end))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for n in (40, 1000, 50_000):
+        ends.clear()
+        word = "".join(random.Random(n).choice("abcdefghilmnorstu") for _ in range(n))
+        assert codec.encode(word).tolist() == sp.encode(word)
+        assert len(ends) > n // (2 * codec.longest) and max(ends) <= 4 * codec.longest
+
+
+def test_token_counts_in_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (None, "a b")], "doc_id long, text string"))
+    want = sorted(map(str, document_token_counts(docs, RANKS, 50256).collect()))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./shared", f"file://{tmp_path}")
+    monkeypatch.setattr(staging, "shared_dir", lambda _: "viewfs://tokens/shared")
+    for size in (7, 1 << 18):
+        assert sorted(map(str, document_token_counts(docs, RANKS, 50256, block_tokens=size).collect())) == want
+    assert document_token_counts(docs.limit(0), RANKS, 50256).count() == 0
+    assert any(tmp_path.rglob("token-blocks-*"))
+    staging.clear_staged(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
+
+
+def test_a_local_session_without_a_shared_folder_gets_one(spark):
+    class Bare:
+        """A session without the setting."""
+
+        conf = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+        master, applicationId = "local[2]", "app-without-folder"
+
+        def get(self, *_):
+            return None
+
+        def getConf(self):
+            return self
+
+    assert staging.shared_dir(Bare()).startswith("file:///") and staging.shared_dir(Bare()) == staging.shared_dir(Bare())
+    Bare.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Bare())
+
+
+def test_stores_have_one_name_for_both_readers():
+    assert is_known_store("file:///tmp/x") and is_known_store("/tmp/x") and not is_known_store("viewfs://nowhere/x") and not is_known_store("nothing://x/y")
+
+
+def test_vocabularies_of_one_size_have_encoders_of_their_own():
+    one = {bytes([i]): i for i in range(256)}
+    two = {bytes([i]): 255 - i for i in range(256)}
+    assert _encoder(("one", ".", one)).encode_ordinary("a") == [97] and _encoder(("two", ".", two)).encode_ordinary("a") == [158]
