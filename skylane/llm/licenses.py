@@ -22,24 +22,45 @@ from skylane.llm.staging import staged
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 #: Phrases whose exact places count (the base), with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Templates of the method: label, wording as plain words, words that a block must hold, words that it must not hold.
+#: Templates of the method (fixed values): label, wording as plain words, words that a block must hold, words that it must not hold.
+#: Licenses of one family share sentences; a shared one names the family ("bsd"), the clauses that differ name the license.
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license", ""),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "permission granted software", ""),
     ("apache-2", "licensed under the apache license version 2 0", "apache 2", ""),
     ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache 2", ""),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc", "nd sa"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "commons noncommercial", "sharealike noderivatives"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3", "lesser affero"),
     ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general 2", "lesser affero"),
     ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general 3", "lesser affero"),
     ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general 2", "lesser affero"),
     ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3", "gnu lesser 3", ""),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution binary", ""),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
     ("cc-by-sa", "licensed under a creative commons attribution share alike 4 0 international license", "commons share alike", "noncommercial"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "commons sharealike", "noncommercial"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights", "waived copyright", ""),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission substantial portions", ""),
+    ("isc", "released under the isc license", "isc license", ""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission fee appear", "documentation"),
+    ("bsd", "released under the bsd license", "bsd license", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution binary", ""),
+    ("bsd-2", "in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is", "distribution contributors provided", "neither"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither endorse contributors", ""),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising acknowledgement", ""),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3", "affero 3", ""),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "affero 3", ""),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", "lesser 3", ""),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", "lesser 2 1", ""),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse 2", ""),
+    ("mpl-2", "licensed under the mozilla public license version 2 0", "mozilla 2", ""),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "commons attribution", "noncommercial sharealike noderivatives share alike"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd", ""),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "commons noncommercial noderivatives", "sharealike"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa", ""),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "commons noncommercial sharealike", "noderivatives"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered domain", ""),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "express warranty authors", ""),
 )
 THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,7 +100,7 @@ def matching_blocks(around: DataFrame, keys: list[str], prefix: list[tuple]) ->
     """Templates that some block meets: ``keys, label, similarity``.
 
     ``around`` holds ``keys, word, at, words``: a prefix word, its place in ``words``, which are those around it as far as
-    the longest template reaches.
+    the longest template with that prefix word reaches.
     """
     schema = "word string, template int, label string, wording array<string>, length int, need int, required array<string>, excluded array<string>"
     table = around.sparkSession.createDataFrame(prefix, schema)  # a few rows for each template of a fixed list, so it is broadcast
@@ -114,14 +135,16 @@ def license_scan(
     vocabulary = sorted({w for _, wording, required, _ in templates for w in f"{wording} {required}".split()})
     frequency = word_frequencies(keyed.select(words_of(F.col("text")).alias("words")), vocabulary)
     prefix = prefix_rows(templates, threshold, frequency)
-    reach = max((length for *_, length, _, _, _ in prefix), default=1)
+    reaches = {w: max(length for v, _, _, _, length, *_ in prefix if v == w) for w in sorted({row[0] for row in prefix})}
+    reach_of = F.create_map(*[F.lit(x) for pair in reaches.items() for x in pair])
 
     def around(words: Column) -> Column:
-        """Each prefix word with the words around it."""
+        """Each prefix word with the words around it, as far as its longest template reaches."""
         at = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i")))
-        here = F.filter(at, lambda x: x["word"].isin(sorted({row[0] for row in prefix})))
-        low = lambda i: F.greatest(i - reach + 1, F.lit(0))
-        return F.transform(here, lambda x: F.struct(x["word"].alias("word"), (x["i"] - low(x["i"])).alias("at"), F.slice(words, low(x["i"]) + 1, x["i"] - low(x["i"]) + reach).alias("words")))
+        here = F.filter(at, lambda x: x["word"].isin(list(reaches)))
+        here = F.transform(here, lambda x: F.struct(x["word"].alias("word"), x["i"].alias("i"), reach_of[x["word"]].alias("reach")))
+        here = F.transform(here, lambda x: F.struct(x["word"].alias("word"), x["i"].alias("i"), x["reach"].alias("reach"), F.greatest(x["i"] - x["reach"] + 1, F.lit(0)).alias("low")))
+        return F.transform(here, lambda x: F.struct(x["word"].alias("word"), (x["i"] - x["low"]).alias("at"), F.slice(words, x["low"] + 1, x["i"] - x["low"] + x["reach"]).alias("words")))
 
     flat = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     parts = [phrase.split() for phrase in phrases]

@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
-Strong parts (an assignment, an access identifier, a long hex run) are reported wherever they stand. Weak parts (an
-identifier setting, a bare mixed key, an endpoint) are reported only where complementary parts stand within the same
-scope: parts are exploded to buckets one scope wide and joined on text and bucket, so no two parts are compared unless
+Strong parts (an assignment, an access identifier, a long hex run) are reported wherever they stand. Weak parts (the
+setting of an identifier, user name or address, a key identifier, a bare mixed key, a name with its password in a
+connection string, an endpoint) are reported only where complementary parts stand within the same scope: parts are exploded to buckets one scope wide and joined on text and bucket, so no two parts are compared unless
 they are neighbours.
 
 Spans count code points; ends are exclusive. A text's places come from running lengths of its matches and of what
@@ -23,12 +23,22 @@ _ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-_ID = "([Cc][Ll][Ii][Ee][Nn][Tt]|[Aa][Cc][Cc][Ee][Ss][Ss]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Kk][Ee][Yy])_?[Ii][Dd][\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_-]+)"
+_ID = "(?i:(user_?name|login|email|user(?==)|(?:user|client|access|account|tenant|key)_?id))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@-]+)"
+#: Key identifiers of other stores, connection strings, hosts with a port. All repetitions before a fixed character are bounded, so a search is linear.
+_KEY_ID = "(?:ASIA|AIDA|AROA|LTAI|GOOG)[A-Z0-9]{12,}"
+_SCHEMES = "(?:https?|wss?|s?ftps?|ssh|s3a?|jdbc:[a-z]{2,15}|postgres(?:ql)?|mysql|mariadb|mongodb(?:\\+srv)?|rediss?|amqps?)"
+_ENDPOINT = f"{_SCHEMES}://[^\\x00-\\x20\"'<>]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{{1,63}}(?:\\.[A-Za-z0-9-]{{1,63}}){{1,8}}:[0-9]{{2,5}}"
+_LOGIN = "(?<=://)[^\\x00-\\x20/:@\"'<>]{1,64}:[^\\x00-\\x20/@\"'<>]{4,128}@"
 #: kind: pattern, group that is measured, its least length. Hex and access runs are greedy, so a bound in the pattern drops what a later check would.
 STRONG = {"assign": (_ASSIGN, 2, 12), "access": ("AKIA[A-Z0-9]{14,}", 0, 18), "hex": ("[0-9a-f]{16,}", 0, 16)}
-WEAK = {"id": (_ID, 2, 6), "key": ("[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24), "endpoint": ("https?://[^\\x00-\\x20\"'<>]+", 0, 10)}
+WEAK = {
+    "id": (_ID, 2, 4), "key": ("[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24), "endpoint": (_ENDPOINT, 0, 10),
+    "key_id": (_KEY_ID, 0, 16), "login": (_LOGIN, 0, 7),
+}
 #: What a part can complete: identifiers and secrets.
-_ROLE = {"access": "id", "id": "id", "assign": "secret", "hex": "secret", "key": "secret"}
+_ROLE = {"access": "id", "id": "id", "key_id": "id", "assign": "secret", "hex": "secret", "key": "secret", "login": "login", "endpoint": "endpoint"}
+#: Weak kinds that name who signs in; the others are only looked for where one of these or a strong identifier stands.
+_NAMES = ("id", "key_id", "login")
 #: Parts of one credential stand less than this many code points apart.
 SCOPE = 256
 
@@ -101,11 +111,13 @@ def _with_parts(rows: DataFrame) -> DataFrame:
     """``rows`` (with ``text``) plus ``base`` (strong spans in order), ``weak`` and ``may`` (weak parts have something to go with)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     strong = [_found(text, k, n, *rule) for n, (k, rule) in enumerate(STRONG.items())]
-    weak = [_found(text, k, n + len(STRONG), *rule) for n, (k, rule) in enumerate(WEAK.items())]
-    out = rows.withColumn("base", F.sort_array(F.concat(*strong))).withColumn("weak", F.sort_array(F.concat(*weak)))
-    # An identifier must stand somewhere, strong or weak; only then do weak parts count.
-    has_id = F.exists("base", lambda b: b["kind"] == "access") | F.exists("weak", lambda w: w["kind"] == "id")
-    out = out.withColumn("weak", F.when((F.size("weak") > 0) & has_id, _clear(F.col("weak"), F.col("base"))).otherwise(F.expr(_NONE)))
+    weak = {k: _found(text, k, n + len(STRONG), *rule) for n, (k, rule) in enumerate(WEAK.items())}
+    out = rows.withColumn("base", F.sort_array(F.concat(*strong))).withColumn("names", F.concat(*[weak[k] for k in _NAMES]))
+    # An identifier must stand somewhere, strong or weak; only then are other weak parts looked for.
+    has_id = F.exists("base", lambda b: b["kind"] == "access") | (F.size("names") > 0)
+    every = F.sort_array(F.concat("names", *[found for k, found in weak.items() if k not in _NAMES]))
+    out = out.withColumn("weak", F.when(has_id, every).otherwise(F.expr(_NONE))).drop("names")
+    out = out.withColumn("weak", F.when(F.size("weak") > 0, _clear(F.col("weak"), F.col("base"))).otherwise(F.expr(_NONE)))
     return out.withColumn("may", (F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1))
 
 
@@ -120,11 +132,12 @@ def _linked(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
     same = [weak[k].eqNullSafe(other[k]) for k in keys]
     near = (F.col("from") - F.col("end") < scope) & (F.col("start") - F.col("to") < scope) & (F.col("p") != F.col("w"))
     met = weak.join(other, [*same, weak["bucket"] == other["bucket"], near]).select(*[weak[k] for k in keys], "w", role[F.col("p.kind")].alias("role"))
-    roles = met.groupBy(*keys, "w").agg(F.max(F.col("role") == "id").alias("has_id"), F.max(F.col("role") == "secret").alias("has_secret"))
+    roles = met.groupBy(*keys, "w").agg(*[F.max(F.col("role") == r).alias(f"has_{r}") for r in ("id", "secret", "login", "endpoint")])
     complete = (
         F.when(F.col("w.kind") == "key", F.col("has_id"))
-        .when(F.col("w.kind") == "id", F.col("has_secret"))
-        .otherwise(F.col("has_id") & F.col("has_secret"))
+        .when(F.col("w.kind").isin("id", "key_id"), F.col("has_secret"))
+        .when(F.col("w.kind") == "login", F.col("has_endpoint"))
+        .otherwise(F.col("has_login") | (F.col("has_id") & F.col("has_secret")))
     )
     return roles.where(complete).groupBy(*keys).agg(F.collect_list("w").alias("more"))
 

@@ -48,14 +48,40 @@ def test_license_phrases_and_blocks(spark):
     assert got["1"] == (9, 2, 1, 5, "mit", "mit", 1.0)
     assert got["2"][:5] == (3, 1, 0, 0, "cc-by-nc") and got["3"] == got["4"] == (0, 0, None, None, "", "", 0.0)
     assert got["None"][1:6] == (1, 0, 0, "apache-2", "apache-2") and got["5"][:4] == (4, 1, 1, 1)
-    assert got["6"][1:6] == (0, None, None, "", "bsd-3") and got["6"][6] >= 0.8 and got["7"][5:] == ("", 0.0) and got["8"][4] == ""
+    assert got["6"][1:6] == (0, None, None, "", "bsd") and got["6"][6] >= 0.8 and got["7"][5:] == ("", 0.0) and got["8"][4] == ""
     assert license_scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+CLAUSES = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+"""
+ADVERT = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software.\n"
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+
+
 def test_licenses_that_are_not_there_are_not_named(spark):
     notice = "Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance with the License."
     rows = {
-        "This software is released under the BSD license": "",
+        "This software is released under the BSD license": "bsd",
+        BSD + "The views are those of the authors.": "bsd",
+        BSD + CLAUSES + DISCLAIMER: "bsd,bsd-2",
+        BSD + CLAUSES + ENDORSE + DISCLAIMER: "bsd,bsd-3",
+        BSD + CLAUSES + ADVERT + ENDORSE + DISCLAIMER: "bsd,bsd-3,bsd-4",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\n"
+        "copyright notice and this permission notice appear in all copies.": "isc",
+        "It is released under the ISC license.": "isc",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License": "agpl-3",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl-2.1",
+        "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd",
+        "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "made available under the terms of the Eclipse Public License 2.0": "epl-2",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.": "mit",
         "the plan was released last year and under review; the driver has a license to drive": "",
         "licensed under the apache license version 1 0": "",
         "licensed under cc by 4 0 sa": "",
@@ -84,8 +110,13 @@ def test_licenses_that_are_not_there_are_not_named(spark):
 KINDS = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16),
-    "id": (r"((?i:client|access|account|key))_?[Ii][Dd][\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_-]+)", 2, 6),
-    "key": (r"[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24), "endpoint": (r"https?://[^\x00-\x20\"'<>]+", 0, 10),
+    "id": (r"((?i:user_?name|login|email|user(?==)|(?:user|client|access|account|tenant|key)_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]+)", 2, 4),
+    "key": (r"[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24),
+    "endpoint": (
+        r"(?:https?|wss?|s?ftps?|ssh|s3a?|jdbc:[a-z]{2,15}|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?)://[^\x00-\x20\"'<>]+"
+        r"|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}", 0, 10),
+    "key_id": (r"(?:ASIA|AIDA|AROA|LTAI|GOOG)[A-Z0-9]{12,}", 0, 16),
+    "login": (r"(?<=://)[^\x00-\x20/:@\"'<>]{1,64}:[^\x00-\x20/@\"'<>]{4,128}@", 0, 7),
 }
 
 
@@ -95,15 +126,16 @@ def _spans(text: str | None, scope: int):
     for order, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         found[kind] = [(m.start(), order, m.end(), kind) for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
     base = sorted(found["assign"] + found["access"] + found["hex"])
-    weak = found["id"] + found["key"] + found["endpoint"]
-    has_id = found["access"] or found["id"]
+    weak = [w for kind in list(KINDS)[3:] for w in found[kind]]
+    has_id = found["access"] or found["id"] or found["key_id"] or found["login"]
     mixed = lambda w: w[3] != "key" or all(re.search(c, text[w[0] : w[2]]) for c in ("[0-9]", "[A-Z]", "[a-z]"))
     weak = [w for w in weak if has_id and mixed(w) and not any(b[0] < w[2] and w[0] < b[2] for b in base)]
-    role = {"access": "id", "id": "id", "assign": "secret", "hex": "secret", "key": "secret"}
+    role = {"access": "id", "id": "id", "key_id": "id", "assign": "secret", "hex": "secret", "key": "secret", "login": "login", "endpoint": "endpoint"}
+    needs = {"key": [{"id"}], "id": [{"secret"}], "key_id": [{"secret"}], "login": [{"endpoint"}], "endpoint": [{"login"}, {"id", "secret"}]}
     more = []
     for w in weak:
-        near = {role.get(p[3]) for p in base + weak if p != w and p[0] - w[2] < scope and w[0] - p[2] < scope}
-        if {"key": {"id"}, "id": {"secret"}, "endpoint": {"id", "secret"}}[w[3]] <= near:
+        near = {role[p[3]] for p in base + weak if p != w and p[0] - w[2] < scope and w[0] - p[2] < scope}
+        if any(need <= near for need in needs[w[3]]):
             more.append(w)
     return base, sorted(base + more)
 
@@ -124,6 +156,27 @@ def test_secret_spans_equal_brute_force(spark, scope):
     assert sum(len(a) != len(b) for b, a in got.values()) > 5
 
 
+PLANTED = [
+    f"user_name: alice.b {KEY} db.example.org:5432", f"ASIAQ7W2E9R4T6Y1U3I5 then {KEY}", "postgres://alice:s3cr3tpw@db.example.org/main", f"user=svc_7 {KEY} amqp://queue.example/x",
+    f"email = a@b.example {KEY}",
+]
+
+
+def test_credentials_planted_in_every_document_are_linked(spark):
+    """All documents, each with one credential in parts (two kinds of places), against brute force; what has no partner stays unreported."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.get(F.array(*map(F.lit, PLANTED)), F.pmod("doc_id", F.lit(len(PLANTED))).cast("int"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    planted = docs.withColumn("text", F.concat(F.expr("substring(text, 1, int(length(text) / 2))"), F.lit(" "), part, F.lit(" "), F.substring(F.col("text"), half + 1, F.length("text"))))
+    texts = {r.doc_id: r.text for r in planted.collect()}
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_spans(planted).collect()}
+    assert got == {d: _spans(t, 256)[1] for d, t in texts.items()}
+    kinds = [{"id", "key", "endpoint"}, {"key_id", "key"}, {"login", "endpoint"}, {"id", "key", "endpoint"}, {"id", "key"}]
+    assert all(kinds[d % len(PLANTED)] <= {s[3] for s in spans} for d, spans in got.items())
+    alone = ["user_name: alice.b", KEY, "db.example.org:5432", "postgres://db.example.org/main", "ASIAQ7W2E9R4T6Y1U3I5", "login: alice.b db.example.org:5432", "user: hello"]
+    assert secret_spans(spark.createDataFrame(list(enumerate(alone)), DOCS)).where("size(spans) > 0").count() == 0
+
+
 def test_secret_query_equals_brute_force(spark):
     for r in QUERIES["op10_secret_scan"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect():
         base, spans = _spans(r.text, 256)
