@@ -118,7 +118,8 @@ def _with_parts(rows: DataFrame) -> DataFrame:
     every = F.sort_array(F.concat("names", *[found for k, found in weak.items() if k not in _NAMES]))
     out = out.withColumn("weak", F.when(has_id, every).otherwise(F.expr(_NONE))).drop("names")
     out = out.withColumn("weak", F.when(F.size("weak") > 0, _clear(F.col("weak"), F.col("base"))).otherwise(F.expr(_NONE)))
-    return out.withColumn("may", (F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1))
+    # Without the last condition, which always holds, a filter on this column would be pushed below all of these columns, each written out anew wherever it is used.
+    return out.withColumn("may", (F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1) & (F.spark_partition_id() >= 0))
 
 
 def _linked(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
