@@ -3,7 +3,7 @@
 A cell holds what can be merged: counts, means, central moments up to the fourth, least and largest values, and quantile
 sketches. Cells of one day and category may stand more than once (one for each batch that brought trips of it), so new
 trips add cells and never touch old ones; reading merges them. Cells are as many as days and categories, whatever the
-number of trips.
+number of trips. Exact percentiles need more: counts of values by category, which add up as well (:func:`statistics_values`).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skylane.functions.weather import precipitation_level, temperature_range
 from skylane.operators import panels, stats
+from skylane.operators.percentiles import exact_percentiles, value_counts, with_percentiles
 from skylane.streaming.ledger import Ledger
 
 #: Size of the quantile sketches: exact up to about this many values, off by about 1 / 1,500 of the ranks beyond.
@@ -30,22 +31,26 @@ def _moments(name: str) -> list[Column]:
     return [F.struct(n.alias("n"), F.avg(c).alias("mean"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4"), F.min(c).alias("min"), F.max(c).alias("max"), *sketch).alias(name)]
 
 
+def _levels() -> dict[str, Column]:
+    return {"temp_bucket": temperature_range(F.col("temp_c")), "precip_level": precipitation_level(F.col("precip_daily_mm"))}
+
+
 def statistics_cells(trips: DataFrame) -> DataFrame:
     """Cells by ``day`` of start, ``weather_condition``, ``temp_bucket`` and ``precip_level``: a struct for each measure, and ``trips``."""
-    keys = [
-        F.to_date("starttime").alias("day"), "weather_condition", temperature_range(F.col("temp_c")).alias("temp_bucket"), precipitation_level(F.col("precip_daily_mm")).alias("precip_level"),
-    ]
+    keys = [F.to_date("starttime").alias("day"), "weather_condition", *[c.alias(name) for name, c in _levels().items()]]
     return trips.groupBy(*keys).agg(F.count("*").alias("trips"), *[c for name in stats.SHORT for c in _moments(name)])
 
 
-_PERCENTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+def statistics_values(trips: DataFrame) -> DataFrame:
+    """Counts of the values of each measure with percentiles, by the categories of the cells: as many rows as distinct values."""
+    return value_counts(trips.withColumns(_levels()), ["weather_condition", "temp_bucket", "precip_level"], {name: stats.SHORT[name] for name in _SKETCHED})
 
 
 def _measure(name: str, measure: str) -> Column:
     """A statistic of merged cells; as over rows, it is null where there are too few values or no spread."""
     n, m2, m3, m4 = (F.col(f"{name}_{c}") for c in ("n", "m2", "m3", "m4"))
-    if measure in _PERCENTILES:
-        return F.when(n > 0, F.kll_sketch_get_quantile_double(f"{name}_sketch", F.lit(_PERCENTILES[measure])))
+    if measure in stats.PERCENTILES:
+        return F.when(n > 0, F.kll_sketch_get_quantile_double(f"{name}_sketch", F.lit(stats.PERCENTILES[measure])))
     variance = F.when(n > 1, m2 / (n - 1))
     spread = F.when(m2 > 0, m2)
     return {
@@ -54,13 +59,16 @@ def _measure(name: str, measure: str) -> Column:
     }[measure]
 
 
-def _merged(cells: DataFrame, by: list[str], specs: list[str], trips: str, more: dict[str, tuple[str, str]]) -> DataFrame:
+def _merged(cells: DataFrame, values: DataFrame | None, by: list[str], specs: list[str], trips: str, more: dict[str, tuple[str, str]]) -> DataFrame:
     """Statistics by ``by`` from cells; ``specs`` as in :mod:`skylane.operators.stats`, ``more`` names single ones.
 
+    With the ``values`` of the same trips percentiles are exact, else they come from the sketches.
+
     Moments are taken about the group's own mean, which comes first: sums of powers about 0 would cancel. The means are a
     row for each category, so they may be broadcast.
     """
-    wanted = [(m, spec.split(":")[0], f"{m}_{spec.split(':')[0]}") for spec in specs for m in spec.split(":")[1].split()] + [(m, name, alias) for alias, (m, name) in more.items()]
+    wanted = stats.measures_of(specs) + [(m, name, alias) for alias, (m, name) in more.items()]
+    asked = {} if values is None else stats.asked_percentiles(wanted)
     names = sorted({name for _, name, _ in wanted})
     means = cells.groupBy(*by).agg(*[F.try_divide(F.sum(F.col(f"{x}.n") * F.col(f"{x}.mean")), F.sum(F.when(F.col(f"{x}.mean").isNotNull(), F.col(f"{x}.n")))).alias(f"{x}_mean") for x in names])
     near = cells.join(F.broadcast(means), by) if by else cells.crossJoin(F.broadcast(means))
@@ -71,26 +79,29 @@ def _merged(cells: DataFrame, by: list[str], specs: list[str], trips: str, more:
             F.sum(n).alias(f"{x}_n"), F.first(f"{x}_mean").alias(f"{x}_mean"), F.sum(m2 + n * d * d).alias(f"{x}_m2"), F.sum(m3 + 3 * m2 * d + n * d * d * d).alias(f"{x}_m3"),
             F.sum(F.col(f"{x}.m4") + 4 * m3 * d + 6 * m2 * d * d + n * d * d * d * d).alias(f"{x}_m4"), F.min(f"{x}.min").alias(f"{x}_min"), F.max(f"{x}.max").alias(f"{x}_max"),
         ]
-        if x in _SKETCHED and any(name == x and m in _PERCENTILES for m, name, _ in wanted):
+        if x in _SKETCHED and any(name == x and m in stats.PERCENTILES and alias not in asked for m, name, alias in wanted):
             sums.append(F.kll_merge_agg_double(f"{x}.sketch").alias(f"{x}_sketch"))
     merged = near.groupBy(*by).agg(*sums) if by else near.agg(*sums)
-    return merged.select(*by, *[_measure(name, m).alias(alias) for m, name, alias in wanted], trips)
+    out = merged.select(*by, *[_measure(name, m).alias(alias) for m, name, alias in wanted if alias not in asked], trips)
+    if asked:
+        out = with_percentiles(out, exact_percentiles(values, by, asked), by)
+    return out.select(*by, *[alias for _, _, alias in wanted], trips)
 
 
-def overall(cells: DataFrame) -> DataFrame:
-    return stats.spread(_merged(cells, [], stats.OVERALL, "total_trips", {}))
+def overall(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    return stats.spread(_merged(cells, values, [], stats.OVERALL, "total_trips", {}))
 
 
-def by_condition(cells: DataFrame) -> DataFrame:
-    return stats.spread(_merged(cells, ["weather_condition"], stats.BY_CONDITION, "sample_size", {}))
+def by_condition(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    return stats.spread(_merged(cells, values, ["weather_condition"], stats.BY_CONDITION, "sample_size", {}))
 
 
-def by_temperature(cells: DataFrame) -> DataFrame:
-    return _merged(cells, ["temp_bucket"], stats.BY_TEMPERATURE, "sample_size", {"avg_temp_in_bucket": ("mean", "temp")})
+def by_temperature(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    return _merged(cells, values, ["temp_bucket"], stats.BY_TEMPERATURE, "sample_size", {"avg_temp_in_bucket": ("mean", "temp")})
 
 
-def by_precipitation(cells: DataFrame) -> DataFrame:
-    return _merged(cells, ["precip_level"], stats.BY_PRECIPITATION, "sample_size", {"avg_precip_in_level": ("mean", "precip")})
+def by_precipitation(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    return _merged(cells, values, ["precip_level"], stats.BY_PRECIPITATION, "sample_size", {"avg_precip_in_level": ("mean", "precip")})
 
 
 def add_trips(ledger: Ledger, trips: DataFrame, number: int) -> bool:

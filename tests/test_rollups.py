@@ -109,3 +109,36 @@ def test_stored_tables_follow_their_source(spark, tmp_path):
     files = table().inputFiles()
     delete(spark, f"{files[0].rsplit('/', 1)[0]}/_SUCCESS")  # as a failure leaves it
     assert table().first().s == 15 and len(built) == 3
+
+
+def _least_at(values, q):
+    """The smallest value with a share of q at or below it."""
+    values = sorted(v for v in values if v is not None)
+    return values[max(1, math.ceil(q * len(values))) - 1] if values else None
+
+
+def test_percentiles_of_many_values_are_exact(spark, tmp_path):
+    trips = _trips(spark, 60_000, days=40).withColumn("weather_condition", F.when(F.col("id") % 3 == 0, "fair").otherwise(F.when(F.col("id") % 2 == 0, "good").otherwise("poor")))
+    trips = trips.withColumn("average_speed_kmh", F.when(F.col("id") % 5 == 0, 7.0).otherwise(F.col("average_speed_kmh")))
+    trips.write.parquet(str(tmp_path / "t"))
+    trips = spark.read.parquet(str(tmp_path / "t"))
+    rows = trips.collect()
+    values = rollups.statistics_values(trips.where("id < 900")).unionByName(rollups.statistics_values(trips.where("id >= 900")))
+    cells = rollups.statistics_cells(trips)
+    asked = {"median_speed": ("average_speed_kmh", 0.5), "p25_speed": ("average_speed_kmh", 0.25), "p75_speed": ("average_speed_kmh", 0.75)}
+    for by, plain, merged in ((None, stats.overall, rollups.overall), ("weather_condition", stats.by_condition, rollups.by_condition)):
+        more = {} if by else {"median_temp": ("temp_c", 0.5), "median_distance": ("distance_meters", 0.5), "median_duration": ("tripduration", 0.5)}
+        for got in (plain(trips).collect(), merged(cells, values).collect()):
+            assert len(got) == (3 if by else 1)
+            for r in got:
+                group = [x for x in rows if by is None or x[by] == r[by]]
+                for alias, (column, q) in {**asked, **more}.items():
+                    assert r[alias] == _least_at([x[column] for x in group], q), (by, alias)
+
+
+@pytest.mark.parametrize("merged, plain", PAIRS)
+def test_exact_percentiles_of_few_values_no_spread_and_nulls(spark, merged, plain):
+    trips = _trips(spark, 4)
+    odd = trips.withColumns({"average_speed_kmh": F.lit(5.0), "temp_c": F.lit(None).cast("double"), "distance_meters": F.when(F.col("id") == 1, 3.0)})
+    for df in (trips.limit(1), odd, trips.where("false")):
+        _same(merged(rollups.statistics_cells(df), rollups.statistics_values(df)), plain(df))
