@@ -57,6 +57,21 @@ def test_interval_join_has_an_equality_key(sides):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_interval_join_moves_rows_and_no_pairs(spark, how):
+    """Rows of one moment all meet; what is shuffled is the rows, whatever the number of pairs. Equal left rows stay apart."""
+    at = F.lit(T0).cast("timestamp")
+    left = spark.range(300).select((F.col("id") % 100).alias("a"), F.when(F.col("id") < 290, at).alias("ta"))
+    right = spark.range(200).select(F.col("id").alias("b"), (at + F.make_dt_interval(secs=F.col("id") * 6)).alias("tb"))
+    df = joins.within_interval(left, right, "ta", "tb", 600, how)
+    rows = [(r.a, r.b) for r in df.collect()]
+    want = [(a % 100, b) for a in range(290) for b in range(101)] + [(a % 100, None) for a in range(290, 300) if how == "left"]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above, probe = plan[: plan.index("Join ")], plan[plan.index("Join ") :].split("+- ", 1)[0]
+    assert "Window" not in plan and "Aggregate" not in above and plan.count("Generate ") == 1 and "Generate " not in probe
+
+
 def test_range_read_pushes_its_filter(spark, tmp_path):
     df = synthetic.taxis(spark, 500)
     files.write_sorted(df, str(tmp_path / "t"), "datetime_ts")
