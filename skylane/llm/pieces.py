@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylane.llm.staging import give_back_memory
+from skylane.llm.staging import give_back_memory, kept_in_worker, let_go_what_others_keep
 
 MARK = "▁"
 _IRREGULAR = re.compile(f"  |{MARK}|^ | $|^\\n| \\n")
@@ -232,11 +232,13 @@ class PieceCodec:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-_codecs: dict[str, PieceCodec] = {}
+#: With its words a codec takes about 120 MB, so the tasks of other operators let it go.
+_codecs: dict[str, PieceCodec] = kept_in_worker.setdefault("pieces", {})
 
 
 def _codec(vocabulary: dict) -> PieceCodec:
     """The codec of this Python worker, with the stretches it has kept from earlier tasks."""
+    let_go_what_others_keep("pieces")
     if vocabulary["key"] not in _codecs:
         _codecs.clear()
         _codecs[vocabulary["key"]] = PieceCodec(vocabulary)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylane.llm.staging import give_back_memory
+from skylane.llm.staging import give_back_memory, let_go_what_others_keep
 
 _RUN = re.compile(r"(.)\1\1+", re.S)
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
@@ -135,6 +135,7 @@ def train(
     )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go_what_others_keep()
         make, seen = Features(bits), {}
         for b in batches:
             for shard, text, label in zip(*(c.to_pylist() for c in b.columns)):
@@ -174,6 +175,7 @@ def quality_scores(
 
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go_what_others_keep()
         make, w = Features(bits), shared.value
         for texts in parts:
             out = np.empty(len(texts))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylane.llm.staging import connected_components, discard, give_back_memory, staged
+from skylane.llm.staging import connected_components, discard, give_back_memory, let_go_what_others_keep, staged
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 _CHUNK = 1 << 16
@@ -73,6 +73,7 @@ _ROWS = 500
 
 def _slices(batches: Iterable[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in small slices, so that few texts are Python objects at a time. At the end Arrow gives back what it holds."""
+    let_go_what_others_keep()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)

@@ -186,3 +186,13 @@ def test_embeddings_query_equals_sql(spark):
     names = [d[0] for d in cur.description]
     got = QUERIES["op2_embedding_near_dedup"](spark, SF).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(cur.fetchall())
+
+
+def test_tasks_of_other_stages_let_go_the_words_that_encoding_keeps():
+    """A Python worker is used again by later stages; what one operator keeps there is no load on the next."""
+    from skylane.llm import pieces, simhash
+
+    vocabulary = {"key": "k", "pieces": ["a", "b"], "scores": [0.0, -1.0], "kinds": [pieces._NORMAL] * 2, "bpe": True}
+    codec = pieces._codec(vocabulary)
+    assert pieces._codec(vocabulary) is codec  # its own tasks find it again
+    assert list(simhash._slices(iter([]))) == [] and not pieces._codecs
