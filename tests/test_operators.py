@@ -72,6 +72,27 @@ def test_interval_join_moves_rows_and_no_pairs(spark, how):
     assert "Window" not in plan and "Aggregate" not in above and plan.count("Generate ") == 1 and "Generate " not in probe
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_interval_join_in_parts_equals_nested_loops(sides, monkeypatch, how):
+    monkeypatch.setattr(joins, "CROWD", 3, raising=False)
+    left, right, dl, dr = sides
+    want = [(a, b) for a, x in left for b, y in right if x and y and _gap(x, y) <= 600]
+    want += [(a, None) for a, _ in left if how == "left" and a not in {p for p, _ in want}]
+    got = joins.within_interval(dl, dr, "ta", "tb", 600, how)
+    assert got.columns == ["a", "ta", "b", "tb"] and sorted(((r.a, r.b) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_interval_join_deals_a_crowded_moment_to_several_tasks(spark, monkeypatch, how):
+    """All rows stand within one bucket: no task joins all of them, and none holds more than parts of them."""
+    monkeypatch.setattr(joins, "CROWD", 50, raising=False)
+    at = F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 60)
+    left, right = spark.range(400).select(F.col("id").alias("a"), at.alias("ta")), spark.range(300).select(F.col("id").alias("b"), at.alias("tb"))
+    df = joins.within_interval(left, right, "ta", "tb", 600, how)
+    tasks = df.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("pairs")).collect()
+    assert sum(r.n for r in tasks) == sum(r.pairs for r in tasks) == 400 * 300 and max(r.n for r in tasks) < 400 * 300 / 2
+
+
 def test_range_read_pushes_its_filter(spark, tmp_path):
     df = synthetic.taxis(spark, 500)
     files.write_sorted(df, str(tmp_path / "t"), "datetime_ts")
