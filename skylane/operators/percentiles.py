@@ -2,7 +2,9 @@
 
 Equal values are counted first, on the map side. Boundaries cut the distinct values of each category into ``PARTS`` parts of
 about the same size; the counts of the parts tell in which one a percentile's rank lies, and only that part is sorted. The
-boundaries are estimates, but ranks are counted, so the result is exact wherever they lie. No task takes a whole category.
+boundaries are estimates, and a second estimate over the same values may differ from the first. So they are used once, where
+parts are counted; a part's ends go with its count from there on, and the result is exact wherever they lie. No task takes a
+whole category.
 """
 
 from __future__ import annotations
@@ -41,14 +43,16 @@ def exact_percentiles(counts: DataFrame, by: list[str], wanted: dict[str, tuple[
     counts = counts.where(F.col("name").isin(names)).groupBy(*key, "v").agg(F.sum("n").alias("n"))
     cuts = F.percentile_approx("v", [k / PARTS for k in range(1, PARTS)], 10_000)
     found = counts.groupBy(*key).agg(cuts.alias("cuts"), F.sum("n").alias("total")).select(*_other(key), "cuts", "total")
-    placed = counts.join(F.broadcast(found), _same(key)).select(*key, "v", "n", "total", F.expr("size(filter(cuts, c -> c <= v))").alias("part"))
-    parts = placed.groupBy(*key, "part").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    placed = counts.join(F.broadcast(found), _same(key)).select(*key, "n", "total", "cuts", F.expr("size(filter(cuts, c -> c <= v))").alias("part"))
+    ends = [F.expr("get(cuts, part - 1)").alias("low"), F.expr("get(cuts, part)").alias("high")]
+    parts = placed.groupBy(*key, "part", *ends).agg(F.sum("n").alias("m"), F.first("total").alias("total"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     asked = F.explode(F.array(*[F.struct(F.lit(alias).alias("alias"), F.lit(name).alias("of"), F.lit(float(q)).alias("q")) for alias, (name, q) in wanted.items()]))
     ranked = parts.withColumn("before", before).select("*", asked.alias("a")).where("a.of = name")
     ranked = ranked.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("a.q") * F.col("total"))) - F.col("before")).where("rank > 0 and rank <= m")
-    ranked = ranked.select(*_other([*key, "part"]), "a.alias", "rank")
-    inside = placed.join(F.broadcast(ranked), _same([*key, "part"])).select(*key, "v", "n", "alias", "rank")
+    ranked = ranked.select(*_other(key), "low", "high", "a.alias", "rank")
+    within = F.expr("(low is null or low <= v) and (high is null or v < high)")
+    inside = counts.join(F.broadcast(ranked), _same(key) & within).select(*key, "v", "n", "alias", "rank")
     up_to = F.sum("n").over(Window.partitionBy(*key, "alias").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     hit = inside.withColumn("up_to", up_to).where("up_to >= rank and up_to - n < rank")
     return hit.groupBy(*by).agg(*[F.max(F.when(F.col("alias") == alias, F.col("v"))).alias(alias) for alias in wanted])

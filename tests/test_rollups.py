@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from skylane.operators import panels, rollups, stats
+from skylane.operators import panels, percentiles, rollups, stats
 from skylane.plans.queries import QUERIES
 from skylane.sources.stored import delete, stored
 from skylane.streaming.ledger import Ledger
@@ -142,3 +143,20 @@ def test_exact_percentiles_of_few_values_no_spread_and_nulls(spark, merged, plai
     odd = trips.withColumns({"average_speed_kmh": F.lit(5.0), "temp_c": F.lit(None).cast("double"), "distance_meters": F.when(F.col("id") == 1, 3.0)})
     for df in (trips.limit(1), odd, trips.where("false")):
         _same(merged(rollups.statistics_cells(df), rollups.statistics_values(df)), plain(df))
+
+
+def test_percentiles_are_exact_whatever_boundaries_each_estimate_gives(spark, monkeypatch):
+    """Sketches of the same values may differ from one evaluation to the next; here each gives boundaries of its own."""
+
+    @F.udf("array<double>")
+    def some(values):
+        return sorted(random.sample(values, percentiles.PARTS - 1))
+
+    monkeypatch.setattr(percentiles.F, "percentile_approx", lambda c, *_: some(F.collect_list(c)))
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.hash("id") % 900).cast("double").alias("x"))
+    held = rows.collect()
+    qs = {f"p{q}": q / 100 for q in range(0, 101, 5)}
+    got = percentiles.exact_percentiles(percentiles.value_counts(rows, ["k"], {"x": "x"}), ["k"], {a: ("x", q) for a, q in qs.items()}).collect()
+    assert len(got) == 3
+    for r in got:
+        assert r.asDict() == {"k": r.k, **{a: _least_at([h.x for h in held if h.k == r.k], q) for a, q in qs.items()}}
