@@ -93,6 +93,17 @@ def test_interval_join_deals_a_crowded_moment_to_several_tasks(spark, monkeypatc
     assert sum(r.n for r in tasks) == sum(r.pairs for r in tasks) == 400 * 300 and max(r.n for r in tasks) < 400 * 300 / 2
 
 
+def test_interval_join_gives_pairs_of_a_crowd_in_an_order_that_files_pack(spark, monkeypatch, tmp_path):
+    """All pairs grow with the square, so what a pair takes on disk counts: left rows come again in short runs of the same order."""
+    monkeypatch.setattr(joins, "CROWD", 3000)
+    at = F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 60)
+    left, right = spark.range(1000).select(F.col("id").alias("a"), at.alias("ta")), spark.range(6000).select(F.col("id").alias("b"), at.alias("tb"))
+    joins.within_interval(left, right, "ta", "tb", 600).select("a", "b").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert pairs.count() == pairs.distinct().count() == 1000 * 6000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 1000 * 6000
+
+
 def test_range_read_pushes_its_filter(spark, tmp_path):
     df = synthetic.taxis(spark, 500)
     files.write_sorted(df, str(tmp_path / "t"), "datetime_ts")
